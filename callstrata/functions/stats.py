@@ -31,3 +31,14 @@ def full_frame(agg: Column, w: WindowSpec, rows: int) -> Column:
 
 def pct(part: Column, whole: Column) -> Column:
     return F.try_divide(part * 100.0, whole)
+
+
+def beyond_deviations(y: Column, w: WindowSpec, k: int) -> Column:
+    """Whether |y - mean| > k sample deviations of the frame.
+
+    Both sides are squared and multiplied out, so that whole-number series are
+    compared exactly: (n y - S)^2 (n - 1) > k^2 n (n Q - S^2) with S the sum and
+    Q the sum of squares. A frame of one row is never beyond.
+    """
+    n, s, q = F.count(y).over(w), F.sum(y).over(w), F.sum(y * y).over(w)
+    return (n * y - s) * (n * y - s) * (n - 1) > k * k * n * (n * q - s * s)

@@ -11,7 +11,11 @@ SEVERITY = {"CRITICA": 0, "ALTA": 1, "MEDIA": 2, "BAJA": 3}
 
 
 def _fmt(spec: str, *cols: Column) -> Column:
-    return F.format_string(spec, *cols)
+    """Formatted text; null when a value is null."""
+    known = cols[0].isNotNull()
+    for c in cols[1:]:
+        known = known & c.isNotNull()
+    return F.when(known, F.format_string(spec, *cols))
 
 
 def _one(c: Column) -> Column:

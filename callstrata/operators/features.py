@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callstrata.functions.dates import month_start_flag, month_week, wave
-from callstrata.functions.stats import full_frame
+from callstrata.functions.stats import beyond_deviations, full_frame
 
 LAGS = (1, 2, 3, 7, 14)
 ROLLS = (3, 7, 14)
@@ -67,9 +67,9 @@ def centered_zscore(daily: DataFrame, rows: int = 14) -> DataFrame:
     """z against a centred frame (half before, the rest from the current row on) and the |z| > 2 flag."""
     w = _w().rowsBetween(-(rows // 2), rows - rows // 2 - 1)
     m, s = full_frame(F.avg("y"), w, rows), full_frame(F.stddev_samp("y"), w, rows)
-    return daily.withColumns({"_m": m, "_s": s}).withColumn(
-        "z_score", F.try_divide(F.col("y") - F.col("_m"), F.col("_s"))).withColumn(
-        "es_outlier", F.coalesce((F.abs("z_score") > 2).cast("int"), F.lit(0))).drop("_m", "_s")
+    far = beyond_deviations(F.col("y"), w, 2) & (F.count(F.lit(1)).over(w) == rows)
+    return daily.withColumns({"_m": m, "_s": s, "es_outlier": far.cast("int")}).withColumn(
+        "z_score", F.try_divide(F.col("y") - F.col("_m"), F.col("_s"))).drop("_m", "_s")
 
 
 def feature_matrix(daily: DataFrame) -> DataFrame:

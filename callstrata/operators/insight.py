@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callstrata.functions.dates import week_label
-from callstrata.functions.stats import arg_max, arg_min, full_frame, pct
+from callstrata.functions.stats import arg_max, arg_min, beyond_deviations, pct
 
 WEEKDAY_COLS = ["lun", "mar", "mie", "jue", "vie", "sab", "dom"]
 
@@ -104,9 +104,9 @@ def stability_flags(daily: DataFrame) -> DataFrame:
     w = Window.partitionBy("serie").orderBy("ds").rowsBetween(-6, 0)
     m, s = F.col("media_7"), F.col("desv_7")
     return daily.select("serie", "ds", "y").withColumns({
-        "media_7": F.avg("y").over(w), "desv_7": F.stddev_samp("y").over(w)}).withColumns({
-        "banda_superior": m + 2 * s, "banda_inferior": m - 2 * s,
-        "es_anomalia": F.coalesce(F.abs(F.col("y") - m) > 2 * s, F.lit(False))})
+        "media_7": F.avg("y").over(w), "desv_7": F.stddev_samp("y").over(w),
+        "es_anomalia": beyond_deviations(F.col("y"), w, 2)}).withColumns({
+        "banda_superior": m + 2 * s, "banda_inferior": m - 2 * s})
 
 
 def stability(daily: DataFrame) -> DataFrame:

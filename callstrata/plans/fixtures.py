@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from callstrata.functions.stats import full_frame
 from callstrata.operators import alerts, calendar, cleaning, ensemble, segment
+from callstrata.session import checkpointed
 from callstrata.sources.holidays import enrich, holiday_dim
 
 AS_OF_CALLS = "2024-01-20"
@@ -125,6 +126,14 @@ class Views:
         """Gap-free daily series of the long log."""
         return calendar.complete_calendar(segment.daily_calls(self.calls_long))
 
+    @cached_property
+    def daily_table(self) -> DataFrame:
+        """The daily series as a written table, for plans that read it more than once.
+
+        The log is scanned once however many branches follow.
+        """
+        return checkpointed(self.daily)
+
     @cached_property
     def sparse(self) -> DataFrame:
         """Daily series of the long log with the days that have calls only."""
@@ -172,13 +181,13 @@ class Views:
 
     @cached_property
     def forecast(self) -> DataFrame:
-        return self._simple(self.daily, calendar.future_days(self.daily, 28))
+        return self._simple(self.daily_table, calendar.future_days(self.daily_table, 28))
 
     @cached_property
     def pairs(self) -> DataFrame:
         """Back-test: the last 30 rows of each series predicted from the rows before."""
         w = Window.partitionBy("serie").orderBy(F.desc("ds"))
-        split = self.daily.select("serie", "ds", "y").withColumn("_r", F.row_number().over(w))
+        split = self.daily_table.select("serie", "ds", "y").withColumn("_r", F.row_number().over(w))
         train = split.where("_r > 30").drop("_r")
         test = split.where("_r <= 30").select("serie", "ds", "y")
         return self._simple(train, test)
@@ -189,15 +198,15 @@ class Views:
 
     @cached_property
     def weights(self) -> DataFrame:
-        return ensemble.ensemble_weights(self.metrics)
+        return checkpointed(ensemble.ensemble_weights(self.metrics))
 
     @cached_property
     def fc(self) -> DataFrame:
-        return ensemble.forecast_table(self.forecast, self.weights, SIMPLE_MODELS)
+        return checkpointed(ensemble.forecast_table(self.forecast, self.weights, SIMPLE_MODELS))
 
     @cached_property
     def alerts(self) -> DataFrame:
-        return alerts.demand_alerts(self.fc, self.daily)
+        return alerts.demand_alerts(self.fc, self.daily_table)
 
     @cached_property
     def runs(self) -> DataFrame:

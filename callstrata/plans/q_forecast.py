@@ -31,14 +31,14 @@ _BASE = """SELECT f.serie, f.ds, coalesce(w.m, o.m) AS base FROM future f JOIN (
 
 @query("weekday_mean_lookup", _BASE, dbl="base")
 def _(v: Views):
-    return ensemble.weekday_baseline(calendar.future_days(v.daily, 28), v.daily)
+    return ensemble.weekday_baseline(calendar.future_days(v.daily_table, 28), v.daily_table)
 
 
 @query("baseline_forecast", f"""SELECT serie, ds, es_feriado, round(p,1) AS yhat_ensemble, round(p*0.85,1) AS yhat_lower, round(p*1.15,1) AS yhat_upper FROM
   (SELECT b.serie, b.ds, coalesce(n.es_feriado,false) AS es_feriado, greatest(0.0, base*CASE WHEN NOT coalesce(n.es_feriado,false) THEN 1.0
     WHEN b.serie='out' THEN 0.3 ELSE 0.7 END) AS p FROM ({_BASE}) b LEFT JOIN near_long n ON b.ds=n.f)""", dbl="yhat_ensemble yhat_lower yhat_upper")
 def _(v: Views):
-    return ensemble.baseline_forecast(v.daily, v.hol_long)
+    return ensemble.baseline_forecast(v.daily_table, v.hol_long)
 
 
 _MET = "mae rmse mape r2"
@@ -154,7 +154,7 @@ def _(v: Views):
 @query("overlap_check", """SELECT f.serie, primer_pronostico, ultimo_historico, primer_pronostico>ultimo_historico AS valido FROM
   (SELECT serie, min(ds) AS primer_pronostico FROM fc GROUP BY 1) f JOIN (SELECT serie, max(ds) AS ultimo_historico FROM daily GROUP BY 1) d USING (serie)""")
 def _(v: Views):
-    return ensemble.no_overlap(v.fc, v.daily)
+    return ensemble.no_overlap(v.fc, v.daily_table)
 
 
 @query("rising_tail", """SELECT serie, max(ds) AS hasta, bool_and(CASE WHEN r<5 THEN up ELSE true END) AND count(*)=5 AS creciente FROM (SELECT serie, ds,
@@ -173,7 +173,7 @@ def _(v: Views):
 
 def _replay(v: Views):
     """The history itself, shaped like a forecast, so that every demand level occurs."""
-    return v.daily.select("serie", "ds", F.col("y").cast("double").alias("yhat_ensemble"), F.lit(2.5).alias("yhat_std"))
+    return v.daily_table.select("serie", "ds", F.col("y").cast("double").alias("yhat_ensemble"), F.lit(2.5).alias("yhat_std"))
 
 
 _REPLAY = "(SELECT serie, ds, CAST(y AS DOUBLE) AS yhat_ensemble, CAST(2.5 AS DOUBLE) AS yhat_std FROM daily)"
@@ -186,17 +186,17 @@ def _alerts_over(src):
 
 @query("demand_alerts_replay", _alerts_over(_REPLAY), dbl=_AL)
 def _(v: Views):
-    return alerts.demand_alerts(_replay(v), v.daily)
+    return alerts.demand_alerts(_replay(v), v.daily_table)
 
 
 @query("uncertainty_alerts", f"SELECT * FROM ({_alerts_over(_REPLAY)}) WHERE tipo='ALTA_INCERTIDUMBRE'", dbl=_AL)
 def _(v: Views):
-    return alerts.demand_alerts(_replay(v), v.daily).where("tipo = 'ALTA_INCERTIDUMBRE'")
+    return alerts.demand_alerts(_replay(v), v.daily_table).where("tipo = 'ALTA_INCERTIDUMBRE'")
 
 
 @query("monday_alerts", f"SELECT * FROM ({_alerts_over(_REPLAY)}) WHERE tipo='LUNES_ALTO'", dbl=_AL)
 def _(v: Views):
-    return alerts.demand_alerts(_replay(v), v.daily).where("tipo = 'LUNES_ALTO'")
+    return alerts.demand_alerts(_replay(v), v.daily_table).where("tipo = 'LUNES_ALTO'")
 
 
 @query("sort_alerts", """SELECT *, CASE severidad WHEN 'CRITICA' THEN 0 WHEN 'ALTA' THEN 1 WHEN 'MEDIA' THEN 2 WHEN 'BAJA' THEN 3 ELSE 4 END AS orden FROM alerts
@@ -365,7 +365,7 @@ def _(v: Views):
 @query("result_overview", """SELECT 'registros' AS elemento, CAST(sum(y) AS BIGINT) AS n FROM daily UNION ALL SELECT 'modelos', count(*) FROM weights
   UNION ALL SELECT 'predicciones', count(*) FROM fc""")
 def _(v: Views):
-    return scoring.result_overview(v.weights, v.fc, v.daily)
+    return scoring.result_overview(v.weights, v.fc, v.daily_table)
 
 
 # --- recommendations over the audit ------------------------------------------------------------

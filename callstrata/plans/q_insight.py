@@ -88,7 +88,8 @@ def _(v: Views):
 
 
 _FLAGS = """SELECT serie, ds, y, m AS media_7, s AS desv_7, m+2*s AS banda_superior, m-2*s AS banda_inferior,
-  coalesce(abs(y-m)>2*s,false) AS es_anomalia FROM (SELECT serie, ds, y, avg(y) OVER w AS m, stddev_samp(y) OVER w AS s FROM daily
+  (n*y-t)*(n*y-t)*(n-1) > 4*n*(n*q-t*t) AS es_anomalia FROM (SELECT serie, ds, y, avg(y) OVER w AS m, stddev_samp(y) OVER w AS s,
+  count(y) OVER w AS n, sum(y) OVER w AS t, sum(y*y) OVER w AS q FROM daily
   WINDOW w AS (PARTITION BY serie ORDER BY ds ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))"""
 
 
@@ -192,6 +193,7 @@ _NUM = "(SELECT *, row_number() OVER (PARTITION BY serie ORDER BY ds) AS p FROM
 _DEV = "avg(y) OVER (PARTITION BY serie, isodow(ds)) AS promedio_dia_semana, y-avg(y) OVER (PARTITION BY serie, isodow(ds)) AS desviacion_vs_promedio_dia"
 _C = f"OVER ({_W} ROWS BETWEEN 7 PRECEDING AND 6 FOLLOWING)"
 _Z = f"CASE WHEN count(*) {_C}=14 THEN (y-avg(y) {_C})/nullif(stddev_samp(y) {_C},0) END"
+_O = f"CAST(count(*) {_C}=14 AND (14*y-sum(y) {_C})*(14*y-sum(y) {_C})*13 > 56*(14*sum(y*y) {_C}-sum(y) {_C}*sum(y) {_C}) AS INTEGER)"
 _ROLL_COLS = " ".join(features.ROLL_COLS)
 
 
@@ -215,13 +217,13 @@ def _(v: Views):
     return features.weekday_mean_dev(v.daily.select("serie", "ds", "y"))
 
 
-@query("centered_zscore", f"SELECT serie, ds, y, z AS z_score, CAST(coalesce(abs(z)>2,false) AS INTEGER) AS es_outlier FROM (SELECT *, {_Z} AS z FROM daily)", dbl="z_score")
+@query("centered_zscore", f"SELECT serie, ds, y, {_Z} AS z_score, {_O} AS es_outlier FROM daily", dbl="z_score")
 def _(v: Views):
     return features.centered_zscore(v.daily.select("serie", "ds", "y"))
 
 
-@query("feature_matrix", f"""SELECT * EXCLUDE (z), z AS z_score, CAST(abs(z)>2 AS INTEGER) AS es_outlier FROM (SELECT serie, ds, y, {_CAL}, {_CYC}, {_LAGS}, {_ROLLS},
-  {_roll('regr_slope(y,p)', 7)} AS tendencia_7d, {_DEV}, {_Z} AS z FROM {_NUM}) WHERE lag_14 IS NOT NULL AND z IS NOT NULL""",
+@query("feature_matrix", f"""SELECT * FROM (SELECT serie, ds, y, {_CAL}, {_CYC}, {_LAGS}, {_ROLLS},
+  {_roll('regr_slope(y,p)', 7)} AS tendencia_7d, {_DEV}, {_Z} AS z_score, {_O} AS es_outlier FROM {_NUM}) WHERE lag_14 IS NOT NULL AND z_score IS NOT NULL""",
        dbl=f"{_CYC_COLS} {_ROLL_COLS} tendencia_7d promedio_dia_semana desviacion_vs_promedio_dia z_score")
 def _(v: Views):
     return features.feature_matrix(v.daily)
