@@ -68,7 +68,7 @@ def sanitize(text: Column) -> Column:
     return F.when(F.contains(out, F.lit("\n")), F.concat(first, F.lit(TRACE_MARK))).otherwise(first)
 
 
-def file_verdicts(files: DataFrame) -> DataFrame:
+def file_verdicts(files: DataFrame, *keys: str) -> DataFrame:
     """(nombre, bytes, motivo): the first rule a file breaks, or null.
 
     ``files`` holds nombre, bytes, lineas, cabecera: measured per file by the source reader.
@@ -87,7 +87,7 @@ def file_verdicts(files: DataFrame) -> DataFrame:
         .when((ext == ".csv") & (F.col("lineas") < 2), "menos de dos líneas")
         .when((ext == ".csv") & ~F.col("cabecera").rlike("[;,\t]"), "sin separador")
         .when((ext != ".csv") & (F.col("bytes") < 1000), "hoja corrupta"))
-    return files.select("nombre", "bytes", reason.alias("motivo"))
+    return files.select(*keys, "nombre", "bytes", reason.alias("motivo"))
 
 
 def file_stats(verdicts: DataFrame) -> DataFrame:
