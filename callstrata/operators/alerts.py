@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callstrata.functions.numbering import disorder
 from callstrata.functions.stats import pct
+from callstrata.operators.insight import temporal_gaps
 
 SEVERITY = {"CRITICA": 0, "ALTA": 1, "MEDIA": 2, "BAJA": 3}
 
@@ -185,18 +187,17 @@ def role_recommendations(share: DataFrame) -> DataFrame:
 
 
 def validation_alerts(raw: DataFrame, daily: DataFrame, as_of: str, seq: str = "call_id") -> DataFrame:
-    """Findings on the log and its daily series with their counts: invalid dates, future rows, disorder, gaps, empty."""
-    from callstrata.functions.numbering import disorder
-    from callstrata.operators.cleaning import parse_report
-    from callstrata.operators.insight import temporal_gaps
-
-    bad = parse_report(raw).select(F.lit("fechas_invalidas").alias("hallazgo"), F.col("invalidas").alias("n"))
-    empty = parse_report(raw).select(F.lit("sin_datos").alias("hallazgo"),
-                                     F.when(F.col("validas") == 0, 1).otherwise(0).cast("long").alias("n"))
-    late = raw.agg(F.count_if(F.to_date("FECHA") > F.lit(as_of).cast("date")).alias("n")).select(
-        F.lit("fechas_futuras").alias("hallazgo"), "n")
-    order = disorder(raw, seq, "FECHA").select(F.lit("filas_desordenadas").alias("hallazgo"),
-                                               F.col("retrocesos").alias("n"))
-    gaps = temporal_gaps(daily).agg(F.count(F.lit(1)).alias("n")).select(F.lit("brechas").alias("hallazgo"), "n")
-    found = bad.unionByName(empty).unionByName(late).unionByName(order).unionByName(gaps)
-    return found.where(F.col("n") > 0)
+    """Findings with their counts: invalid dates, an empty log, future rows, disorder, gaps.
+
+    ``raw`` carries FECHA, null where the text could not be read.
+    """
+    found = lambda name, n: F.struct(F.lit(name).alias("hallazgo"), n.cast("long").alias("n"))
+    dated = F.count("FECHA")
+    basic = raw.agg(
+        (F.count(F.lit(1)) - dated).alias("_bad"), F.when(dated == 0, 1).otherwise(0).alias("_none"),
+        F.count_if(F.to_date("FECHA") > F.lit(as_of).cast("date")).alias("_late")).select(F.inline(F.array(
+            found("fechas_invalidas", F.col("_bad")), found("sin_datos", F.col("_none")),
+            found("fechas_futuras", F.col("_late")))))
+    order = disorder(raw, seq, "FECHA").select(F.inline(F.array(found("filas_desordenadas", F.col("retrocesos")))))
+    gaps = temporal_gaps(daily).agg(F.count(F.lit(1)).alias("_g")).select(F.inline(F.array(found("brechas", F.col("_g")))))
+    return basic.unionByName(order).unionByName(gaps).where(F.col("n") > 0)

@@ -19,28 +19,30 @@ def audit_summary(calls: DataFrame) -> DataFrame:
         F.count_if(F.col("ATENDIDA") == "Si").alias("atendidas"))
 
 
-def _key_rows(*pairs):
-    return F.inline(F.array(*[
-        F.struct(F.lit(m).alias("metrica"), k.cast("string").alias("clave"), v.cast("string").alias("valor"))
-        for m, k, v in pairs]))
-
-
 def temporal_profile(calls: DataFrame) -> DataFrame:
     """(metrica, clave, valor): range, days, null dates, calls per weekday name and month name.
 
-    Everything is derived from one count per day.
+    The log becomes one count per day; each day then feeds its weekday, its
+    month and the overall range, so everything comes from one scan.
     """
     days = calls.groupBy(F.to_date("FECHA").alias("ds")).agg(F.count(F.lit(1)).alias("n"))
-    none = F.lit(None)
-    span = days.agg(F.min("ds").alias("a"), F.max("ds").alias("b"), F.count("ds").alias("d"),
-                    F.coalesce(F.sum(F.when(F.col("ds").isNull(), F.col("n"))), F.lit(0)).alias("z")).select(
-        _key_rows(("fecha_minima", none, F.col("a")), ("fecha_maxima", none, F.col("b")),
-                  ("dias_totales", none, F.datediff("b", "a")), ("dias_unicos", none, F.col("d")),
-                  ("fechas_nulas", none, F.col("z"))))
-    named = days.where(F.col("ds").isNotNull()).select("n", _key_rows(
-        ("dia_semana", F.date_format("ds", "EEEE"), none), ("mes", F.date_format("ds", "MMMM"), none)))
-    counts = named.groupBy("metrica", "clave").agg(F.sum("n").cast("string").alias("valor"))
-    return span.unionByName(counts)
+    feed = lambda m, k: F.struct(F.lit(m).alias("metrica"), k.cast("string").alias("clave"))
+    dated = F.col("ds").isNotNull()
+    fed = days.select("ds", "n", F.inline(F.array_compact(F.array(
+        F.when(dated, feed("dia_semana", F.date_format("ds", "EEEE"))),
+        F.when(dated, feed("mes", F.date_format("ds", "MMMM"))),
+        feed("rango", F.lit(None))))))
+    groups = fed.groupBy("metrica", "clave").agg(
+        F.sum("n").alias("n"), F.min("ds").alias("a"), F.max("ds").alias("b"), F.count("ds").alias("d"),
+        F.coalesce(F.sum(F.when(F.col("ds").isNull(), F.col("n"))), F.lit(0)).alias("z"))
+    row = lambda m, v, k=None: F.struct(
+        (F.lit(m) if isinstance(m, str) else m).alias("metrica"),
+        (F.lit(None) if k is None else k).cast("string").alias("clave"), v.cast("string").alias("valor"))
+    span = F.array(row("fecha_minima", F.col("a")), row("fecha_maxima", F.col("b")),
+                   row("dias_totales", F.datediff("b", "a")), row("dias_unicos", F.col("d")),
+                   row("fechas_nulas", F.col("z")))
+    one = F.array(row(F.col("metrica"), F.col("n"), F.col("clave")))
+    return groups.select(F.inline(F.when(F.col("metrica") == "rango", span).otherwise(one)))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -93,19 +95,14 @@ def daily_stats(days: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("dias"), F.count_if(F.col("y") == 0).alias("dias_sin_llamadas"))
 
 
-def iqr_bounds(days: DataFrame, by: list[str]) -> DataFrame:
-    q = days.groupBy(*by).agg(F.percentile("y", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    iqr = F.col("q")[1] - F.col("q")[0]
-    return q.select(*by, (F.col("q")[0] - 1.5 * iqr).alias("limite_inferior"),
-                    (F.col("q")[1] + 1.5 * iqr).alias("limite_superior"))
-
-
-def iqr_outliers(daily: DataFrame, by: str = "serie") -> DataFrame:
-    """Days outside the quartile fences of their series."""
-    return daily.join(iqr_bounds(daily, [by]), by).withColumn(
+def iqr_outliers(daily: DataFrame, *by: str) -> DataFrame:
+    """Days outside the quartile fences of their series; the fences come from a window, so the series is read once."""
+    quartiles = F.percentile("y", F.array(F.lit(0.25), F.lit(0.75))).over(Window.partitionBy(*by))
+    low, high = F.col("_q")[0], F.col("_q")[1]
+    return daily.withColumn("_q", quartiles).withColumns({
+        "limite_inferior": low - 1.5 * (high - low), "limite_superior": high + 1.5 * (high - low)}).withColumn(
         "lado", F.when(F.col("y") > F.col("limite_superior"), "superior")
-        .when(F.col("y") < F.col("limite_inferior"), "inferior")).where(F.col("lado").isNotNull()).select(
-        by, "ds", "y", "limite_inferior", "limite_superior", "lado")
+        .when(F.col("y") < F.col("limite_inferior"), "inferior")).where(F.col("lado").isNotNull()).drop("_q")
 
 
 def seasonal_profile(calls: DataFrame) -> DataFrame:
@@ -126,11 +123,11 @@ def peak_valley(seasonal: DataFrame) -> DataFrame:
         "pico": F.row_number().over(by.orderBy(F.desc("n"), "clave")),
         "valle": F.row_number().over(by.orderBy("n", "clave")),
         "variabilidad": F.try_divide(F.stddev_samp("n").over(by), F.avg("n").over(by))})
-    high = ranked.where("pico <= 3").select("dimension", F.lit("pico").alias("clase"), F.col("pico").alias("puesto"),
-                                            "clave", "n", "variabilidad")
-    low = ranked.where("valle <= 3 AND dimension = 'hora'").select(
-        "dimension", F.lit("valle").alias("clase"), F.col("valle").alias("puesto"), "clave", "n", "variabilidad")
-    return high.unionByName(low)
+    row = lambda kind, rank: F.struct(F.lit(kind).alias("clase"), F.col(rank).alias("puesto"))
+    picked = F.array_compact(F.array(
+        F.when(F.col("pico") <= 3, row("pico", "pico")),
+        F.when((F.col("valle") <= 3) & (F.col("dimension") == "hora"), row("valle", "valle"))))
+    return ranked.select("dimension", "clave", "n", "variabilidad", F.inline(picked))
 
 
 def completeness(df: DataFrame) -> DataFrame:

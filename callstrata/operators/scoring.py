@@ -61,12 +61,12 @@ def system_alerts(perf: DataFrame, runs: DataFrame) -> DataFrame:
             _fmt("%d alertas críticas en predicciones de %s", F.col("alertas_criticas"), s),
             "Revisar configuración de umbrales y capacidad operativa")))
     # One row: the overall state next to the score of the latest stored run.
-    last = runs.agg(F.max_by("score", "run_ts").alias("previo")).withColumn("_k", F.lit(1))
-    overall = perf.agg(F.max("score_general").alias("score"), F.max("estado").alias("estado")).withColumn("_k", F.lit(1))
+    last = runs.agg(F.max_by("score", "run_ts")).scalar()
+    overall = perf.agg(F.max("score_general").alias("score"), F.max("estado").alias("estado")).withColumn("previo", last)
     drop = F.when(F.col("previo") > 0, (F.col("previo") - F.col("score")) / F.col("previo") * 100)
     bad = F.col("estado").isin("CRITICO", "REQUIERE_ATENCION")
     whole = _rules(
-        overall.join(F.broadcast(last), "_k"),
+        overall,
         (drop > DEGRADATION_PCT, row(
             "DEGRADACION_PERFORMANCE", "ALTA", "Sistema General",
             _fmt("Degradación de %.1f%% en performance general", _one(drop)),

@@ -95,7 +95,7 @@ def _(v: Views):
   SELECT *, CASE WHEN y>limite_superior THEN 'superior' ELSE 'inferior' END AS lado FROM j WHERE y>limite_superior OR y<limite_inferior""",
        dbl="limite_inferior limite_superior")
 def _(v: Views):
-    return audit.iqr_outliers(v.sparse.select("serie", "ds", "y"))
+    return audit.iqr_outliers(v.sparse.select("serie", "ds", "y"), "serie")
 
 
 _SEASON = """SELECT 'hora' AS dimension, CAST(hour(FECHA) AS INTEGER) AS clave, count(*) AS n FROM calls WHERE isodow(FECHA)<=5 GROUP BY 2

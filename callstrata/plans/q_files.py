@@ -130,7 +130,7 @@ def _(v: Views):
 @query("sink_json_report", """SELECT (SELECT count(*) FROM calls) AS total, (SELECT count(*) FROM (SELECT DISTINCT hour(FECHA) FROM calls)) AS horas,
   (SELECT count(*) FILTER (WHERE ATENDIDA='Si') FROM calls) AS atendidas""")
 def _(v: Views):
-    report = sinks.nested_report(resumen=audit.audit_summary(v.calls), por_hora=segment.calls_per_hour(v.calls))
+    report = sinks.nested_report(v.spark, resumen=audit.audit_summary(v.calls), por_hora=segment.calls_per_hour(v.calls))
     path = sinks.write_report(report, shared_dir(v.spark, "report"))
     back = v.spark.read.schema(report.schema).json(path)
     return back.select(F.col("resumen")[0]["total"].alias("total"), F.size("por_hora").cast("long").alias("horas"),

@@ -371,15 +371,14 @@ def _(v: Views):
 # --- recommendations over the audit ------------------------------------------------------------
 
 def _audit_metrics(v: Views):
-    key = F.lit(1).alias("_k")
+    """The four figures the rules look at, as one row of independent subqueries."""
     days = audit.business_days(v.calls)
-    stats = audit.daily_stats(days).select("coef_variacion", key)
-    keyed = days.withColumn("_k", F.lit(1))
-    out = audit.iqr_outliers(keyed, "_k").groupBy("_k").agg(rows().alias("atipicos"))
-    hours = audit.seasonal_profile(v.calls).where("dimension = 'hora'").agg(
-        (F.stddev_samp("n") / F.avg("n")).alias("variabilidad_horaria")).withColumn("_k", F.lit(1))
-    score = audit.completeness(v.calls).agg(F.max("score_promedio").alias("score_promedio")).withColumn("_k", F.lit(1))
-    return stats.join(score, "_k").join(hours, "_k").join(out, "_k", "left").fillna(0, ["atipicos"])
+    outliers = audit.iqr_outliers(days).agg(rows())
+    hours = audit.seasonal_profile(v.calls).where("dimension = 'hora'").agg(F.stddev_samp("n") / F.avg("n"))
+    score = audit.completeness(v.calls).agg(F.max("score_promedio"))
+    return audit.daily_stats(days).select(
+        "coef_variacion", score.scalar().alias("score_promedio"), hours.scalar().alias("variabilidad_horaria"),
+        outliers.scalar().alias("atipicos"))
 
 
 _D = "SELECT CAST(FECHA AS DATE) AS ds, count(*) AS y FROM calls WHERE isodow(FECHA)<=5 GROUP BY 1"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,16 +19,13 @@ def write_report(report: DataFrame, path: str) -> str:
     return path
 
 
-def nested_report(**sections: DataFrame) -> DataFrame:
-    """One row whose columns are the sections: single rows as structs, key tables as lists.
+def nested_report(spark: SparkSession, **sections: DataFrame) -> DataFrame:
+    """One row whose columns are the sections, each a sorted list of structs.
 
-    Sections are summaries, a few rows each; they are joined on a constant key.
+    Sections are summaries of a few rows; each is a subquery of its own.
     """
-    out = None
-    for name, df in sections.items():
-        rows = df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name)).withColumn("_k", F.lit(1))
-        out = rows if out is None else out.join(rows, "_k")
-    return out.drop("_k")
+    lists = {n: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns)))).scalar() for n, df in sections.items()}
+    return spark.range(1).select(*[c.alias(n) for n, c in lists.items()])
 
 
 def save_model(model, path: str) -> str:
