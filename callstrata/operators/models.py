@@ -23,15 +23,20 @@ from callstrata.operators.features import TRAIN_COLS, training_features
 from callstrata.schema import Z80
 
 SEED = 42
+LINEAR_KINDS = ("linear", "ridge", "lasso", "elastic_net")
+TREE_KINDS = ("random_forest", "gradient_boosting", "decision_tree")
 
 # --- pyspark.ml regressors ---------------------------------------------------------------------
 
 
-def estimator(kind: str, n: int = 1, alpha: float = 1.0, l1_ratio: float = 0.5, **params) -> Pipeline:
-    """Unfitted pipeline of a model kind over the training columns; ``n`` is the number of training rows.
+def estimator(kind: str, n: int = 1, y_std: float = 1.0, alpha: float = 1.0, l1_ratio: float = 0.5, **params) -> Pipeline:
+    """Unfitted pipeline of a model kind over the training columns.
 
-    Linear penalties are stated for a summed squared error (ridge) or a mean
-    squared error halved (lasso, elastic net) and translated to Spark's mean form.
+    ``n`` and ``y_std`` are the rows and the population deviation of the label in
+    the training set. Penalties are stated for a summed squared error (ridge) or
+    half the mean squared error (lasso, elastic net). Spark uses the mean form
+    and divides the squared part of the penalty by the label's deviation, so the
+    two parts are restated here.
     """
     vec = VectorAssembler(inputCols=TRAIN_COLS, outputCol="x")
     trees = {"featuresCol": "x", "labelCol": "y", "seed": SEED}
@@ -43,8 +48,10 @@ def estimator(kind: str, n: int = 1, alpha: float = 1.0, l1_ratio: float = 0.5,
     elif kind == "decision_tree":
         reg = DecisionTreeRegressor(**{**trees, "maxDepth": 10, **params})
     else:
-        mix, reg_param = {"linear": (0.0, 0.0), "ridge": (0.0, alpha / max(n, 1)), "lasso": (1.0, alpha),
-                          "elastic_net": (l1_ratio, alpha)}[kind]
+        square, absolute = {"linear": (0.0, 0.0), "ridge": (alpha / max(n, 1), 0.0), "lasso": (0.0, alpha),
+                            "elastic_net": (alpha * (1 - l1_ratio), alpha * l1_ratio)}[kind]
+        reg_param = absolute + square * (y_std or 1.0)
+        mix = absolute / reg_param if reg_param else 0.0
         scale = StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True)
         reg = LinearRegression(featuresCol="z", labelCol="y", elasticNetParam=mix, regParam=reg_param,
                                standardization=False, **params)
@@ -61,8 +68,10 @@ def scaler(kind: str) -> Pipeline:
 
 
 def fit(train: DataFrame, kind: str, **params) -> PipelineModel:
-    n = train.count() if kind == "ridge" else 1
-    return estimator(kind, n=n, **params).fit(train)
+    if kind in LINEAR_KINDS:
+        n, y_std = train.agg(F.count(F.lit(1)), F.stddev_pop("y")).first()
+        params = {"n": n, "y_std": y_std, **params}
+    return estimator(kind, **params).fit(train)
 
 
 def predict(model: PipelineModel, rows: DataFrame, name: str, keep: Iterable[str] = ("serie", "ds", "y")) -> DataFrame:
@@ -253,9 +262,6 @@ def trend_season(daily: DataFrame, days: DataFrame, by=("serie",), hol: DataFram
 
 # --- cross-validation over time ----------------------------------------------------------------
 
-TREE_KINDS = ("random_forest", "gradient_boosting")
-ML_KINDS = (*TREE_KINDS, "ridge")
-
 
 def fold_pairs(daily: DataFrame, models: Iterable[str] = ("arima", "prophet", "ridge"), splits: int = 5, gap: int = 7,
                params: Mapping[str, dict] | None = None) -> DataFrame:
@@ -278,7 +284,7 @@ def fold_pairs(daily: DataFrame, models: Iterable[str] = ("arima", "prophet", "r
         preds.append(ar_forecast(train, best, test).select("serie", "ds", "modelo", "yhat"))
     if "prophet" in models:
         preds.append(trend_season(train, test).select("serie", "ds", "modelo", "yhat"))
-    kinds = [m for m in models if m in (*ML_KINDS, "linear", "lasso", "elastic_net", "decision_tree")]
+    kinds = [m for m in models if m in (*LINEAR_KINDS, *TREE_KINDS)]
     if kinds:
         seen = checkpointed(training_features(train))
         # The days between the end of training and the end of the test rows, so that lags are contiguous.
@@ -327,7 +333,7 @@ def predictions(daily: DataFrame, days: DataFrame, types: Iterable[str],
         preds.append(ar_forecast(daily, best_ar(ar_candidates(daily)), days))
     if "prophet" in models:
         preds.append(trend_season(daily, days).select("serie", "ds", "modelo", "yhat"))
-    kinds = [m for m in models if m not in ("arima", "prophet")]
+    kinds = [m for m in models if m in (*LINEAR_KINDS, *TREE_KINDS)]
     if kinds:
         seen = checkpointed(training_features(daily))
         ahead = checkpointed(future_features(daily, days))

@@ -84,7 +84,7 @@ def search(feat: DataFrame, kind: str, combos: list[dict], types: Iterable[str],
         rows = folds.where((F.col("serie") == t) & (F.col("fold") == fold))
         train, test = rows.where("parte = 'train'"), rows.where("parte = 'test'")
         n = train.count()
-        model = models.estimator(kind, n=n, **combo).fit(train)
+        model = models.fit(train, kind, **combo)
         return (t, kind, i, {a: str(b) for a, b in combo.items()}, fold, n, float(mse(model, train)), float(mse(model, test)))
 
     jobs = [(t, f, i, c) for t in types for f in range(k) for i, c in enumerate(combos)]
