@@ -58,14 +58,44 @@ def scan_text(df: DataFrame, key: str, text: str, patterns=tuple(SUSPICIOUS)) ->
     return low.select(key, F.explode(found).alias("patron"))
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def sanitize(text: Column) -> Column:
-    """Replace credentials, connection strings, paths, stack lines and versions; keep the first line."""
-    out = text
-    for pattern in SENSITIVE:
-        out = F.regexp_replace(out, f"(?iu){pattern}", SENSITIVE_MARK)
-    out = F.regexp_replace(out, LONG_PATH, LONG_PATH_MARK)
-    first = F.substring_index(out, "\n", 1)
-    return F.when(F.contains(out, F.lit("\n")), F.concat(first, F.lit(TRACE_MARK))).otherwise(first)
+    """Replace credentials, connection strings, paths, stack lines and versions; keep the first line.
+
+    The patterns are applied one after the other. Each needs some fixed
+    fragment, so a text is only searched for the patterns whose fragments it
+    holds. The fragments are looked up in the folded original: a replacement
+    cannot bring one in, as none contains a bracket and the marks hold none.
+    """
+    rules = [(f"(?iu){p}", SENSITIVE_MARK, need) for p, need in SENSITIVE]
+
+    def held(folded: Column) -> Column:
+        flags = []
+        for _, _, need in rules:
+            flag = F.contains(folded, F.lit(need[0]))
+            for fragment in need[1:]:
+                flag = flag & F.contains(folded, F.lit(fragment))
+            flags.append(flag)
+        return F.array(*flags)
+
+    def step(prev: Column, flag: Column, pattern: str, mark: str) -> Column:
+        return _with(prev, lambda t: F.when(flag, F.regexp_replace(t, pattern, mark)).otherwise(t))
+
+    def chain(flags: Column) -> Column:
+        out = text
+        for i, (pattern, mark, _) in enumerate(rules):
+            out = step(out, flags[i], pattern, mark)
+        return F.regexp_replace(out, LONG_PATH, LONG_PATH_MARK)
+
+    # The letters outside ASCII that a case-blind match takes for s, k and i.
+    folded = F.lower(F.translate(text, "\u017f\u212a\u0130\u0131", "skii"))
+    clean = _with(_with(folded, held), chain)
+    first = lambda t: F.substring_index(t, "\n", 1)
+    return _with(clean, lambda t: F.when(F.contains(t, F.lit("\n")), F.concat(first(t), F.lit(TRACE_MARK))).otherwise(t))
 
 
 def file_verdicts(files: DataFrame, *keys: str) -> DataFrame:

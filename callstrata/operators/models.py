@@ -103,6 +103,32 @@ def future_features(daily: DataFrame, days: DataFrame) -> DataFrame:
     return training_features(both).join(marks, ["serie", "ds"], "left_semi")
 
 
+def ridge_by_series(seen: DataFrame, ahead: DataFrame, alpha: float = 1.0, by=("serie",)) -> DataFrame:
+    """(keys, ds, modelo, yhat): the scaled ridge of ``estimator`` for every series in one job.
+
+    Used where there are many series or folds; each is one small system, solved
+    where its rows are, instead of one fit after the other.
+    """
+    keys = list(by)
+    x = F.array(*[F.col(c).cast("double") for c in TRAIN_COLS])
+    rows = seen.select(*keys, "ds", F.col("y").cast("double").alias("y"), x.alias("x"), F.lit(False).alias("_new")).unionByName(
+        ahead.select(*keys, "ds", F.lit(None).cast("double").alias("y"), x.alias("x"), F.lit(True).alias("_new")))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seen.select(*keys).schema)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        new, x = pdf["_new"].to_numpy(), np.vstack(pdf["x"].to_numpy())
+        if new.all():
+            return pd.DataFrame({c: [] for c in [*keys, "ds", "modelo", "yhat"]})
+        xt, y = x[~new], pdf.loc[~pdf["_new"], "y"].to_numpy()
+        mean, dev = xt.mean(axis=0), xt.std(axis=0, ddof=1) if len(xt) > 1 else np.zeros(x.shape[1])
+        scale = np.where(dev > 0, 1 / np.where(dev > 0, dev, 1), 0.0)
+        z = (xt - mean) * scale
+        coef = np.linalg.solve(z.T @ z + alpha * np.eye(z.shape[1]), z.T @ (y - y.mean()))
+        return pdf.loc[pdf["_new"], [*keys, "ds"]].assign(modelo="ridge", yhat=((x[new] - mean) * scale) @ coef + y.mean())
+
+    return rows.groupBy(*keys).applyInPandas(solve, f"{fields}, ds date, modelo string, yhat double")
+
+
 # --- autoregression per series -----------------------------------------------------------------
 
 AR_ORDERS = [(p, d, q, s) for p in range(3) for d in range(2) for q in range(3) for s in (0, 1)]
@@ -120,6 +146,11 @@ def _lagged(z: np.ndarray, e: np.ndarray, ar: list[int], ma: list[int], start: i
     return np.column_stack(cols)
 
 
+def _solve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least squares through the normal equations, with a trace of ridge against singular columns."""
+    return np.linalg.solve(x.T @ x + 1e-8 * np.eye(x.shape[1]), x.T @ y)
+
+
 def _ar_fit(y: np.ndarray, p: int, d: int, q: int, s: int):
     """Two-step regression: residuals of a long autoregression stand in for the shocks of the moving-average terms."""
     z = _difference(y.astype(float), d, s)
@@ -130,10 +161,10 @@ def _ar_fit(y: np.ndarray, p: int, d: int, q: int, s: int):
         return None
     a = _lagged(z, z, list(range(1, long + 1)), [], long)
     e = np.zeros(len(z))
-    e[long:] = z[long:] - a @ np.linalg.lstsq(a, z[long:], rcond=None)[0]
+    e[long:] = z[long:] - a @ _solve(a, z[long:])
     start = long + _WEEK
     x = _lagged(z, e, ar, ma, start)
-    coef = np.linalg.lstsq(x, z[start:], rcond=None)[0]
+    coef = _solve(x, z[start:])
     resid = z[start:] - x @ coef
     n, sse = len(resid), max(float(resid @ resid), 1e-12)
     e[start:] = resid
@@ -292,6 +323,10 @@ def fold_pairs(daily: DataFrame, models: Iterable[str] = ("arima", "prophet", "r
             test.groupBy("serie").agg(F.max("ds").alias("_b")), "serie")
         days = span.select("serie", F.explode(F.sequence(F.date_add("_a", 1), "_b")).alias("ds"))
         ahead = checkpointed(future_features(train, days).join(test.select("serie", "ds"), ["serie", "ds"], "left_semi"))
+        if "ridge" in kinds:
+            preds.append(ridge_by_series(seen, ahead, **params.get("ridge", {})))
+            kinds.remove("ridge")
+    if kinds:
         groups = [r[0] for r in span.select("serie").orderBy("serie").collect()]  # call types x folds
         for kind in kinds:
             preds += fit_groups(seen, ahead, groups, kind, **params.get(kind, {}))
@@ -338,5 +373,6 @@ def predictions(daily: DataFrame, days: DataFrame, types: Iterable[str],
         seen = checkpointed(training_features(daily))
         ahead = checkpointed(future_features(daily, days))
         for kind in kinds:
-            preds += fit_groups(seen, ahead, list(types), kind, **params.get(kind, {}))
+            preds += ([ridge_by_series(seen, ahead, **params.get(kind, {}))] if kind == "ridge"
+                      else fit_groups(seen, ahead, list(types), kind, **params.get(kind, {})))
     return functools.reduce(DataFrame.unionByName, preds)

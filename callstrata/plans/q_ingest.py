@@ -336,7 +336,7 @@ def _sanitize_sql() -> str:
     from callstrata.schema import LONG_PATH, LONG_PATH_MARK, SENSITIVE, SENSITIVE_MARK, TRACE_MARK
     q = lambda s: s.replace("'", "''")
     e = "text"
-    for p in SENSITIVE:
+    for p, _ in SENSITIVE:
         e = f"regexp_replace({e}, '{q(p)}', '{SENSITIVE_MARK}', 'gi')"
     e = f"regexp_replace({e}, '{q(LONG_PATH)}', '{LONG_PATH_MARK}', 'g')"
     return (f"SELECT doc_id, CASE WHEN contains(t, chr(10)) THEN split_part(t, chr(10), 1)||'{TRACE_MARK}' ELSE t END AS limpio "

@@ -105,24 +105,24 @@ SUSPICIOUS = [
     "shell_exec", "<?php", "<%", "select * from", "drop table", "delete from", "insert into", "update set",
 ]
 
-# What is removed from error texts, in order of application.
+# What is removed from error texts, in order of application, with the fragments a match must hold.
 SENSITIVE = [
-    r'password["\s]*[:=]["\s]*[^"\s]+',
-    r'token["\s]*[:=]["\s]*[^"\s]+',
-    r'key["\s]*[:=]["\s]*[^"\s]+',
-    r'secret["\s]*[:=]["\s]*[^"\s]+',
-    r'postgresql://[^"\s]+',
-    r'mysql://[^"\s]+',
-    r'mongodb://[^"\s]+',
-    r'[C-Z]:\\[^"\s]+',
-    r'/home/[^"\s]+',
-    r'/var/[^"\s]+',
-    r'/usr/[^"\s]+',
-    r'File "[^"]+", line \d+',
-    r'at [^\s]+ \([^)]+\)',
-    r'Python \d+\.\d+\.\d+',
-    r'FastAPI \d+\.\d+\.\d+',
-    r'uvicorn \d+\.\d+\.\d+',
+    (r'password["\s]*[:=]["\s]*[^"\s]+', ("password",)),
+    (r'token["\s]*[:=]["\s]*[^"\s]+', ("token",)),
+    (r'key["\s]*[:=]["\s]*[^"\s]+', ("key",)),
+    (r'secret["\s]*[:=]["\s]*[^"\s]+', ("secret",)),
+    (r'postgresql://[^"\s]+', ("postgresql://",)),
+    (r'mysql://[^"\s]+', ("mysql://",)),
+    (r'mongodb://[^"\s]+', ("mongodb://",)),
+    (r'[C-Z]:\\[^"\s]+', (":\\",)),
+    (r'/home/[^"\s]+', ("/home/",)),
+    (r'/var/[^"\s]+', ("/var/",)),
+    (r'/usr/[^"\s]+', ("/usr/",)),
+    (r'File "[^"]+", line \d+', ('file "', '", line ')),
+    (r'at [^\s]+ \([^)]+\)', ("at ", " (")),
+    (r'Python \d+\.\d+\.\d+', ("python ",)),
+    (r'FastAPI \d+\.\d+\.\d+', ("fastapi ",)),
+    (r'uvicorn \d+\.\d+\.\d+', ("uvicorn ",)),
 ]
 SENSITIVE_MARK = "[SENSITIVE_DATA_REMOVED]"
 LONG_PATH, LONG_PATH_MARK = r"[/\\][a-zA-Z0-9_\\/-]{20,}", "[PATH_REMOVED]"

@@ -172,12 +172,35 @@ def test_clean_users_defaults(spark):
 
 def test_sanitize(spark):
     text = 'error PASSWORD="abc" at /home/user/x token: zzz C:\\secret\\p Python 3.11.2\nTraceback'
-    got = spark.createDataFrame([(text,)], "t string").select(governance.sanitize(F.col("t"))).first()[0]
+    clean = lambda *t: [r["o"] for r in spark.createDataFrame([(x,) for x in t], "t string").select(governance.sanitize(F.col("t")).alias("o")).collect()]
+    got = clean(text)[0]
     for gone in ("abc", "/home", "zzz", "3.11.2", "Traceback", "secret\\p"):
         assert gone not in got
     assert got.endswith("[Stack trace removed in production]")
 
 
+def test_sanitize_equals_plain_regular_expressions(spark):
+    import random
+    import re
+
+    from callstrata.schema import LONG_PATH, LONG_PATH_MARK, SENSITIVE, SENSITIVE_MARK, TRACE_MARK
+
+    def plain(t):
+        for p, _ in SENSITIVE:
+            t = re.sub(p, SENSITIVE_MARK, t, flags=re.IGNORECASE)
+        t = re.sub(LONG_PATH, LONG_PATH_MARK, t)
+        return t.split("\n")[0] + TRACE_MARK if "\n" in t else t
+
+    rnd = random.Random(1)
+    bits = ["password", "pa\u017f\u017fword", "to\u212aen", "TOKEN", "key", "secret", "mysql://u", "postgresql://", "MONGODB://x", "c:\\tmp", "/home/a", "/VAR/", "/usr/lib",
+            'File "a.py", line 3', 'F\u0130LE "b", l\u0131ne 4', "at foo (b.js)", "Python 3.1.2", "uv\u0131corn 1.2.3", "fastapi 0.1.1", ":", "=", '"', " ", " ", "\n", "x", "/abcdefghij_klmnopqrst-uv", "[", "("]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 14))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["o"] for r in df.select("i", governance.sanitize(F.col("t")).alias("o")).collect()}
+    bad = [(t, got[i], plain(t)) for i, t in enumerate(texts) if got[i] != plain(t)]
+    assert not bad, bad[:3]
+
+
 def test_file_rules(spark):
     rows = [("a.csv", 500, 3, "x;y"), ("nul.CSV", 500, 3, "x;y"), ("a.csv", 99, 3, "x;y"), ("a.csv", 60_000_000, 3, "x;y"), ("a.pdf", 500, 3, "x;y"),
             ("a.csv", 500, 1, "x;y"), ("a.csv", 500, 3, "xy"), ("a.xlsx", 500, 0, ""), (".a.csv", 500, 3, "x;y"), ("a..csv", 500, 3, "x;y"), ("", 500, 3, "x;y")]

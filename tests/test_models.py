@@ -84,6 +84,18 @@ def test_ridge_equals_the_closed_form(spark, planted):
     np.testing.assert_allclose(got, z @ w + y.mean(), rtol=1e-5, atol=1e-4)
 
 
+def test_ridge_by_series_equals_the_single_fits(planted, split):
+    feat = features.training_features(split[0])
+    days = split[1].select("serie", "ds")
+    ahead = models.future_features(split[0], days)
+    got = {(r["serie"], r["ds"]): r["yhat"] for r in models.ridge_by_series(feat, ahead).collect()}
+    assert len(got) == 56
+    for t in ("in", "out"):
+        one = models.predict(models.fit(feat.where(F.col("serie") == t), "ridge"), ahead.where(F.col("serie") == t), "ridge", keep=("serie", "ds"))
+        for r in one.collect():
+            assert abs(got[(t, r["ds"])] - r["yhat"]) < 1e-3
+
+
 def test_penalties_follow_their_objective(spark, planted):
     """Lasso and elastic net: no move along any axis lowers half the mean squared error plus the penalty."""
     feat = features.training_features(planted).where("serie = 'in'").orderBy("ds")
