@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_rows(df: DataFrame, key: str, out: str = "n", width: int = 100_000) -> DataFrame:
+def number_rows(df: DataFrame, key: str, out: str = "n", width: int = 1_000_000) -> DataFrame:
     """1-based position of each row in the order of a unique integer ``key``.
 
     Rows are numbered inside key ranges of ``width`` and shifted by the size of
@@ -22,7 +22,7 @@ def number_rows(df: DataFrame, key: str, out: str = "n", width: int = 100_000) -
         out, F.col("_pos") + F.col("_antes")).drop("_rango", "_pos", "_antes")
 
 
-def disorder(df: DataFrame, seq: str, value: str, width: int = 100_000) -> DataFrame:
+def disorder(df: DataFrame, seq: str, value: str, width: int = 1_000_000) -> DataFrame:
     """One row: rows, steps that go back in ``value`` when read by ``seq``, and whether it is in order."""
     part = df.select(F.floor(F.col(seq) / width).alias("_rango"), F.col(seq).alias("_s"), F.col(value).alias("_v"))
     w = Window.partitionBy("_rango").orderBy("_s")

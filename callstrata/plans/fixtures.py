@@ -152,7 +152,7 @@ class Views:
     def api_calls(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("int")
         return self.events.select(
-            F.col("event_id").alias("id"), F.lit("reservo").alias("api_provider"),
+            F.col("event_id").alias("id"), F.lit("citas").alias("api_provider"),
             F.concat(F.lit("/"), "event_type").alias("endpoint"), (F.col("event_type") != "error").alias("success"),
             (F.col("value") * 10).cast("int").alias("response_time_ms"), k.alias("records_retrieved"),
             F.col("ts").cast("timestamp_ntz").alias("created_at"))
@@ -353,7 +353,7 @@ CTE: dict[str, str] = {
     "daily": _complete_sql("sparse"),
     "marked": marked_sql("(SELECT *, CAST(FECHA AS DATE) AS ds FROM calls_long)", "near_long"),
     "marked_calls": marked_sql("(SELECT *, CAST(FECHA AS DATE) AS ds FROM calls)", "near"),
-    "api_calls": """SELECT event_id AS id, 'reservo' AS api_provider, '/'||event_type AS endpoint, event_type<>'error' AS success,
+    "api_calls": """SELECT event_id AS id, 'citas' AS api_provider, '/'||event_type AS endpoint, event_type<>'error' AS success,
       CAST(trunc(value*10) AS INTEGER) AS response_time_ms, CAST(json_extract_string(props,'$.k') AS INTEGER) AS records_retrieved,
       ts AS created_at FROM events""",
     "sessions": """SELECT o_orderkey AS session_id, o_custkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'completed'

@@ -31,10 +31,10 @@ def _(v: Views):
     return cleaning.read_range(v.table("orders"), "o_orderdate", AS_OF_LONG).select("o_orderkey", "o_orderdate", "o_totalprice")
 
 
-@query("scan_audit_filtered", """SELECT * FROM api_calls WHERE api_provider='reservo' AND created_at >= TIMESTAMP '2024-01-25'
+@query("scan_audit_filtered", """SELECT * FROM api_calls WHERE api_provider='citas' AND created_at >= TIMESTAMP '2024-01-25'
   ORDER BY created_at DESC, id DESC LIMIT 1000""")
 def _(v: Views):
-    return scoring.audit_calls(v.api_calls, "reservo", "2024-01-25", 1000)
+    return scoring.audit_calls(v.api_calls, "citas", "2024-01-25", 1000)
 
 
 @query("alias_map_calls", """SELECT f.campo, f.columna, false AS valido, (SELECT count(*) FROM calls) AS total_registros
