@@ -79,12 +79,13 @@ def feature_matrix(daily: DataFrame) -> DataFrame:
     return out.dropna()
 
 
-def training_features(daily: DataFrame) -> DataFrame:
+def training_features(daily: DataFrame, *keep: str) -> DataFrame:
     """Features known before the day they describe: rolling frames end one row earlier, no centred z.
 
-    ``dow_previa`` is the mean of the earlier rows of the same weekday.
+    ``dow_previa`` is the mean of the earlier rows of the same weekday; ``keep``
+    names further columns to carry along.
     """
-    base = daily.select("serie", "ds", F.col("y").cast("double").alias("y"))
+    base = daily.select("serie", "ds", F.col("y").cast("double").alias("y"), *keep)
     same = Window.partitionBy("serie", F.weekday("ds")).orderBy("ds").rowsBetween(Window.unboundedPreceding, -1)
     out = rolling_slope(rolling_mean_std(lag_features(calendar_features(base)), shift=1), shift=1)
     return out.withColumn("dow_previa", F.avg("y").over(same)).dropna()

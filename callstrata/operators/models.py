@@ -89,18 +89,22 @@ def train_and_score(feat: DataFrame, kind: str, types: Iterable[str], share: flo
 # --- features of days to come ------------------------------------------------------------------
 
 
-def future_features(daily: DataFrame, days: DataFrame) -> DataFrame:
-    """Feature rows for coming days, all at once.
+def features_through(daily: DataFrame, days: DataFrame) -> DataFrame:
+    """Feature rows of the history and of coming days in one pass; ``futuro`` marks the latter.
 
     The history is extended by the weekday mean of its series; the window
     features are then taken over the extended series, so a lag that reaches back
-    into history is the known value and a later one is the expected value.
+    into history is the known value and a later one is the expected value. The
+    frames only look back, so history rows are what they are without the extension.
     """
-    ahead = ensemble.weekday_baseline(days, daily).select("serie", "ds", F.col("base").alias("y"), F.lit(True).alias("_f"))
-    known = daily.select("serie", "ds", F.col("y").cast("double").alias("y"), F.lit(False).alias("_f"))
-    both = known.unionByName(ahead)
-    marks = both.where("_f").select("serie", "ds")
-    return training_features(both).join(marks, ["serie", "ds"], "left_semi")
+    ahead = ensemble.weekday_baseline(days, daily).select("serie", "ds", F.col("base").alias("y"), F.lit(True).alias("futuro"))
+    known = daily.select("serie", "ds", F.col("y").cast("double").alias("y"), F.lit(False).alias("futuro"))
+    return training_features(known.unionByName(ahead), "futuro")
+
+
+def future_features(daily: DataFrame, days: DataFrame) -> DataFrame:
+    """Feature rows of coming days."""
+    return features_through(daily, days).where("futuro").drop("futuro")
 
 
 def ridge_by_series(seen: DataFrame, ahead: DataFrame, alpha: float = 1.0, by=("serie",)) -> DataFrame:
@@ -317,12 +321,13 @@ def fold_pairs(daily: DataFrame, models: Iterable[str] = ("arima", "prophet", "r
         preds.append(trend_season(train, test).select("serie", "ds", "modelo", "yhat"))
     kinds = [m for m in models if m in (*LINEAR_KINDS, *TREE_KINDS)]
     if kinds:
-        seen = checkpointed(training_features(train))
         # The days between the end of training and the end of the test rows, so that lags are contiguous.
         span = train.groupBy("serie").agg(F.max("ds").alias("_a")).join(
             test.groupBy("serie").agg(F.max("ds").alias("_b")), "serie")
         days = span.select("serie", F.explode(F.sequence(F.date_add("_a", 1), "_b")).alias("ds"))
-        ahead = checkpointed(future_features(train, days).join(test.select("serie", "ds"), ["serie", "ds"], "left_semi"))
+        rows = checkpointed(features_through(train, days))
+        seen = rows.where(~F.col("futuro"))
+        ahead = rows.where("futuro").join(test.select("serie", "ds"), ["serie", "ds"], "left_semi")
         if "ridge" in kinds:
             preds.append(ridge_by_series(seen, ahead, **params.get("ridge", {})))
             kinds.remove("ridge")
@@ -370,8 +375,8 @@ def predictions(daily: DataFrame, days: DataFrame, types: Iterable[str],
         preds.append(trend_season(daily, days).select("serie", "ds", "modelo", "yhat"))
     kinds = [m for m in models if m in (*LINEAR_KINDS, *TREE_KINDS)]
     if kinds:
-        seen = checkpointed(training_features(daily))
-        ahead = checkpointed(future_features(daily, days))
+        rows = checkpointed(features_through(daily, days))
+        seen, ahead = rows.where(~F.col("futuro")), rows.where("futuro")
         for kind in kinds:
             preds += ([ridge_by_series(seen, ahead, **params.get(kind, {}))] if kind == "ridge"
                       else fit_groups(seen, ahead, list(types), kind, **params.get(kind, {})))
