@@ -17,9 +17,9 @@ DIGITS = 6
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six digits, so that the order of additions does not show."""
+    """Doubles to six digits, so that the order of additions does not show; a negative zero becomes zero."""
     return df.withColumns({
-        f.name: F.round(F.col(f"`{f.name}`"), DIGITS) for f in df.schema if isinstance(f.dataType, T.DoubleType)
+        f.name: F.round(F.col(f"`{f.name}`"), DIGITS) + F.lit(0.0) for f in df.schema if isinstance(f.dataType, T.DoubleType)
     }) if any(isinstance(f.dataType, T.DoubleType) for f in df.schema) else df
 
 
@@ -53,7 +53,7 @@ def query(name: str, sql: str | None = None, dbl: str = ""):
         QUERIES[name] = lambda spark, sf_dir: rounded(fn(Views(spark, sf_dir)))
         if sql is not None:
             if dbl:
-                cols = ", ".join(f"round(CAST({c} AS DOUBLE), {DIGITS}) AS {c}" for c in dbl.split())
+                cols = ", ".join(f"round(CAST({c} AS DOUBLE), {DIGITS}) + 0.0::DOUBLE AS {c}" for c in dbl.split())
                 text = f"SELECT * REPLACE ({cols}) FROM ({sql})"
             else:
                 text = sql
