@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+from callstrata.llm import op07_warc, op08_decontam
 from callstrata.llm.op03_secrets import op3_secret_ownership
+from callstrata.llm.op04_license import op4_license_rules
+from callstrata.llm.op05_mixing import op5_source_mix
+from callstrata.llm.op06_lsh_forest import op6_lsh_forest
+from callstrata.llm.op10_toxicity import op10_nearest_examples
 
 QUERIES = {
     "op3_secret_ownership": op3_secret_ownership,
+    "op4_license_rules": op4_license_rules,
+    "op5_source_mix": op5_source_mix,
+    "op6_lsh_forest": op6_lsh_forest,
+    "op7_warc_members": op07_warc.op7_warc_members,
+    "op8_positional_index": op08_decontam.op8_positional_index,
+    "op10_nearest_examples": op10_nearest_examples,
+}
+ORACLES = {
+    "op7_warc_members": op07_warc.ORACLE,
+    "op8_positional_index": op08_decontam.ORACLE,
 }
-ORACLES: dict[str, str] = {}
