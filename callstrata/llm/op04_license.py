@@ -6,7 +6,7 @@ interval of words with a priority; it is suppressed if an interval of a better p
 work: the rules are a small table with a fixed length, joined by keyword.
 
 Defined results: a null or empty text has no words and score 0; repeated rows give repeated result rows; a mention that several
-rules find equally is reported by the best priority, on a tie by each of its labels.
+rules find alike is reported by the best priority, on a tie by each of its labels.
 """
 
 from __future__ import annotations
@@ -187,16 +187,18 @@ def detections(scanned: DataFrame) -> DataFrame:
 
 
 def suppressed(found: DataFrame) -> DataFrame:
-    """Without detections that a detection of a better priority contains, in one pass over each document's intervals.
+    """Without detections inside one of a better priority, or inside a longer one of their own, in one pass over each document's
+    intervals.
 
-    Read by start, longer first, an interval is contained in an earlier one if that one's end is not before its own.
+    Read by start, longer first, better first, an interval lies inside an earlier one if that one's end is not before its own.
     """
-    order = Window.partitionBy("doc_id", "row_key").orderBy("start", F.desc("end"), "prio", "label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = found.withColumns({f"end{p}": F.max(F.when(F.col("prio") == p, F.col("end"))).over(order) for p in range(1, LEVELS)})
+    one = found.groupBy("doc_id", "row_key", "start", "end", "prio").agg(F.collect_set("label").alias("names"), F.max("conf").alias("conf"))
+    order = Window.partitionBy("doc_id", "row_key").orderBy("start", F.desc("end"), "prio").rowsBetween(Window.unboundedPreceding, -1)
+    one = one.withColumns({f"end{p}": F.max(F.when(F.col("prio") == p, F.col("end"))).over(order) for p in range(1, LEVELS + 1)})
     inside = F.lit(False)
-    for p in range(1, LEVELS):
-        inside = inside | ((F.col("prio") > p) & (F.coalesce(F.col(f"end{p}"), F.lit(-1)) >= F.col("end")))
-    return found.filter(~inside).drop(*[f"end{p}" for p in range(1, LEVELS)])
+    for p in range(1, LEVELS + 1):
+        inside = inside | ((F.col("prio") >= p) & (F.coalesce(F.col(f"end{p}"), F.lit(-1)) >= F.col("end")))
+    return one.filter(~inside).drop(*[f"end{p}" for p in range(1, LEVELS + 1)])
 
 
 def find_licenses(docs: DataFrame) -> DataFrame:
@@ -207,7 +209,7 @@ def find_licenses(docs: DataFrame) -> DataFrame:
     """
     scanned = staged(scan(docs, sorted({r["kw"] for r in rules()})))
     kept = suppressed(detections(scanned)).groupBy("doc_id", "row_key").agg(
-        F.array_sort(F.collect_set("label")).alias("found"), F.max("conf").alias("conf"), F.count("*").alias("n_rules"))
+        F.array_distinct(F.flatten(F.collect_list("names"))).alias("found"), F.max("conf").alias("conf"), F.count("*").alias("n_rules"))
     right = kept.withColumnsRenamed({"doc_id": "r_id", "row_key": "r_key"})
     joined = scanned.drop("norm").join(right, scanned.doc_id.eqNullSafe(F.col("r_id")) & (scanned.row_key == F.col("r_key")), "left")
     every = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))

@@ -137,8 +137,8 @@ def op8_positional_index(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH d AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS w FROM documents),
-b AS (SELECT row_number() OVER () AS ino, * FROM (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS w FROM benchmark WHERE text IS NOT NULL)),
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS ino, * FROM (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL)),
 ws AS (SELECT ino, item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM b WHERE len(w) > 0),
 bw AS (SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM ws),
 ns AS (SELECT DISTINCT n FROM bw),
@@ -149,9 +149,9 @@ h AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p
 i AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM m) GROUP BY rid),
 post AS (SELECT rid, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS pos FROM d),
 cnt AS (SELECT term, count(*) AS c FROM post GROUP BY term),
-wt AS (SELECT ino, item, p, unnest(range(p, p + n)) AS at, unnest(w[p:p + n - 1]) AS term FROM ws),
-rk AS (SELECT wt.*, coalesce(c, 0) AS c, row_number() OVER (PARTITION BY ino, p ORDER BY coalesce(c, 0), at) AS r, count(*) OVER (PARTITION BY ino, p) AS k FROM wt LEFT JOIN cnt USING (term)),
-pr AS (SELECT DISTINCT a.ino, a.item, a.at AS pa, a.term AS ta, z.at AS pb, z.term AS tb FROM rk a JOIN rk z USING (ino, p) WHERE a.r = 1 AND z.r = least(2, a.k) AND a.c > 0),
+wt AS (SELECT ino, item, p, unnest(range(p, p + n)) AS spot, unnest(w[p:p + n - 1]) AS term FROM ws),
+rk AS (SELECT wt.*, coalesce(c, 0) AS c, row_number() OVER (PARTITION BY ino, p ORDER BY coalesce(c, 0), spot) AS r, count(*) OVER (PARTITION BY ino, p) AS k FROM wt LEFT JOIN cnt USING (term)),
+pr AS (SELECT DISTINCT a.ino, a.item, a.spot AS pa, a.term AS ta, z.spot AS pb, z.term AS tb FROM rk a JOIN rk z USING (ino, p) WHERE a.r = 1 AND z.r = least(2, a.k) AND a.c > 0),
 nr AS (SELECT rid, count(*) AS n_near FROM (
          SELECT DISTINCT x.rid, pr.item FROM pr JOIN post x ON x.term = ta JOIN post y ON y.term = tb AND y.rid = x.rid AND abs(y.pos - x.pos - pb + pa) <= 3
          EXCEPT SELECT rid, item FROM m) GROUP BY rid)
