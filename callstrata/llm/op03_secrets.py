@@ -116,7 +116,7 @@ def find_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", m
     """One row per document; a value held by more than ``max_owners`` owners is a copied example.
 
     Columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans (base spans, and further spans whose value is live),
-    n_live, n_copied (spans by the corpus-wide verdict), max_owners (most owners of one of its values).
+    n_live, n_copied (spans by the corpus-wide verdict), max_owners (most owners of one of its values), row_key (hash of id and text).
     """
     scanned = staged(scan(docs, repo, owner))
     verdict = ownership(scanned)
@@ -132,8 +132,8 @@ def find_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", m
     return joined.select(
         scanned.doc_id, "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
-        F.coalesce("max_owners", F.lit(0)).cast("long").alias("max_owners"))
+        F.coalesce("max_owners", F.lit(0)).cast("long").alias("max_owners"), "row_key")
 
 
 def op3_secret_ownership(spark, sf_dir: str) -> DataFrame:
-    return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key")

@@ -108,7 +108,8 @@ def exact(corpus: DataFrame, items: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items with a proximity match and no exact one)."""
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items with a proximity match and
+    no exact one), row_key (hash of id and text)."""
     items = staged(items_of(benchmark))
     corpus = store(docs)
     pairs = staged(anchors(items, term_counts(corpus, items)))
@@ -129,11 +130,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP) -> Da
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
-        F.size(F.array_except(F.coalesce("near", none), listed)).cast("long").alias("n_near"))
+        F.size(F.array_except(F.coalesce("near", none), listed)).cast("long").alias("n_near"), "row_key")
 
 
 def op8_positional_index(spark, sf_dir: str) -> DataFrame:
-    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row_key")
 
 
 ORACLE = """

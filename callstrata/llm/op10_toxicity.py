@@ -82,7 +82,7 @@ def vocabulary(docs: DataFrame, sample: DataFrame, size: int = TERMS) -> list[by
 
 
 def vectors(docs: DataFrame, terms: list[bytes]) -> DataFrame:
-    """doc_id, held_out, and the vocabulary's terms of the whole text with their counts."""
+    """doc_id, held_out, row_key, and the vocabulary's terms of the whole text with their counts."""
     number = {t: i for i, t in enumerate(terms)}
     known = frozenset(terms)
 
@@ -95,12 +95,12 @@ def vectors(docs: DataFrame, terms: list[bytes]) -> DataFrame:
                 at.append([number[t] for t in found])
                 n.append([words.count(t) for t in found])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))],
-                ["doc_id", "held_out", "terms", "counts"])
+                [batch.column("doc_id"), batch.column("held_out"), batch.column("row_key"), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))],
+                ["doc_id", "held_out", "row_key", "terms", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
-        count, f"doc_id {kind}, held_out boolean, terms array<int>, counts array<int>")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(
+        count, f"doc_id {kind}, held_out boolean, row_key long, terms array<int>, counts array<int>")
 
 
 def weighed(terms: list[int], counts: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +188,7 @@ def monotone(x: list[float], y: list[int], weight: list[float]) -> tuple[np.ndar
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES, n_terms: int = TERMS, k: int = K) -> DataFrame:
-    """doc_id, held_out, score, predicted, nearest (ids of the three nearest examples), evidence (the text's terms)."""
+    """doc_id, held_out, score, predicted, nearest (ids of the three nearest examples), evidence (the text's terms), row_key."""
     sample, sizes = training_sample(labels, per_class)
     terms = vocabulary(docs, sample, n_terms)
     vecs = staged(vectors(docs, terms))
@@ -232,12 +232,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES
                 evidence.append(b)
             predicted = pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), predicted, pa.array(nearest, pa.string()), pa.array(evidence, pa.string())],
-                ["doc_id", "held_out", "score", "predicted", "nearest", "evidence"])
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), predicted, pa.array(nearest, pa.string()), pa.array(evidence, pa.string()), batch.column("row_key")],
+                ["doc_id", "held_out", "score", "predicted", "nearest", "evidence", "row_key"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return vecs.mapInArrow(rate, f"doc_id {kind}, held_out boolean, score double, predicted int, nearest string, evidence string")
+    return vecs.mapInArrow(rate, f"doc_id {kind}, held_out boolean, score double, predicted int, nearest string, evidence string, row_key long")
 
 
 def op10_nearest_examples(spark, sf_dir: str) -> DataFrame:
-    return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("row_key")
