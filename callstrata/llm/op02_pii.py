@@ -3,7 +3,8 @@
 Base patterns and looser ones give candidate spans. Labelers vote on every candidate: its strict form, a gazetteer of its kind, the
 words before it for and against, and its shape. The votes of the whole corpus, counted by pattern, go into an expectation
 maximisation that estimates each labeler's reliability and a posterior per pattern. On these posteriors a logistic regression is trained
-over votes and span features; it decides which looser candidates become spans. Base spans always stay.
+over votes and span features; it decides which looser candidates become spans. Base spans always stay. Near misses
+of the base patterns (a failed check digit, an address part over 255) take part in the training only.
 
 Only DataFrame functions and ``pyspark.ml`` are used. What reaches the driver are vote patterns, at most ``3 ** 5`` per kind, and
 the coefficients of the model.
@@ -89,6 +90,14 @@ def stays(kind: str) -> Callable[[Column], Column]:
     return lambda c: _stays(kind, c["value"])
 
 
+def misses(kind: str) -> Callable[[Column], Column]:
+    """Near misses: base matches of the right length that fail the test. They vote against themselves, which shows the model false spans."""
+    def one(c: Column) -> Column:
+        long_enough = F.length(digits(c["value"])).between(13, 19) if kind == "card" else F.lit(True)
+        return long_enough & ~_stays(kind, c["value"])
+    return one
+
+
 def _stays(kind: str, value: Column) -> Column:
     if kind == "ip":
         def part(p):
@@ -122,7 +131,7 @@ def spans(text: Column, pattern: str, gate: str) -> Column:
     return F.when(F.rlike(text, F.lit(gate)), F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
 
 
-def judged(kind: str, strict: bool) -> Callable[[Column], Column]:
+def judged(kind: str, strict: int) -> Callable[[Column], Column]:
     """Votes and features of a candidate."""
     def one(c: Column) -> Column:
         value, context = c["value"], c["context"]
@@ -130,7 +139,7 @@ def judged(kind: str, strict: bool) -> Callable[[Column], Column]:
         vote = lambda test, yes, no: F.when(F.coalesce(test, F.lit(False)), F.lit(yes)).otherwise(F.lit(no))
         return F.struct(
             F.lit(KINDS.index(kind)).alias("kind"), c["start"].alias("start"), c["end"].alias("end"),
-            F.lit(1 if strict else 0).alias("strict"), vote(F.rlike(value, F.lit(GAZETTEER[kind])), 1, 0 if kind == "person" else -1).alias("gazetteer"),
+            F.lit(strict).alias("strict"), vote(F.rlike(value, F.lit(GAZETTEER[kind])), 1, 0 if kind == "person" else -1).alias("gazetteer"),
             vote(F.rlike(context, F.lit(FOR[kind])), 1, 0).alias("for"), vote(F.rlike(context, F.lit(AGAINST)), -1, 0).alias("against"),
             vote(F.rlike(value, F.lit(ODD_SHAPE)), -1, 0).alias("shape"),
             F.floor(F.log2(size)).cast("int").alias("log_size"), F.round(F.length(digits(value)) * 4 / size).cast("int").alias("digit_share"),
@@ -150,15 +159,15 @@ def of_kind(i: int) -> Callable[[Column], Column]:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, the base spans of each kind, and the judged candidates: base (``sure``) and looser ones (``maybe``)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumns({k: F.filter(spans(F.col("text"), BASE[k], GATE[k]), stays(k)) for k in BASE_KINDS})
-    rows = rows.withColumns({f"loose{i}": spans(F.col("text"), rx, gate) for i, (_, rx, gate) in enumerate(LOOSE)})
-    sure = F.concat(*[F.transform(k, judged(k, True)) for k in BASE_KINDS])
-    maybe = []
+    rows = rows.select(
+        "doc_id", *[spans(F.col("text"), BASE[k], GATE[k]).alias(f"all_{k}") for k in BASE_KINDS],
+        *[spans(F.col("text"), rx, gate).alias(f"loose{i}") for i, (_, rx, gate) in enumerate(LOOSE)])
+    rows = rows.select("*", *[F.filter(f"all_{k}", stays(k)).alias(k) for k in BASE_KINDS])
+    sure = F.concat(*[F.transform(k, judged(k, 1)) for k in BASE_KINDS])
+    maybe = [F.transform(F.filter(f"all_{k}", misses(k)), judged(k, -1)) for k in ("ip", "card")]
     for i, (kind, _, _) in enumerate(LOOSE):
-        own = F.col(f"loose{i}")
-        if kind in BASE_KINDS:
-            own = F.filter(own, apart(kind))
-        maybe.append(F.transform(own, judged(kind, False)))
+        own = F.filter(f"loose{i}", apart(kind)) if kind in BASE_KINDS else F.col(f"loose{i}")
+        maybe.append(F.transform(own, judged(kind, 0)))
     return rows.select("doc_id", sure.alias("sure"), F.concat(*maybe).alias("maybe"))
 
 
@@ -231,7 +240,7 @@ def find_pii(docs: DataFrame, least: float = 0.5) -> DataFrame:
         logit = F.lit(model[1])
         for w, x in zip(model[0], features(c).values(), strict=True):
             logit = logit + F.lit(w) * x
-        return 1 / (1 + F.exp(-logit)) >= least
+        return (c["strict"] == 0) & (1 / (1 + F.exp(-logit)) >= least)
 
     def told(found: Column) -> Column:
         names = F.array(*map(F.lit, KINDS))
