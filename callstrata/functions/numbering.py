@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callstrata.session import checkpointed
+
+
+def ranged(df: DataFrame, key: str, width: int) -> DataFrame:
+    """The rows in ranges of ``key`` of about ``width`` rows, whatever the values, with the range's number ``_rango``.
+
+    Spark samples the key for the borders; the result is written, so that the
+    numbers stay what they are when a task is repeated.
+    """
+    n = max(1, -(-df.count() // width))
+    return checkpointed(df.repartitionByRange(n, key).withColumn("_rango", F.spark_partition_id()))
+
 
 def number_rows(df: DataFrame, key: str, out: str = "n", width: int = 1_000_000) -> DataFrame:
-    """1-based position of each row in the order of a unique integer ``key``.
+    """1-based position of each row in the order of a unique ``key``.
 
-    Rows are numbered inside key ranges of ``width`` and shifted by the size of
-    the earlier ranges, so no task sees more than ``width`` rows; only the list
-    of range sizes is ordered as a whole.
+    Rows are numbered inside ranges of about ``width`` rows and shifted by the
+    size of the earlier ranges; only the list of range sizes is ordered as a whole.
     """
-    part = df.withColumn("_rango", F.floor(F.col(key) / width))
+    part = ranged(df, key, width)
     sizes = part.groupBy("_rango").agg(F.count(F.lit(1)).alias("_t"))
     before = Window.orderBy("_rango").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_rango", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_antes"))
@@ -24,7 +35,7 @@ def number_rows(df: DataFrame, key: str, out: str = "n", width: int = 1_000_000)
 
 def disorder(df: DataFrame, seq: str, value: str, width: int = 1_000_000) -> DataFrame:
     """One row: rows, steps that go back in ``value`` when read by ``seq``, and whether it is in order."""
-    part = df.select(F.floor(F.col(seq) / width).alias("_rango"), F.col(seq).alias("_s"), F.col(value).alias("_v"))
+    part = ranged(df.select(F.col(seq).alias("_s"), F.col(value).alias("_v")), "_s", width)
     w = Window.partitionBy("_rango").orderBy("_s")
     stepped = part.withColumn("_back", (F.lag("_v").over(w) > F.col("_v")).cast("long"))
     ranges = stepped.groupBy("_rango").agg(

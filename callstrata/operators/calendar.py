@@ -105,6 +105,19 @@ def training_filter(daily: DataFrame, hol: DataFrame, direction_col: str = "seri
     return flagged.where(~F.col("aplicar_filtro_feriados")).select(*daily.columns)
 
 
+def training_mask(daily: DataFrame, hol: DataFrame, direction_col: str = "serie") -> DataFrame:
+    """The series on its whole calendar with ``entrena``: whether a day's calls may train and test a model.
+
+    Days that ``training_filter`` would drop stay as rows, so that lags remain
+    days; they carry the mean of the kept days of their weekday instead of their calls.
+    """
+    flagged = training_flags(mark_holidays(daily, hol), direction_col).withColumn("entrena", ~F.col("aplicar_filtro_feriados"))
+    kept, series = F.when(F.col("entrena"), F.col("y")), Window.partitionBy(direction_col)
+    usual = F.coalesce(F.avg(kept).over(Window.partitionBy(direction_col, F.weekday("ds"))), F.avg(kept).over(series), F.col("y"))
+    filled = F.when(F.col("entrena"), F.col("y").cast("double")).otherwise(usual)
+    return flagged.withColumn("y", filled).select(*daily.columns, "entrena")
+
+
 def holiday_calendar(years: DataFrame, hol: DataFrame) -> DataFrame:
     """One row per day of each year in ``years(anio)`` with its flags and its row in a month grid."""
     days = years.select(F.explode(F.sequence(F.make_date("anio", F.lit(1), F.lit(1)),

@@ -76,7 +76,10 @@ def cv_folds(daily: DataFrame, splits: int = 5, gap: int = 7) -> DataFrame:
 
 
 def expanding_folds(daily: DataFrame, k: int = 5, min_rows: int = 100) -> DataFrame:
-    """Expanding-window folds; series of at most ``min_rows`` rows get k plain contiguous folds."""
+    """Expanding-window folds; series of at most ``min_rows`` rows get k plain contiguous folds.
+
+    ``min_rows=0`` expands at every size, so that no training row follows a test row.
+    """
     n, r, f = F.col("_n"), F.col("_r"), F.col("fold")
     size = F.floor(n / (k + 1))
     start = n - (k - f) * size
@@ -90,10 +93,15 @@ def expanding_folds(daily: DataFrame, k: int = 5, min_rows: int = 100) -> DataFr
 
 
 def ensemble_weights(metrics: DataFrame, lo: float = WEIGHT_MIN, hi: float = WEIGHT_MAX) -> DataFrame:
-    """Inverse-MAE weights, clipped to [lo, hi] and normalised again."""
+    """Inverse-MAE weights, clipped to [lo, hi] and normalised again.
+
+    Where models are without error they share the whole weight evenly and the others get none.
+    """
     w = Window.partitionBy("serie")
-    raw = metrics.withColumn("_i", F.try_divide(F.lit(1.0), F.col("mae"))).where(F.col("_i").isNotNull())
-    share = raw.withColumn("_s", F.greatest(F.lit(lo), F.least(F.lit(hi), F.col("_i") / F.sum("_i").over(w))))
+    perfect = F.count_if(F.col("mae") == 0).over(w)
+    raw = metrics.where(F.col("mae").isNotNull()).withColumns({"_i": F.try_divide(F.lit(1.0), F.col("mae")), "_p": perfect})
+    clipped = F.greatest(F.lit(lo), F.least(F.lit(hi), F.col("_i") / F.sum("_i").over(w)))
+    share = raw.withColumn("_s", F.when(F.col("_p") == 0, clipped).otherwise((F.col("mae") == 0).cast("double")))
     return share.select("serie", "modelo", "mae", (F.col("_s") / F.sum("_s").over(w)).alias("peso"))
 
 

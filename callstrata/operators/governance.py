@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callstrata.functions.dates import epoch_second
 from callstrata.schema import (
     BLOCK_AFTER, BLOCK_FACTOR, BLOCK_MAX_STEPS, BLOCK_MINUTES, BURST_LIMIT, BURST_SECONDS, FILE_BAD_CHARS,
-    FILE_EXTENSIONS, FILE_MAX_BYTES, FILE_MIN_BYTES, FILE_NAME_MAX, FILE_RESERVED, HOUR_LIMIT, LONG_PATH,
-    LONG_PATH_MARK, MINUTE_LIMIT, SENSITIVE, SENSITIVE_MARK, SUSPICIOUS, TRACE_MARK,
+    FILE_EXTENSIONS, FILE_MAX_BYTES, FILE_MIN_BYTES, FILE_NAME_MAX, FILE_RESERVED, GLOBAL_HOUR_LIMIT,
+    GLOBAL_MINUTE_LIMIT, HOUR_LIMIT, LONG_PATH, LONG_PATH_MARK, MINUTE_LIMIT, SENSITIVE, SENSITIVE_MARK, SUSPICIOUS, TRACE_MARK,
+    USER_HOUR_LIMIT, USER_MINUTE_LIMIT,
 )
 
 
@@ -128,13 +132,15 @@ def file_stats(verdicts: DataFrame) -> DataFrame:
 
 # --- request rates -----------------------------------------------------------------------------
 
-def sliding_rate(requests: DataFrame, key: str, ts: str, burst: int = BURST_LIMIT, minute: int = MINUTE_LIMIT,
+def sliding_rate(requests: DataFrame, key: str, ts: str, burst: int | None = BURST_LIMIT, minute: int = MINUTE_LIMIT,
                  hour: int = HOUR_LIMIT) -> DataFrame:
-    """Per key and second: requests in the trailing 10 s, 60 s and 3600 s, and the limit broken first.
+    """Per key and second: requests in the trailing 10 s, 60 s and 3600 s, the limit broken first, and the requests over it.
 
-    Requests are counted per key and second before the shuffle. Each hour of a
-    key is one window group that also receives the hour before it, so a group
-    never holds more than 7200 rows however busy the key is.
+    ``exceso`` counts the requests of the second that, taken one by one, found a
+    limit already used up. Requests are counted per key and second before the
+    shuffle. Each hour of a key is one window group that also receives the hour
+    before it, so a group never holds more than 7200 rows however busy the key is.
+    ``burst=None`` leaves the ten-second limit out.
     """
     sec = epoch_second(F.col(ts))
     seconds = requests.groupBy(F.col(key).alias("clave"), sec.alias("s")).agg(F.count(F.lit(1)).alias("n"))
@@ -147,33 +153,92 @@ def sliding_rate(requests: DataFrame, key: str, ts: str, burst: int = BURST_LIMI
 
     counted = spread.withColumns({"n_10s": trailing(BURST_SECONDS), "n_60s": trailing(60), "n_3600s": trailing(3600)}).where(
         F.col("h") == own)
-    broken = F.when(F.col("n_10s") > burst, "rafaga").when(F.col("n_60s") > minute, "minuto").when(
-        F.col("n_3600s") > hour, "hora")
-    return counted.select("clave", "s", F.col("n").alias("n_1s"), "n_10s", "n_60s", "n_3600s", broken.alias("violacion"))
+    over = [F.col("n_60s") - minute, F.col("n_3600s") - hour] + ([F.col("n_10s") - burst] if burst is not None else [])
+    broken = F.when(F.col("n_60s") > minute, "minuto").when(F.col("n_3600s") > hour, "hora")
+    if burst is not None:
+        broken = F.when(F.col("n_10s") > burst, "rafaga").otherwise(broken)
+    return counted.select("clave", "s", F.col("n").alias("n_1s"), "n_10s", "n_60s", "n_3600s", broken.alias("violacion"),
+                          F.least(F.col("n"), F.greatest(F.lit(0), *over)).alias("exceso"))
+
+
+def user_rate(requests: DataFrame, user: str, ts: str) -> DataFrame:
+    """The trailing counts of signed-in users against their own limits, which know no burst."""
+    return sliding_rate(requests.where(F.col(user).isNotNull()), user, ts, None, USER_MINUTE_LIMIT, USER_HOUR_LIMIT)
+
+
+def global_rate(requests: DataFrame, ts: str, minute: int = GLOBAL_MINUTE_LIMIT, hour: int = GLOBAL_HOUR_LIMIT) -> DataFrame:
+    """The trailing counts of all requests together; one row per second is all that is ordered."""
+    return sliding_rate(requests.withColumn("_todo", F.lit("global")), "_todo", ts, None, minute, hour)
 
 
 def top_violators(rates: DataFrame, n: int = 10) -> DataFrame:
-    return rates.where(F.col("violacion").isNotNull()).groupBy("clave").agg(F.sum("n_1s").alias("violaciones")).orderBy(
+    return rates.where(F.col("violacion").isNotNull()).groupBy("clave").agg(F.sum("exceso").alias("violaciones")).orderBy(
         F.desc("violaciones"), "clave").limit(n)
 
 
 def escalating_block(rates: DataFrame) -> DataFrame:
-    """Running violations of a key and the block they bring: 15 min x 2^min(violations, 5) from the third on.
+    """Running violations of a key, one per request over a limit, and the block that a burst brings from the third on.
 
-    The running total is taken inside each hour and shifted by the total of the
-    earlier hours, so one key's whole history is never one window group.
+    The block lasts 15 min x 2^min(violations, 5). Requests are judged as they
+    arrive, whether or not an earlier block should have kept them out;
+    ``enforced`` takes the blocks into account. The running total is taken inside
+    each hour and shifted by the total of the earlier hours, so one key's whole
+    history is never one window group.
     """
     bad = rates.where(F.col("violacion").isNotNull()).withColumn("h", F.floor(F.col("s") / 3600))
-    hours = bad.groupBy("clave", "h").agg(F.sum("n_1s").alias("_t"))
+    hours = bad.groupBy("clave", "h").agg(F.sum("exceso").alias("_t"))
     before = Window.partitionBy("clave").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     offset = hours.select("clave", "h", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_antes"))
-    inside = F.sum("n_1s").over(Window.partitionBy("clave", "h").orderBy("s"))
+    inside = F.sum("exceso").over(Window.partitionBy("clave", "h").orderBy("s"))
     out = bad.withColumn("_dentro", inside).join(offset, ["clave", "h"]).withColumn(
         "acumulado", F.col("_dentro") + F.col("_antes"))
     minutes = BLOCK_MINUTES * F.pow(F.lit(BLOCK_FACTOR), F.least(F.col("acumulado"), F.lit(BLOCK_MAX_STEPS)))
-    return out.select("clave", "s", "violacion", "acumulado",
-                      F.when(F.col("acumulado") >= BLOCK_AFTER, minutes.cast("int")).alias("minutos_bloqueo"),
-                      F.when(F.col("acumulado") >= BLOCK_AFTER, F.col("s") + minutes.cast("long") * 60).alias("hasta_s"))
+    blocked = (F.col("violacion") == "rafaga") & (F.col("acumulado") >= BLOCK_AFTER)
+    return out.select("clave", "s", "violacion", "exceso", "acumulado", F.when(blocked, minutes.cast("int")).alias("minutos_bloqueo"),
+                      F.when(blocked, F.col("s") + minutes.cast("long") * 60).alias("hasta_s"))
+
+
+def enforced(requests: DataFrame, key: str, ts: str, burst: int = BURST_LIMIT, minute: int = MINUTE_LIMIT, hour: int = HOUR_LIMIT) -> DataFrame:
+    """(clave, s, violacion, acumulado, minutos_bloqueo, hasta_s): a row per violation of requests that pass the blocks.
+
+    A blocked key's requests count no more until the block ends, so what is
+    counted depends on every earlier block of the key. The seconds of a key lie
+    next to each other in a partition, in order, and are read as a stream that
+    remembers one hour of counts; a second stops where its block begins.
+    """
+    sec = epoch_second(F.col(ts))
+    seconds = requests.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("clave"), sec.alias("s")).agg(F.count(F.lit(1)).alias("n"))
+
+    def judge(batches):
+        clave, past, total, until = None, deque(), 0, 0
+        for pdf in batches:
+            out = []
+            for k, s, n in zip(pdf["clave"], pdf["s"], pdf["n"], strict=True):
+                if k != clave:
+                    clave, past, total, until = k, deque(), 0, 0
+                if s < until:
+                    continue
+                while past and past[0][0] <= s - 3600:
+                    past.popleft()
+                trailing = [sum(c for t, c in past if t > s - w) for w in (BURST_SECONDS, 60, 3600)]
+                let = 0
+                while let < n and s >= until:
+                    room = min(limit - c for limit, c in zip((burst, minute, hour), trailing, strict=True)) - let
+                    if room > 0:
+                        let += min(room, n - let)
+                        continue
+                    let += 1
+                    total += 1
+                    kind = next(name for name, limit, c in zip(("rafaga", "minuto", "hora"), (burst, minute, hour), trailing, strict=True) if c + let > limit)
+                    stop = BLOCK_MINUTES * BLOCK_FACTOR ** min(total, BLOCK_MAX_STEPS) if kind == "rafaga" and total >= BLOCK_AFTER else None
+                    until = s + 60 * stop if stop else until
+                    out.append((k, s, kind, total, stop, until if stop else None))
+                past.append((s, let))
+            frame = pd.DataFrame(out, columns=["clave", "s", "violacion", "acumulado", "minutos_bloqueo", "hasta_s"])
+            yield frame.astype({"minutos_bloqueo": "Int32", "hasta_s": "Int64", "s": "int64", "acumulado": "int64"})
+
+    ordered = seconds.repartition("clave").sortWithinPartitions("clave", "s")
+    return ordered.mapInPandas(judge, "clave string, s bigint, violacion string, acumulado bigint, minutos_bloqueo int, hasta_s bigint")
 
 
 def activity_sessions(events: DataFrame, key: str, ts: str, gap_minutes: int = 30) -> DataFrame:

@@ -86,6 +86,14 @@ def train_and_score(feat: DataFrame, kind: str, types: Iterable[str], share: flo
     return functools.reduce(DataFrame.unionByName, scored)
 
 
+MASK = "entrena"
+
+
+def usable(df: DataFrame) -> DataFrame:
+    """Rows that may train or test a model: all, where the series carries no mask."""
+    return df.where(F.col(MASK)) if MASK in df.columns else df
+
+
 # --- features of days to come ------------------------------------------------------------------
 
 
@@ -97,14 +105,16 @@ def features_through(daily: DataFrame, days: DataFrame) -> DataFrame:
     into history is the known value and a later one is the expected value. The
     frames only look back, so history rows are what they are without the extension.
     """
-    ahead = ensemble.weekday_baseline(days, daily).select("serie", "ds", F.col("base").alias("y"), F.lit(True).alias("futuro"))
-    known = daily.select("serie", "ds", F.col("y").cast("double").alias("y"), F.lit(False).alias("futuro"))
-    return training_features(known.unionByName(ahead), "futuro")
+    may = F.col(MASK) if MASK in daily.columns else F.lit(True)
+    ahead = ensemble.weekday_baseline(days, usable(daily)).select(
+        "serie", "ds", F.col("base").alias("y"), F.lit(True).alias("futuro"), F.lit(True).alias(MASK))
+    known = daily.select("serie", "ds", F.col("y").cast("double").alias("y"), F.lit(False).alias("futuro"), may.alias(MASK))
+    return training_features(known.unionByName(ahead), "futuro", MASK)
 
 
 def future_features(daily: DataFrame, days: DataFrame) -> DataFrame:
     """Feature rows of coming days."""
-    return features_through(daily, days).where("futuro").drop("futuro")
+    return features_through(daily, days).where("futuro").drop("futuro", MASK)
 
 
 def ridge_by_series(seen: DataFrame, ahead: DataFrame, alpha: float = 1.0, by=("serie",)) -> DataFrame:
@@ -155,30 +165,43 @@ def _solve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.linalg.solve(x.T @ x + 1e-8 * np.eye(x.shape[1]), x.T @ y)
 
 
-def _ar_fit(y: np.ndarray, p: int, d: int, q: int, s: int):
-    """Two-step regression: residuals of a long autoregression stand in for the shocks of the moving-average terms."""
+def _ar_fit(y: np.ndarray, p: int, d: int, q: int, s: int, skip: int = 0):
+    """Two-step regression: residuals of a long autoregression stand in for the shocks of the moving-average terms.
+
+    Without such terms there is no first step; with them it is as long as the
+    data allow, at most two weeks. The criterion counts the residuals after the
+    first ``skip`` days only, so that orders are compared on the same days. None
+    where the data do not reach for the order.
+    """
     z = _difference(y.astype(float), d, s)
     ar = list(range(1, p + 1)) + ([_WEEK] if s else [])
     ma = list(range(1, q + 1)) + ([_WEEK] if s else [])
-    long = 2 * _WEEK
-    if len(z) < 3 * long:
+    long = min(2 * _WEEK, len(z) // 3) if ma else 0
+    start = max([long + max(ma, default=0), *ar])
+    if len(z) - start < len(ar) + len(ma) + 3 or ma and long < 1 or len(y) - len(z) + start > max(skip, 0) > 0:
         return None
-    a = _lagged(z, z, list(range(1, long + 1)), [], long)
     e = np.zeros(len(z))
-    e[long:] = z[long:] - a @ _solve(a, z[long:])
-    start = long + _WEEK
+    if ma:
+        a = _lagged(z, z, list(range(1, long + 1)), [], long)
+        e[long:] = z[long:] - a @ _solve(a, z[long:])
     x = _lagged(z, e, ar, ma, start)
     coef = _solve(x, z[start:])
     resid = z[start:] - x @ coef
-    n, sse = len(resid), max(float(resid @ resid), 1e-12)
     e[start:] = resid
+    told = resid[-(len(y) - skip):] if skip else resid
+    n, sse = len(told), max(float(told @ told), 1e-12)
     return n * np.log(sse / n) + 2 * (len(coef) + 1), coef, ar, ma, z, e
 
 
+def _common_start(n: int) -> int:
+    """Days left out of every order's criterion: what the longest order needs, or half of a short series."""
+    return min(_WEEK + 1 + 3 * _WEEK, n // 2)
+
+
 def _ar_forecast(y: np.ndarray, spec, steps: int) -> np.ndarray:
     p, d, q, s = spec
     fitted = _ar_fit(y, p, d, q, s)
-    if fitted is None:
+    if fitted is None:  # too short for any order: (0, 0, 0) is the mean
         return np.full(steps, y.mean())
     _, coef, ar, ma, z, e = fitted
     z, e = list(z), list(e)
@@ -198,30 +221,31 @@ def _ar_forecast(y: np.ndarray, spec, steps: int) -> np.ndarray:
 
 
 def ar_candidates(daily: DataFrame, by=("serie",), orders=tuple(AR_ORDERS)) -> DataFrame:
-    """AIC of every order for every series; each (series, order) is a group of its own."""
+    """AIC of every order for every series; each (series, differencing) is a group that tries its orders on one copy of the data."""
     keys = list(by)
-    spec = F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in orders]))
-    rows = daily.select(*keys, "ds", F.col("y").cast("double").alias("y")).withColumn("orden", spec).withColumn(
-        "clave", F.concat_ws("-", F.transform("orden", lambda x: x.cast("string"))))
+    kinds = sorted({(d, s) for _, d, _, s in orders})
+    spec = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(s).alias("s")) for d, s in kinds]))
+    rows = daily.select(*keys, "ds", F.col("y").cast("double").alias("y"), spec.alias("k")).select(*keys, "ds", "y", "k.d", "k.s")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in daily.select(*keys).schema)
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("ds")["y"].to_numpy()
-        spec = [int(x) for x in pdf["clave"].iloc[0].split("-")]
-        fitted = _ar_fit(y, *spec)
-        row = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**row, "p": spec[0], "d": spec[1], "q": spec[2], "s": spec[3],
-                              "aic": None if fitted is None else float(fitted[0])}])
+        d, s = int(pdf["d"].iloc[0]), int(pdf["s"].iloc[0])
+        row, out = {k: pdf[k].iloc[0] for k in keys}, []
+        for p, _, q, _ in [o for o in orders if (o[1], o[3]) == (d, s)]:
+            fitted = _ar_fit(y, p, d, q, s, _common_start(len(y)))
+            out.append({**row, "p": p, "d": d, "q": q, "s": s, "aic": None if fitted is None else float(fitted[0])})
+        return pd.DataFrame(out)
 
-    return rows.drop("orden").groupBy(*keys, "clave").applyInPandas(score, f"{fields}, p int, d int, q int, s int, aic double")
+    return rows.groupBy(*keys, "d", "s").applyInPandas(score, f"{fields}, p int, d int, q int, s int, aic double")
 
 
 def best_ar(candidates: DataFrame, by=("serie",)) -> DataFrame:
-    """The order of smallest AIC; (1, 1, 1) where none could be fitted."""
+    """The order of smallest AIC; (0, 0, 0), the mean, where none could be fitted."""
     w = Window.partitionBy(*by).orderBy(F.asc_nulls_last("aic"), "p", "d", "q", "s")
     best = candidates.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     none = F.col("aic").isNull()
-    return best.select(*by, *[F.when(none, 1 if c != "s" else 0).otherwise(F.col(c)).alias(c) for c in "pdqs"], "aic")
+    return best.select(*by, *[F.when(none, 0).otherwise(F.col(c)).alias(c) for c in "pdqs"], "aic")
 
 
 def ar_forecast(daily: DataFrame, best: DataFrame, days: DataFrame, by=("serie",)) -> DataFrame:
@@ -302,23 +326,25 @@ def fold_pairs(daily: DataFrame, models: Iterable[str] = ("arima", "prophet", "r
                params: Mapping[str, dict] | None = None) -> DataFrame:
     """(serie, fold, ds, y, modelo, yhat) for the test rows of every fold.
 
-    The per-series models run with (series, fold) as the group key, so folds are
-    fitted side by side. The regressors see features built from the training
-    rows of their fold only.
+    The per-series models run with the fold and the series as one key, so folds are
+    fitted side by side; the fold stands first, so any name of a series can be
+    taken back out. The regressors see features built from the training rows of
+    their fold only. Days that the mask excludes neither train nor test.
     """
     from callstrata.session import checkpointed
 
     models, params = list(models), params or {}
-    folds = checkpointed(ensemble.cv_folds(daily.select("serie", "ds", "y"), splits, gap))
-    key = F.concat_ws("#", "serie", F.col("fold").cast("string"))
+    mask = [MASK] if MASK in daily.columns else []
+    folds = checkpointed(ensemble.cv_folds(daily.select("serie", "ds", "y", *mask), splits, gap))
+    key = F.concat_ws("#", F.col("fold").cast("string"), "serie")
     named = folds.withColumn("serie", key)
-    train, test = named.where("parte = 'train'").drop("parte"), named.where("parte = 'test'").drop("parte")
+    train, test = named.where("parte = 'train'").drop("parte"), usable(named.where("parte = 'test'").drop("parte"))
     preds = []
     if "arima" in models:
         best = best_ar(ar_candidates(train))
         preds.append(ar_forecast(train, best, test).select("serie", "ds", "modelo", "yhat"))
     if "prophet" in models:
-        preds.append(trend_season(train, test).select("serie", "ds", "modelo", "yhat"))
+        preds.append(trend_season(usable(train), test).select("serie", "ds", "modelo", "yhat"))
     kinds = [m for m in models if m in (*LINEAR_KINDS, *TREE_KINDS)]
     if kinds:
         # The days between the end of training and the end of the test rows, so that lags are contiguous.
@@ -326,7 +352,7 @@ def fold_pairs(daily: DataFrame, models: Iterable[str] = ("arima", "prophet", "r
             test.groupBy("serie").agg(F.max("ds").alias("_b")), "serie")
         days = span.select("serie", F.explode(F.sequence(F.date_add("_a", 1), "_b")).alias("ds"))
         rows = checkpointed(features_through(train, days))
-        seen = rows.where(~F.col("futuro"))
+        seen = usable(rows.where(~F.col("futuro")))
         ahead = rows.where("futuro").join(test.select("serie", "ds"), ["serie", "ds"], "left_semi")
         if "ridge" in kinds:
             preds.append(ridge_by_series(seen, ahead, **params.get("ridge", {})))
@@ -336,9 +362,9 @@ def fold_pairs(daily: DataFrame, models: Iterable[str] = ("arima", "prophet", "r
         for kind in kinds:
             preds += fit_groups(seen, ahead, groups, kind, **params.get(kind, {}))
     out = functools.reduce(DataFrame.unionByName, preds)
-    parts = F.split("serie", "#")
+    parts = F.split("serie", "#", 2)
     return out.join(test.select("serie", "ds", "y"), ["serie", "ds"]).select(
-        parts[0].alias("serie"), parts[1].cast("int").alias("fold"), "ds", "y", "modelo", "yhat")
+        parts[1].alias("serie"), parts[0].cast("int").alias("fold"), "ds", "y", "modelo", "yhat")
 
 
 def fit_groups(seen: DataFrame, ahead: DataFrame, groups: list[str], kind: str, threads: int = 8,
@@ -372,11 +398,11 @@ def predictions(daily: DataFrame, days: DataFrame, types: Iterable[str],
     if "arima" in models:
         preds.append(ar_forecast(daily, best_ar(ar_candidates(daily)), days))
     if "prophet" in models:
-        preds.append(trend_season(daily, days).select("serie", "ds", "modelo", "yhat"))
+        preds.append(trend_season(usable(daily), days).select("serie", "ds", "modelo", "yhat"))
     kinds = [m for m in models if m in (*LINEAR_KINDS, *TREE_KINDS)]
     if kinds:
         rows = checkpointed(features_through(daily, days))
-        seen, ahead = rows.where(~F.col("futuro")), rows.where("futuro")
+        seen, ahead = usable(rows.where(~F.col("futuro"))), rows.where("futuro")
         for kind in kinds:
             preds += ([ridge_by_series(seen, ahead, **params.get(kind, {}))] if kind == "ridge"
                       else fit_groups(seen, ahead, list(types), kind, **params.get(kind, {})))

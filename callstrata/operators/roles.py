@@ -147,26 +147,33 @@ def attach_role(calls: DataFrame, users: DataFrame, default_role: str = DEFAULT_
 
 
 def calls_by_user(calls: DataFrame, users: DataFrame) -> DataFrame:
-    """Per user: calls, days, calls per day, attendance, mean duration and rank within the role.
+    """Per user: calls, days, calls per day, attendance and mean duration.
 
-    Calls are first reduced to one row per phone and day, so a phone with a
-    third of all calls is a few rows in the join.
+    Every user has a row, with zero calls if there were none. A phone that
+    several users list belongs to the smallest name. Calls of phones that nobody
+    lists, or without a phone, are one row with a null user. Calls are first
+    reduced to one row per phone and day, so a phone with a third of all calls is
+    a few rows in the join.
     """
-    per_day = calls.where(F.col("TELEFONO").isNotNull()).groupBy("TELEFONO", F.to_date("FECHA").alias("ds")).agg(
+    per_day = calls.groupBy("TELEFONO", F.to_date("FECHA").alias("ds")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("ATENDIDA") == "Si").alias("a"),
         F.sum("DURACION").alias("d"), F.count("DURACION").alias("nd"))
-    per_phone = per_day.groupBy("TELEFONO").agg(
+    owners = users.where(F.col("TELEFONO").isNotNull()).groupBy("TELEFONO").agg(F.min("USUARIO").alias("USUARIO"))
+    owned = per_day.join(owners, "TELEFONO", "left").groupBy("USUARIO", "ds").agg(*[F.sum(c).alias(c) for c in ("n", "a", "d", "nd")])
+    per_user = owned.groupBy("USUARIO").agg(
         F.sum("n").alias("llamadas"), F.count(F.lit(1)).alias("dias"), F.sum("a").alias("a"),
         F.sum("d").alias("d"), F.sum("nd").alias("nd"))
-    joined = users.join(per_phone, "TELEFONO").select(
-        "USUARIO", "CARGO", "llamadas", "dias",
-        (F.col("llamadas") / F.col("dias")).alias("llamadas_por_dia"),
-        pct(F.col("a"), F.col("llamadas")).alias("tasa_atencion"),
+    roles = users.groupBy("USUARIO").agg(F.min("CARGO").alias("CARGO"))
+    joined = roles.where(F.col("USUARIO").isNotNull()).join(per_user, "USUARIO", "full")
+    calls_, days = F.coalesce("llamadas", F.lit(0)), F.coalesce("dias", F.lit(0))
+    return joined.select(
+        "USUARIO", "CARGO", calls_.alias("llamadas"), days.alias("dias"),
+        F.try_divide(F.col("llamadas"), F.col("dias")).alias("llamadas_por_dia"),
+        F.try_divide(F.col("a") * 100.0, F.col("llamadas")).alias("tasa_atencion"),
         F.try_divide(F.col("d").cast("double"), F.col("nd")).alias("duracion_media"))
-    return joined
 
 
 def rank_users(by_user: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` busiest ranks of users in each role; equal counts share a rank."""
     w = Window.partitionBy("CARGO").orderBy(F.desc("llamadas"))
-    return by_user.withColumn("puesto", F.dense_rank().over(w)).where(F.col("puesto") <= n)
+    return by_user.where(F.col("USUARIO").isNotNull()).withColumn("puesto", F.dense_rank().over(w)).where(F.col("puesto") <= n)

@@ -19,6 +19,9 @@ from callstrata.sources.calls import typed_calls
 from callstrata.sources.holidays import holiday_dim
 
 
+MODELS = ("arima", "prophet", "random_forest", "gradient_boosting", "ridge")
+
+
 @dataclass
 class Outcome:
     """The tables of a run."""
@@ -30,20 +33,26 @@ class Outcome:
     forecast: DataFrame
     alerts: DataFrame
     performance: DataFrame
+    skipped: DataFrame
 
 
 def analyse(raw: DataFrame, as_of: str, names: dict[str, str] | None = None, hol: DataFrame | None = None,
-            model_names: Iterable[str] = ("arima", "prophet", "ridge"), days: int = 28, business: bool = False,
+            model_names: Iterable[str] = MODELS, days: int = 28, business: bool = False,
             min_rows: int = 30) -> Outcome:
-    """Run every stage over a text log; ``names`` maps canonical fields to its columns."""
+    """Run every stage over a text log; ``names`` maps canonical fields to its columns.
+
+    Series of fewer than ``min_rows`` days are not forecast; ``skipped`` lists them with their length.
+    """
     spark: SparkSession = raw.sparkSession
     hol = holiday_dim(spark) if hol is None else hol
     model_names = list(model_names)
     calls = typed_calls(mapping.apply_mapping(raw, names or {})).where(F.col("FECHA").isNotNull())
     calls = cleaning.drop_future(calls, as_of)
 
-    daily = checkpointed(cleaning.min_rows(calendar.complete_calendar(segment.daily_calls(calls)), min_rows).drop("n_filas"))
-    train = checkpointed(calendar.training_filter(daily, hol).select("serie", "ds", "y"))
+    every = checkpointed(calendar.complete_calendar(segment.daily_calls(calls)))
+    daily = checkpointed(cleaning.min_rows(every, min_rows).drop("n_filas"))
+    skipped = every.groupBy("serie").agg(F.count(F.lit(1)).alias("dias")).where(F.col("dias") < min_rows)
+    train = checkpointed(calendar.training_mask(daily, hol).select("serie", "ds", "y", models.MASK))
     types = [r[0] for r in daily.select("serie").distinct().orderBy("serie").collect()]  # the call types
 
     pairs = checkpointed(models.fold_pairs(train, model_names))
@@ -54,7 +63,7 @@ def analyse(raw: DataFrame, as_of: str, names: dict[str, str] | None = None, hol
     forecast = checkpointed(ensemble.forecast_table(preds, weights, model_names))
     found = checkpointed(alerts.demand_alerts(forecast, daily))
     return Outcome(audit.audit_summary(calls), daily, metrics, weights, forecast, found,
-                   scoring.performance(weights, forecast, found))
+                   scoring.performance(weights, forecast, found), skipped)
 
 
 def write(out: Outcome, root: str) -> str:
@@ -62,6 +71,6 @@ def write(out: Outcome, root: str) -> str:
     sinks.write_csv(out.daily, f"{root}/diario", by="serie")
     sinks.write_csv(out.forecast, f"{root}/pronostico", by="serie")
     for name, table in (("auditoria", out.audit), ("metricas", out.metrics), ("pesos", out.weights), ("alertas", out.alerts),
-                        ("performance", out.performance)):
+                        ("performance", out.performance), ("omitidas", out.skipped)):
         sinks.write_report(table, f"{root}/{name}")
     return root

@@ -391,9 +391,11 @@ def _(v: Views):
     return roles.role_distribution(v.users)
 
 
-_BY_USER = """SELECT u.USUARIO, u.CARGO, count(*) AS llamadas, count(DISTINCT CAST(c.FECHA AS DATE)) AS dias,
-  count(*)/count(DISTINCT CAST(c.FECHA AS DATE)) AS llamadas_por_dia, count(*) FILTER (WHERE c.ATENDIDA='Si')*100.0/count(*) AS tasa_atencion,
-  avg(c.DURACION) AS duracion_media FROM calls c JOIN users u USING (TELEFONO) GROUP BY 1,2"""
+_BY_USER = """SELECT o.USUARIO, o.CARGO, coalesce(k.llamadas, 0) AS llamadas, coalesce(k.dias, 0) AS dias, k.llamadas/k.dias AS llamadas_por_dia,
+  k.a*100.0/k.llamadas AS tasa_atencion, k.duracion_media FROM (SELECT USUARIO, min(CARGO) AS CARGO FROM users WHERE USUARIO IS NOT NULL GROUP BY 1) o
+  FULL JOIN (SELECT p.USUARIO, count(*) AS llamadas, count(DISTINCT CAST(c.FECHA AS DATE)) AS dias, count(*) FILTER (WHERE c.ATENDIDA='Si') AS a,
+    avg(c.DURACION) AS duracion_media FROM calls c LEFT JOIN (SELECT TELEFONO, min(USUARIO) AS USUARIO FROM users GROUP BY 1) p USING (TELEFONO) GROUP BY 1) k
+  ON o.USUARIO = k.USUARIO"""
 
 
 @query("calls_by_user", _BY_USER, dbl="llamadas_por_dia tasa_atencion duracion_media")
@@ -401,7 +403,7 @@ def _(v: Views):
     return roles.calls_by_user(v.calls, v.users)
 
 
-@query("user_ranking", f"""SELECT * FROM (SELECT *, CAST(dense_rank() OVER (PARTITION BY CARGO ORDER BY llamadas DESC) AS INTEGER) AS puesto FROM ({_BY_USER}))
+@query("user_ranking", f"""SELECT * FROM (SELECT *, CAST(dense_rank() OVER (PARTITION BY CARGO ORDER BY llamadas DESC) AS INTEGER) AS puesto FROM ({_BY_USER}) WHERE USUARIO IS NOT NULL)
   WHERE puesto<=10""", dbl="llamadas_por_dia tasa_atencion duracion_media")
 def _(v: Views):
     return roles.rank_users(roles.calls_by_user(v.calls, v.users))

@@ -349,8 +349,8 @@ def _(v: Views):
 # --- request rates and activity ----------------------------------------------------------------
 
 _SEC = "SELECT endpoint AS clave, CAST(epoch(date_trunc('second', created_at)) AS BIGINT) AS s, count(*) AS n FROM api_calls GROUP BY 1,2"
-_RATE = f"""SELECT clave, s, n AS n_1s, n_10s, n_60s, n_3600s, CASE WHEN n_10s>10 THEN 'rafaga' WHEN n_60s>1 THEN 'minuto' WHEN n_3600s>5 THEN 'hora' END AS violacion
-  FROM (SELECT *, """ + ", ".join(
+_RATE = f"""SELECT clave, s, n AS n_1s, n_10s, n_60s, n_3600s, CASE WHEN n_10s>10 THEN 'rafaga' WHEN n_60s>1 THEN 'minuto' WHEN n_3600s>5 THEN 'hora' END AS violacion,
+  CAST(least(n, greatest(0, n_10s-10, n_60s-1, n_3600s-5)) AS BIGINT) AS exceso FROM (SELECT *, """ + ", ".join(
     f"CAST(sum(n) OVER (PARTITION BY clave ORDER BY s RANGE BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS BIGINT) AS n_{k}s" for k in (10, 60, 3600)) + f" FROM ({_SEC}))"
 
 
@@ -363,16 +363,52 @@ def _(v: Views):
     return _rates(v)
 
 
-_BLOCK = f"""SELECT clave, s, violacion, CAST(sum(n_1s) OVER (PARTITION BY clave ORDER BY s) AS BIGINT) AS acumulado FROM ({_RATE}) WHERE violacion IS NOT NULL"""
+def _block_sql(burst: int, minute: int, hour: int) -> str:
+    """Blocks from single requests: each one over a limit is a violation, and a burst from the third on blocks."""
+    trailing = ", ".join(f"coalesce(sum(n) OVER (PARTITION BY clave ORDER BY s RANGE BETWEEN {w - 1} PRECEDING AND 1 PRECEDING), 0) AS b{w}" for w in (10, 60, 3600))
+    one = f"SELECT clave, s, n, unnest(range(1, n + 1)) AS k, b10, b60, b3600 FROM (SELECT *, {trailing} FROM ({_SEC}))"
+    seconds = f"""SELECT clave, s, CASE WHEN max(b10+k)>{burst} THEN 'rafaga' WHEN max(b60+k)>{minute} THEN 'minuto' ELSE 'hora' END AS violacion,
+      count(*) FILTER (WHERE b10+k>{burst} OR b60+k>{minute} OR b3600+k>{hour}) AS exceso FROM ({one}) GROUP BY 1,2"""
+    total = f"SELECT clave, s, violacion, CAST(exceso AS BIGINT) AS exceso, CAST(sum(exceso) OVER (PARTITION BY clave ORDER BY s) AS BIGINT) AS acumulado FROM ({seconds}) WHERE exceso>0"
+    return f"""SELECT *, CASE WHEN violacion='rafaga' AND acumulado>=3 THEN CAST(15*pow(2, least(acumulado,5)) AS INTEGER) END AS minutos_bloqueo,
+      CASE WHEN violacion='rafaga' AND acumulado>=3 THEN s+CAST(15*pow(2, least(acumulado,5)) AS BIGINT)*60 END AS hasta_s FROM ({total})"""
 
 
-@query("escalating_block", f"""SELECT *, CASE WHEN acumulado>=3 THEN CAST(15*pow(2, least(acumulado,5)) AS INTEGER) END AS minutos_bloqueo,
-  CASE WHEN acumulado>=3 THEN s+CAST(15*pow(2, least(acumulado,5)) AS BIGINT)*60 END AS hasta_s FROM ({_BLOCK})""")
+@query("escalating_block", _block_sql(10, 1, 5))
 def _(v: Views):
     return governance.escalating_block(_rates(v))
 
 
-@query("top_violators", f"""SELECT clave, CAST(sum(n_1s) AS BIGINT) AS violaciones FROM ({_RATE}) WHERE violacion IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+@query("escalating_block_bursts", _block_sql(1, 1, 1))
+def _(v: Views):
+    """The same with a burst limit that this log breaks."""
+    return governance.escalating_block(governance.sliding_rate(v.api_calls, "endpoint", "created_at", burst=1, minute=1, hour=1))
+
+
+@query("enforced_limits")
+def _(v: Views):
+    """Violations and blocks when a blocked endpoint's requests count no more."""
+    return governance.enforced(v.api_calls, "endpoint", "created_at", burst=1, minute=1, hour=1)
+
+
+def _limit_sql(sec: str, minute: int, hour: int) -> str:
+    counts = ", ".join(f"CAST(sum(n) OVER (PARTITION BY clave ORDER BY s RANGE BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS BIGINT) AS n_{k}s" for k in (10, 60, 3600))
+    return f"""SELECT clave, s, n AS n_1s, n_10s, n_60s, n_3600s, CASE WHEN n_60s>{minute} THEN 'minuto' WHEN n_3600s>{hour} THEN 'hora' END AS violacion,
+      CAST(least(n, greatest(0, n_60s-{minute}, n_3600s-{hour})) AS BIGINT) AS exceso FROM (SELECT *, {counts} FROM ({sec}))"""
+
+
+@query("user_rate", _limit_sql("SELECT user_id AS clave, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS s, count(*) AS n FROM events GROUP BY 1,2", 100, 500))
+def _(v: Views):
+    return governance.user_rate(v.events, "user_id", "ts")
+
+
+@query("global_rate", _limit_sql("SELECT 'global' AS clave, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS s, count(*) AS n FROM events GROUP BY 1,2", 2, 10))
+def _(v: Views):
+    """All requests together against limits that this log breaks."""
+    return governance.global_rate(v.events, "ts", minute=2, hour=10)
+
+
+@query("top_violators", f"""SELECT clave, CAST(sum(exceso) AS BIGINT) AS violaciones FROM ({_RATE}) WHERE violacion IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def _(v: Views):
     return governance.top_violators(_rates(v))
 

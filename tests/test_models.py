@@ -62,12 +62,71 @@ def test_autoregression_beats_the_weekday_mean(split, base):
     assert picked["in"]["d"] + picked["in"]["s"] >= 1
 
 
-def test_autoregression_on_a_short_series_falls_back(spark):
-    df = spark.createDataFrame([("in", START + dt.timedelta(days=i), 5.0) for i in range(20)], "serie string, ds date, y double")
-    best = models.best_ar(models.ar_candidates(df)).first()
-    assert (best["p"], best["d"], best["q"], best["s"], best["aic"]) == (1, 1, 1, 0, None)
-    out = models.ar_forecast(df, models.best_ar(models.ar_candidates(df)), calendar.future_days(df, 3)).collect()
-    assert [r["yhat"] for r in out] == [5.0] * 3
+def _line(spark, values, serie="in"):
+    return spark.createDataFrame([(serie, START + dt.timedelta(days=i), float(v)) for i, v in enumerate(values)], "serie string, ds date, y double")
+
+
+def test_autoregression_on_short_series(spark):
+    flat = _line(spark, [5.0] * 20)
+    out = models.ar_forecast(flat, models.best_ar(models.ar_candidates(flat)), calendar.future_days(flat, 3)).collect()
+    assert [round(r["yhat"], 4) for r in out] == [5.0] * 3
+    rising = _line(spark, range(1, 31))
+    best = models.best_ar(models.ar_candidates(rising))
+    assert best.first()["aic"] is not None
+    out = models.ar_forecast(rising, best, calendar.future_days(rising, 3)).orderBy("ds").collect()
+    assert [round(r["yhat"], 2) for r in out] == [31.0, 32.0, 33.0]
+    tiny = _line(spark, [3.0, 5.0])
+    best = models.best_ar(models.ar_candidates(tiny))
+    r = best.first()
+    assert (r["p"], r["d"], r["q"], r["s"], r["aic"]) == (0, 0, 0, 0, None)
+    assert [r["yhat"] for r in models.ar_forecast(tiny, best, calendar.future_days(tiny, 2)).collect()] == [4.0] * 2
+
+
+def test_days_without_training_keep_their_place(spark):
+    """Ten holidays a year with their neighbours left out of training cost little against the full series."""
+    rng = np.random.default_rng(1)
+    t = np.arange(1100)
+    y = 60 + np.array([12, 6, 3, 0, -4, -20, -25])[t % 7] + rng.normal(0, 2, len(t))
+    off = {d for year in range(3) for d in range(20, 360, 34) for d in (365 * year + d - 1, 365 * year + d, 365 * year + d + 1)}
+    seen = [("full", START + dt.timedelta(days=int(i)), float(y[i]), True) for i in t[:-28]]
+    usual = {k: float(np.mean([y[i] for i in t[:-28] if i % 7 == k and i not in off])) for k in range(7)}
+    seen += [("mask", START + dt.timedelta(days=int(i)), usual[i % 7] if i in off else float(y[i]), i not in off) for i in t[:-28]]
+    train = spark.createDataFrame(seen, "serie string, ds date, y double, entrena boolean")
+    days = train.select("serie").distinct().crossJoin(spark.createDataFrame([(START + dt.timedelta(days=int(i)), float(y[i])) for i in t[-28:]], "ds date, real double"))
+    got = models.predictions(train, days.select("serie", "ds"), ["full", "mask"], ["arima", "prophet", "ridge"]).join(days, ["serie", "ds"])
+    e = {(r["serie"], r["modelo"]): r["e"] for r in got.groupBy("serie", "modelo").agg(F.avg(F.abs(F.col("yhat") - F.col("real"))).alias("e")).collect()}
+    for m in ("arima", "prophet", "ridge"):
+        assert e["mask", m] <= 1.2 * e["full", m] + 0.05, (m, e)
+
+
+def test_the_mask_keeps_the_calendar(spark):
+    from callstrata.sources.holidays import holiday_dim
+
+    rows = [(s, dt.date(2024, 1, 1) + dt.timedelta(days=i), 10 + i % 7) for s in ("in", "out") for i in range(60)]
+    daily = spark.createDataFrame(rows, "serie string, ds date, y bigint")
+    masked = calendar.training_mask(daily, holiday_dim(spark))
+    kept = {(r["serie"], r["ds"]) for r in calendar.training_filter(daily, holiday_dim(spark)).collect()}
+    got = masked.collect()
+    assert len(got) == 120 and {(r["serie"], r["ds"]) for r in got if r["entrena"]} == kept and len(kept) < 120
+    assert all(r["y"] == 10 + (r["ds"] - dt.date(2024, 1, 1)).days % 7 for r in got)
+
+
+def test_any_name_of_a_series_survives_the_folds(spark, planted):
+    named = planted.withColumn("serie", F.when(F.col("serie") == "in", "a#1").otherwise("#b#"))
+    pairs = models.fold_pairs(named, ("prophet", "ridge"))
+    assert {(r["serie"], r["fold"]) for r in pairs.select("serie", "fold").distinct().collect()} == {(s, k) for s in ("a#1", "#b#") for k in range(4)}
+
+
+def test_models_without_error_share_the_weight(spark):
+    m = spark.createDataFrame([("in", "a", 0.0), ("in", "b", 0.0), ("in", "c", 2.0), ("out", "a", 0.0), ("out", "b", None)], "serie string, modelo string, mae double")
+    w = {(r["serie"], r["modelo"]): r["peso"] for r in ensemble.ensemble_weights(m).collect()}
+    assert w == {("in", "a"): 0.5, ("in", "b"): 0.5, ("in", "c"): 0.0, ("out", "a"): 1.0}
+
+
+def test_folds_expand_at_every_size(spark):
+    got = ensemble.expanding_folds(_line(spark, range(40)), 5, min_rows=0)
+    ends = got.groupBy("fold").agg(F.max(F.when(F.col("parte") == "train", F.col("ds"))).alias("a"), F.min(F.when(F.col("parte") == "test", F.col("ds"))).alias("b")).collect()
+    assert len(ends) == 5 and all(r["a"] < r["b"] for r in ends)
 
 
 def test_ridge_equals_the_closed_form(spark, planted):

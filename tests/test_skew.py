@@ -42,16 +42,58 @@ def test_sliding_rate_equals_brute_force(spark, requests):
     assert any(v[4] for v in want.values())
 
 
-def test_blocks_equal_a_running_count(spark, requests):
+def _one_by_one(requests, burst=10, minute=60, hour=300, blocking=False):
+    """Every request in order: (key, second) -> [violations, total after the second, kind, block of the last burst]."""
+    seen, total, until, out = defaultdict(list), Counter(), Counter(), {}
+    for k, s in sorted((k, int((t.replace(microsecond=0) - dt.datetime(1970, 1, 1)).total_seconds())) for _, k, t in requests):
+        if blocking and s < until[k]:
+            continue
+        seen[k].append(s)
+        n = [sum(s - w < x for x in seen[k]) for w in (10, 60, 3600)]
+        kind = "rafaga" if n[0] > burst else "minuto" if n[1] > minute else "hora" if n[2] > hour else None
+        if kind:
+            total[k] += 1
+            stop = 15 * 2 ** min(total[k], 5) if kind == "rafaga" and total[k] >= 3 else None
+            if stop:
+                until[k] = s + 60 * stop
+            out.setdefault((k, s), []).append((kind, total[k], stop))
+    return out
+
+
+def test_blocks_count_single_requests(spark, requests):
     df = spark.createDataFrame(requests, "id int, k string, ts timestamp_ntz")
-    rates = governance.sliding_rate(df, "k", "ts")
-    got = {(r["clave"], r["s"]): (r["acumulado"], r["minutos_bloqueo"]) for r in governance.escalating_block(rates).collect()}
-    total, want = Counter(), {}
-    for r in sorted((r for r in rates.collect() if r["violacion"]), key=lambda r: (r["clave"], r["s"])):
-        total[r["clave"]] += r["n_1s"]
-        n = total[r["clave"]]
-        want[(r["clave"], r["s"])] = (n, 15 * 2 ** min(n, 5) if n >= 3 else None)
-    assert got == want and len(want) > 3
+    got = {(r["clave"], r["s"]): (r["exceso"], r["acumulado"], r["violacion"] == "rafaga", r["minutos_bloqueo"])
+           for r in governance.escalating_block(governance.sliding_rate(df, "k", "ts")).collect()}
+    want = {}
+    for key, rows in _one_by_one(requests).items():
+        burst = any(kind == "rafaga" for kind, _, _ in rows)
+        n = rows[-1][1]
+        want[key] = (len(rows), n, burst, 15 * 2 ** min(n, 5) if burst and n >= 3 else None)
+    assert got == want and len(want) > 3 and any(v[3] for v in want.values())
+
+
+def test_twelve_requests_in_a_second_are_two_violations(spark):
+    at = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, "k", at) for i in range(12)], "id int, k string, ts timestamp_ntz")
+    r = governance.escalating_block(governance.sliding_rate(df, "k", "ts")).first()
+    assert (r["exceso"], r["acumulado"], r["minutos_bloqueo"]) == (2, 2, None)
+    assert governance.enforced(df, "k", "ts").count() == 2
+
+
+@pytest.mark.parametrize("limits", [(10, 60, 300), (2, 5, 9)])
+def test_blocked_requests_count_no_more(spark, requests, limits):
+    df = spark.createDataFrame(requests, "id int, k string, ts timestamp_ntz")
+    got = sorted((r["clave"], r["s"], r["violacion"], r["acumulado"], r["minutos_bloqueo"]) for r in governance.enforced(df, "k", "ts", *limits).collect())
+    want = sorted((*key, *row) for key, rows in _one_by_one(requests, *limits, blocking=True).items() for row in rows)
+    assert [tuple(None if x != x else x for x in r) for r in got] == want and want
+
+
+def test_limits_of_users_and_of_all(spark, requests):
+    df = spark.createDataFrame(requests, "id int, k string, ts timestamp_ntz")
+    per_user = governance.user_rate(df, "k", "ts")
+    assert {r["violacion"] for r in per_user.collect()} <= {None, "minuto", "hora"} and per_user.where("violacion = 'hora'").count() > 0
+    whole = governance.global_rate(df, "ts")
+    assert whole.agg({"n_1s": "sum"}).first()[0] == len(requests) and {r["clave"] for r in whole.collect()} == {"global"}
 
 
 def test_activity_sessions_equal_brute_force(spark):
@@ -91,9 +133,12 @@ def test_calls_by_user_with_one_busy_phone(spark):
     start = dt.datetime(2024, 1, 1)
     calls = [("hot", start + dt.timedelta(hours=i), "Si" if i % 2 else "No", 10) for i in range(240)] + [("p", start, "Si", None), (None, start, "Si", 1)]
     df = spark.createDataFrame(calls, "TELEFONO string, FECHA timestamp_ntz, ATENDIDA string, DURACION int")
-    users = spark.createDataFrame([("hot", "u1", "A"), ("p", "u2", "A"), ("none", "u3", "B")], "TELEFONO string, USUARIO string, CARGO string")
+    users = spark.createDataFrame([("hot", "u1", "A"), ("p", "u2", "A"), ("none", "u3", "B"), ("p", "u4", "B"), (None, "u5", "B")],
+                                  "TELEFONO string, USUARIO string, CARGO string")
     got = {r["USUARIO"]: r for r in roles.calls_by_user(df, users).collect()}
-    assert set(got) == {"u1", "u2"}
+    assert set(got) == {"u1", "u2", "u3", "u4", "u5", None}
+    assert got[None]["llamadas"] == 1 and sum(r["llamadas"] for r in got.values()) == len(calls)
+    assert all((got[u]["llamadas"], got[u]["dias"], got[u]["tasa_atencion"]) == (0, 0, None) for u in ("u3", "u4", "u5"))
     assert (got["u1"]["llamadas"], got["u1"]["dias"], got["u1"]["llamadas_por_dia"], got["u1"]["tasa_atencion"]) == (240, 10, 24.0, 50.0)
     assert got["u2"]["duracion_media"] is None
 
