@@ -6,7 +6,10 @@ text's nearest examples by cosine are found exactly: blocks are read by falling
 The neighbours vote with the square of their cosine, corrected for the sampling of the classes, and a monotone fit on the
 training sample (each row without itself) turns votes into probabilities. Document frequencies are counted over all texts.
 
-Parameters that bound the fit: ``EXAMPLES`` labelled rows per class, ``TERMS`` terms. Both are small enough to travel with the job.
+A term counts once per context (its neighbour words at its first place in a text), so copies of a text and passages that
+many texts share give their terms no weight.
+
+Parameters that bound the fit: ``EXAMPLES`` labelled rows of class 0 and 1, ``TERMS`` terms. Both are small enough to travel with the job.
 
 Defined results: a null or empty text, or one without any term of the vocabulary, gets the toxic share of such training rows;
 without labels of both classes every score is the share of toxic labels, or 0.5 without labels; of several labels of an id the
@@ -16,6 +19,7 @@ repeated result rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,10 +30,10 @@ from pyspark.sql import functions as F
 
 from callstrata.llm.text import batches_of_bytes, byte_words, staged
 
-EXAMPLES = 4000
-TERMS = 256
+EXAMPLES = (20_000, 4_000)
+TERMS = 1024
 LIFT = 3.0
-LEAST_G2 = 15.0
+LEAST_G2 = 20.0
 K = 25
 BLOCK = 64
 THRESHOLD = 0.7
@@ -40,35 +44,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def training_sample(labels: DataFrame, per_class: int = EXAMPLES) -> tuple[DataFrame, dict[int, int]]:
-    """(id, y) of at most ``per_class`` training rows per class, by the order of a hash; and all training rows per class."""
+def training_sample(labels: DataFrame, per_class: tuple[int, int] = EXAMPLES) -> tuple[DataFrame, dict[int, int]]:
+    """(id, y) of at most ``per_class`` training rows of class 0 and 1, by the order of a hash; and all training rows per class."""
     rows = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    one, zero = (rows.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (1, 0))
+    one, zero = (rows.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class[y]) for y in (1, 0))
     return staged(one.union(zero)), sizes
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ys, out_y, out_t = batch.column("y").to_pylist(), [], []
+        ys, out_y, out_t, out_c = batch.column("y").to_pylist(), [], [], []
         for y, text in zip(ys, batches_of_bytes(batch.column("text")), strict=True):
-            terms = set(byte_words(text))
-            out_y += [y] * len(terms)
-            out_t += terms
-        yield pa.RecordBatch.from_arrays([pa.array(out_y, pa.int32()), pa.array(out_t, pa.binary())], ["y", "term"])
+            words = byte_words(text)
+            first = {w: i for i, w in zip(range(len(words) - 1, -1, -1), reversed(words))}
+            words.append(b"")
+            out_y += [y] * len(first)
+            out_t += first
+            out_c += [zlib.crc32(words[i - 1] + b" " + words[i + 1]) for i in first.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(out_y, pa.int32()), pa.array(out_t, pa.binary()), pa.array(out_c, pa.int64())], ["y", "term", "context"])
 
 
 def vocabulary(docs: DataFrame, sample: DataFrame, size: int = TERMS) -> list[bytes]:
-    """Terms that mark toxic texts in the sample, by falling log-likelihood ratio. Equal texts count once."""
+    """Terms that mark toxic texts in the sample, by falling log-likelihood ratio. Equal texts count once, and equal contexts of a term."""
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("y", F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"))
     texts = staged(texts)
     n = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return []
-    terms = texts.select("y", "text").mapInArrow(_term_rows, "y int, term binary").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    contexts = texts.select("y", "text").mapInArrow(_term_rows, "y int, term binary, context long").distinct()
+    terms = contexts.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     total = n1 + n0
     grid = [(F.col("a"), n1, 1), (F.col("b"), n0, 1), (n1 - F.col("a"), n1, 0), (n0 - F.col("b"), n0, 0)]
     seen = F.col("a") + F.col("b")
@@ -187,7 +195,7 @@ def monotone(x: list[float], y: list[int], weight: list[float]) -> tuple[np.ndar
     return np.array([s[0] for s in pooled]), np.array([(s[1] + 0.5) / (s[2] + 1.0) for s in pooled])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES, n_terms: int = TERMS, k: int = K) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = EXAMPLES, n_terms: int = TERMS, k: int = K) -> DataFrame:
     """doc_id, held_out, score, predicted, nearest (ids of the three nearest examples), evidence (the text's terms), row_key."""
     sample, sizes = training_sample(labels, per_class)
     terms = vocabulary(docs, sample, n_terms)
