@@ -148,15 +148,22 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def numeric_quality(df: DataFrame, cols: list[str], limit: float = 3.0) -> DataFrame:
-    """Negatives, zeros and values more than ``limit`` deviations from the mean, per numeric column."""
-    cells = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("columna"), F.col(c).cast("double").alias("v")) for c in cols])))
-    stats = cells.groupBy("columna").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
-    # One stats row per column: the row count is the number of columns.
-    z = F.abs(F.try_divide(F.col("v") - F.col("m"), F.col("s")))
-    return cells.join(F.broadcast(stats), "columna").groupBy("columna").agg(
-        F.count_if(F.col("v") < 0).alias("negativos"), F.count_if(F.col("v") == 0).alias("ceros"),
-        F.count_if(z > limit).alias("atipicos"))
+    """Negatives, zeros and values more than ``limit`` deviations from the mean, per numeric column.
+
+    Means and deviations are one row, taken for all columns at once and used as a scalar; no row is multiplied by the columns.
+    """
+    v = {c: F.col(c).cast("double") for c in cols}
+    stats = df.agg(F.struct(*[F.struct(F.avg(v[c]).alias("m"), F.stddev_samp(v[c]).alias("s")).alias(f"k{i}") for i, c in enumerate(cols)]).alias("t"))
+    known = df.select(*cols, stats.scalar().alias("_t"))
+
+    def z(i, c):
+        t = F.col("_t")[f"k{i}"]
+        return F.abs(F.try_divide(v[c] - t["m"], t["s"]))
+
+    wide = known.agg(*[F.struct(
+        F.lit(c).alias("columna"), F.count_if(v[c] < 0).alias("negativos"), F.count_if(v[c] == 0).alias("ceros"),
+        F.count_if(z(i, c) > limit).alias("atipicos")).alias(f"k{i}") for i, c in enumerate(cols)])
+    return wide.select(F.inline(F.array(*[f"k{i}" for i in range(len(cols))])))
 
 
 def overview(df: DataFrame) -> DataFrame:

@@ -52,8 +52,8 @@ def by_direction(calls: DataFrame, tipo: str) -> DataFrame:
 
 
 def hash_split(calls: DataFrame, key: str, share: float = 0.6) -> DataFrame:
-    """Give rows without a direction a stable one: the given share 'in', the rest 'out'."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(10_000))
+    """Give rows without a direction a stable one: the given share 'in', the rest 'out'. The hash is one that every engine has."""
+    bucket = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % 10_000
     return calls.withColumn("SENTIDO", F.when(bucket < int(share * 10_000), "in").otherwise("out"))
 
 

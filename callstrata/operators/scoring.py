@@ -61,7 +61,7 @@ def system_alerts(perf: DataFrame, runs: DataFrame) -> DataFrame:
             _fmt("%d alertas críticas en predicciones de %s", F.col("alertas_criticas"), s),
             "Revisar configuración de umbrales y capacidad operativa")))
     # One row: the overall state next to the score of the latest stored run.
-    last = runs.agg(F.max_by("score", "run_ts")).scalar()
+    last = runs.orderBy(F.desc("run_ts"), "serie").select("score").limit(1).scalar()
     overall = perf.agg(F.max("score_general").alias("score"), F.max("estado").alias("estado")).withColumn("previo", last)
     drop = F.when(F.col("previo") > 0, (F.col("previo") - F.col("score")) / F.col("previo") * 100)
     bad = F.col("estado").isin("CRITICO", "REQUIERE_ATENCION")
@@ -101,17 +101,26 @@ def weekly_report(runs: DataFrame, n: int = 7, by: str = "serie") -> DataFrame:
             "cumple_mae": F.coalesce(F.col("mae_promedio") <= GOAL_MAE, F.lit(False))})
 
 
-def weekly_recommendations(runs: DataFrame, errors: int = 0, n: int = 7, by: str = "serie") -> DataFrame:
-    """Advice when the score fell over the week, or when errors occurred."""
+def recent_errors(runs: DataFrame, failures: DataFrame, ts: str, days: int = 7) -> Column:
+    """Failures of the ``days`` days up to the last run, as a scalar."""
+    last = runs.agg(F.max("run_ts")).scalar()
+    at = F.col(ts)
+    return failures.where((at <= last) & (at > last - F.make_dt_interval(F.lit(days)))).agg(F.count(F.lit(1))).scalar()
+
+
+def weekly_recommendations(runs: DataFrame, errors: Column | int = 0, n: int = 7, by: str = "serie") -> DataFrame:
+    """Advice when the score fell over the week, or when errors occurred; ``errors`` is their number."""
+    errors = errors if isinstance(errors, Column) else F.lit(errors)
     week = _last_week(runs, n, by).groupBy(by).agg(
         F.min_by("score", "run_ts").alias("_a"), F.max_by("score", "run_ts").alias("_b"), F.count(F.lit(1)).alias("_n"))
-    row = lambda t, d, a: F.struct(F.lit(t).alias("tipo"), F.lit(d).alias("descripcion"), F.lit(a).alias("accion"))
+    week = week.withColumn("_e", errors)
+    row = lambda t, d, a: F.struct(F.lit(t).alias("tipo"), (d if isinstance(d, Column) else F.lit(d)).alias("descripcion"), F.lit(a).alias("accion"))
     found = F.array_compact(F.array(
         F.when((F.col("_n") >= 2) & (F.col("_b") < F.col("_a")), row(
             "TENDENCIA_NEGATIVA", "Performance descendente durante la semana",
             "Investigar causas de degradación y planificar mejoras")),
-        F.when(F.lit(errors > 0), row("ESTABILIDAD", f"{errors} errores recientes detectados",
-                                      "Revisar logs y fortalecer monitoreo preventivo"))))
+        F.when(F.col("_e") > 0, row("ESTABILIDAD", F.concat(F.col("_e").cast("string"), F.lit(" errores recientes detectados")),
+                                    "Revisar logs y fortalecer monitoreo preventivo"))))
     return week.select(by, F.inline(found))
 
 

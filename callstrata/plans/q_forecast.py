@@ -250,14 +250,14 @@ def _sys_sql(perf: str) -> str:
       FROM (SELECT {st} AS e) WHERE e IN ('CRITICO','REQUIERE_ATENCION')"""
 
 
-@query("system_alerts", _sys_sql(_BAD).replace("FROM runs ORDER", "FROM runs WHERE serie='in' ORDER"))
+@query("system_alerts", _sys_sql(_BAD))
 def _(v: Views):
-    return scoring.system_alerts(_bad_perf(v), v.runs.where("serie = 'in'"))
+    return scoring.system_alerts(_bad_perf(v), v.runs)
 
 
-@query("system_alerts_normal", _sys_sql("perf").replace("FROM runs ORDER", "FROM runs WHERE serie='in' ORDER"))
+@query("system_alerts_normal", _sys_sql("perf"))
 def _(v: Views):
-    return scoring.system_alerts(_perf(v), v.runs.where("serie = 'in'"))
+    return scoring.system_alerts(_perf(v), v.runs)
 
 
 @query("system_mae_mean", "SELECT coalesce(avg(mae_ensemble) FILTER (WHERE mae_ensemble>0),0) AS mae_promedio FROM perf", dbl="mae_promedio")
@@ -344,9 +344,10 @@ def _(v: Views):
 
 @query("weekly_recommendations", f"""SELECT serie, 'TENDENCIA_NEGATIVA' AS tipo, 'Performance descendente durante la semana' AS descripcion,
   'Investigar causas de degradación y planificar mejoras' AS accion FROM {_WK} GROUP BY 1 HAVING count(*)>=2 AND max_by(score,run_ts)<min_by(score,run_ts)
-  UNION ALL SELECT DISTINCT serie, 'ESTABILIDAD', '2 errores recientes detectados', 'Revisar logs y fortalecer monitoreo preventivo' FROM runs""")
+  UNION ALL SELECT DISTINCT serie, 'ESTABILIDAD', e||' errores recientes detectados', 'Revisar logs y fortalecer monitoreo preventivo' FROM runs,
+    (SELECT count(*) AS e FROM sessions, (SELECT max(run_ts) AS t FROM runs) WHERE status='failed' AND created_at <= t AND created_at > t - INTERVAL 7 DAY) WHERE e > 0""")
 def _(v: Views):
-    return scoring.weekly_recommendations(v.runs, errors=2)
+    return scoring.weekly_recommendations(v.runs, scoring.recent_errors(v.runs, v.sessions.where("status = 'failed'"), "created_at"))
 
 
 @query("run_freshness", f"""SELECT *, CASE WHEN sum(problema::INT) OVER ()=0 THEN 'OK' WHEN sum(problema::INT) OVER ()<=2 THEN 'DEGRADADO' ELSE 'CRITICO' END AS estado FROM
