@@ -25,36 +25,53 @@ def _day_class(c):
     return out
 
 
+def counted(calls: DataFrame, *keys: str) -> DataFrame:
+    """Calls as counts ``n`` per day, hour and the given columns, combined before the shuffle.
+
+    What follows marks and compares a few rows per day instead of every call;
+    the operators below take such counts as well as single rows.
+    """
+    return calls.groupBy(F.to_date("FECHA").alias("ds"), F.hour("FECHA").alias("hora"), *keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rows(df: DataFrame):
+    return F.sum("n") if "n" in df.columns else F.count(F.lit(1))
+
+
+def _rows_if(df: DataFrame, test):
+    return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)) if "n" in df.columns else F.count_if(test)
+
+
 def day_types(marked: DataFrame) -> DataFrame:
     """Calls per day type with their share."""
-    per = marked.groupBy("tipo_dia").agg(F.count(F.lit(1)).alias("llamadas"))
+    per = marked.groupBy("tipo_dia").agg(_rows(marked).alias("llamadas"))
     every = Window.partitionBy(F.lit(1))  # a dozen rows
     return per.withColumn("pct", pct(F.col("llamadas"), F.sum("llamadas").over(every)))
 
 
 def holiday_totals(marked: DataFrame) -> DataFrame:
     """Calls on, before and after holidays and their shares."""
-    n = F.count(F.lit(1))
+    n = _rows(marked)
     parts = {"feriado": "es_feriado", "pre": "pre_feriado", "post": "post_feriado"}
-    return marked.agg(n.alias("total"), *[F.count_if(F.col(c)).alias(f"n_{k}") for k, c in parts.items()],
-                      *[pct(F.count_if(F.col(c)), n).alias(f"pct_{k}") for k, c in parts.items()])
+    return marked.agg(n.alias("total"), *[_rows_if(marked, F.col(c)).alias(f"n_{k}") for k, c in parts.items()],
+                      *[pct(_rows_if(marked, F.col(c)), n).alias(f"pct_{k}") for k, c in parts.items()])
 
 
 def attendance_by_day_type(marked: DataFrame) -> DataFrame:
     """Answered and missed calls and attendance rate per day type."""
     a = F.col("ATENDIDA")
-    return marked.groupBy("tipo_dia").agg(F.count_if(a == "Si").alias("si"), F.count_if(a == "No").alias("no")).withColumn(
+    return marked.groupBy("tipo_dia").agg(_rows_if(marked, a == "Si").alias("si"), _rows_if(marked, a == "No").alias("no")).withColumn(
         "tasa_atencion", pct(F.col("si"), F.col("si") + F.col("no")))
 
 
 def by_category(marked: DataFrame) -> DataFrame:
-    return marked.where("es_feriado").groupBy("feriado_categoria").agg(F.count(F.lit(1)).alias("llamadas"))
+    return marked.where("es_feriado").groupBy("feriado_categoria").agg(_rows(marked).alias("llamadas"))
 
 
 def holiday_hours(marked: DataFrame) -> DataFrame:
     """Holiday flag x hour counts."""
-    return marked.groupBy("es_feriado").agg(*[
-        F.count_if(F.hour("FECHA") == h).alias(f"h{h:02d}") for h in range(24)])
+    hour = F.col("hora") if "hora" in marked.columns else F.hour("FECHA")
+    return marked.groupBy("es_feriado").agg(*[_rows_if(marked, hour == h).alias(f"h{h:02d}") for h in range(24)])
 
 
 def holiday_metrics(marked: DataFrame) -> DataFrame:
@@ -63,7 +80,7 @@ def holiday_metrics(marked: DataFrame) -> DataFrame:
     Counted per day first, so the distinct-day counts work on one row per date.
     """
     days = marked.groupBy("ds").agg(
-        F.count(F.lit(1)).alias("n"), F.first("es_feriado").alias("f"), F.first("pre_feriado").alias("p"),
+        _rows(marked).alias("n"), F.first("es_feriado").alias("f"), F.first("pre_feriado").alias("p"),
         (F.first("tipo_dia") == DAY_LABOUR).alias("l"))
     n = F.col("n")
 
@@ -89,22 +106,21 @@ def impact_class(metrics: DataFrame) -> DataFrame:
 
 def top_holidays(marked: DataFrame, n: int = 5) -> DataFrame:
     return marked.where("es_feriado").groupBy("ds", "feriado_descripcion").agg(
-        F.count(F.lit(1)).alias("llamadas")).orderBy(F.desc("llamadas"), "ds").limit(n)
+        _rows(marked).alias("llamadas")).orderBy(F.desc("llamadas"), "ds").limit(n)
 
 
 def role_holiday_share(marked: DataFrame) -> DataFrame:
     """Calls, holiday calls and holiday share per role in one pass."""
-    n = F.count(F.lit(1))
-    return marked.groupBy("CARGO").agg(n.alias("total_llamadas"), F.count_if("es_feriado").alias("llamadas_feriados"),
-                                       pct(F.count_if("es_feriado"), n).alias("porcentaje_feriados"))
+    n, on = _rows(marked), _rows_if(marked, F.col("es_feriado"))
+    return marked.groupBy("CARGO").agg(n.alias("total_llamadas"), on.alias("llamadas_feriados"), pct(on, n).alias("porcentaje_feriados"))
 
 
 def role_daytype(marked: DataFrame) -> DataFrame:
     """Share of each day type within a role, as columns."""
     kind = _day_class(F.col("tipo_dia"))
-    n = F.count(F.lit(1))
+    n = _rows(marked)
     return marked.groupBy("CARGO").agg(*[
-        pct(F.count_if(kind == c), n).alias(c) for c in [*DAY_TYPE_COLS.values(), "feriado"]])
+        pct(_rows_if(marked, kind == c), n).alias(c) for c in [*DAY_TYPE_COLS.values(), "feriado"]])
 
 
 def role_attendance(marked: DataFrame) -> DataFrame:
@@ -112,8 +128,8 @@ def role_attendance(marked: DataFrame) -> DataFrame:
     kind = _day_class(F.col("tipo_dia"))
     aggs = []
     for c in [*DAY_TYPE_COLS.values(), "feriado"]:
-        aggs += [pct(F.count_if((kind == c) & (F.col("ATENDIDA") == "Si")), F.count_if(kind == c)).alias(f"tasa_{c}"),
-                 F.count_if(kind == c).alias(f"n_{c}")]
+        aggs += [pct(_rows_if(marked, (kind == c) & (F.col("ATENDIDA") == "Si")), _rows_if(marked, kind == c)).alias(f"tasa_{c}"),
+                 _rows_if(marked, kind == c).alias(f"n_{c}")]
     return marked.groupBy("CARGO").agg(*aggs)
 
 

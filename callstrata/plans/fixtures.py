@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callstrata.functions.stats import full_frame
-from callstrata.operators import alerts, calendar, cleaning, ensemble, segment
+from callstrata.operators import alerts, calendar, cleaning, ensemble, roles, segment
 from callstrata.session import checkpointed
 from callstrata.sources.holidays import enrich, holiday_dim
 
@@ -144,6 +144,16 @@ class Views:
         """Long log with its day marks."""
         return calendar.mark_days(self.calls_long.withColumn("ds", F.to_date("FECHA")), self.hol_long)
 
+    @cached_property
+    def marked_counts(self) -> DataFrame:
+        """Counts of the long log by day, role and answer, marked after counting."""
+        return calendar.mark_days(roles.counted(self.calls_long, "CARGO", "ATENDIDA"), self.hol_long)
+
+    @cached_property
+    def marked_hours(self) -> DataFrame:
+        """The same of the log with hours."""
+        return calendar.mark_days(roles.counted(self.calls, "CARGO", "ATENDIDA"), self.hol)
+
     @cached_property
     def marked_calls(self) -> DataFrame:
         return calendar.mark_days(self.calls.withColumn("ds", F.to_date("FECHA")), self.hol)

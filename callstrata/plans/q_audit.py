@@ -252,7 +252,7 @@ def _(v: Views):
 
 @query("day_type_counts", "SELECT tipo_dia, count(*) AS llamadas, count(*)*100.0/sum(count(*)) OVER () AS pct FROM marked GROUP BY 1", dbl="pct")
 def _(v: Views):
-    return roles.day_types(v.marked)
+    return roles.day_types(v.marked_counts)
 
 
 @query("holiday_totals", """SELECT count(*) AS total, count(*) FILTER (WHERE es_feriado) AS n_feriado, count(*) FILTER (WHERE pre_feriado) AS n_pre,
@@ -260,19 +260,19 @@ def _(v: Views):
   count(*) FILTER (WHERE pre_feriado)*100.0/count(*) AS pct_pre, count(*) FILTER (WHERE post_feriado)*100.0/count(*) AS pct_post FROM marked""",
        dbl="pct_feriado pct_pre pct_post")
 def _(v: Views):
-    return roles.holiday_totals(v.marked)
+    return roles.holiday_totals(v.marked_counts)
 
 
 @query("attendance_by_day_type", """SELECT tipo_dia, count(*) FILTER (WHERE ATENDIDA='Si') AS si, count(*) FILTER (WHERE ATENDIDA='No') AS "no",
   count(*) FILTER (WHERE ATENDIDA='Si')*100.0/nullif(count(*) FILTER (WHERE ATENDIDA IN ('Si','No')),0) AS tasa_atencion FROM marked GROUP BY 1""",
        dbl="tasa_atencion")
 def _(v: Views):
-    return roles.attendance_by_day_type(v.marked)
+    return roles.attendance_by_day_type(v.marked_counts)
 
 
 @query("holiday_category_counts", "SELECT feriado_categoria, count(*) AS llamadas FROM marked WHERE es_feriado GROUP BY 1")
 def _(v: Views):
-    return roles.by_category(v.marked)
+    return roles.by_category(v.marked_counts)
 
 
 _HOURS = ", ".join(f"count(*) FILTER (WHERE hour(FECHA)={h}) AS h{h:02d}" for h in range(24))
@@ -280,7 +280,7 @@ _HOURS = ", ".join(f"count(*) FILTER (WHERE hour(FECHA)={h}) AS h{h:02d}" for h
 
 @query("holiday_hour_pivot", f"SELECT es_feriado, {_HOURS} FROM marked_calls GROUP BY 1")
 def _(v: Views):
-    return roles.holiday_hours(v.marked_calls)
+    return roles.holiday_hours(v.marked_hours)
 
 
 _HM = """SELECT *, coalesce((promedio_feriado-promedio_normal)*100.0/nullif(promedio_normal,0),0) AS variacion_feriado_pct,
@@ -294,18 +294,18 @@ _HM = """SELECT *, coalesce((promedio_feriado-promedio_normal)*100.0/nullif(prom
 
 @query("holiday_metrics", _HM, dbl="promedio_normal promedio_feriado promedio_pre_feriado pct_feriados variacion_feriado_pct variacion_pre_feriado_pct")
 def _(v: Views):
-    return roles.holiday_metrics(v.marked)
+    return roles.holiday_metrics(v.marked_counts)
 
 
 @query("holiday_impact_class", f"""SELECT variacion_feriado_pct, CASE WHEN variacion_feriado_pct>10 THEN 'mayor_demanda' WHEN variacion_feriado_pct<-10
   THEN 'menor_demanda' ELSE 'demanda_estable' END AS impacto FROM ({_HM})""", dbl="variacion_feriado_pct")
 def _(v: Views):
-    return roles.impact_class(roles.holiday_metrics(v.marked))
+    return roles.impact_class(roles.holiday_metrics(v.marked_counts))
 
 
 @query("top_holidays", """SELECT ds, feriado_descripcion, count(*) AS llamadas FROM marked WHERE es_feriado GROUP BY 1,2 ORDER BY llamadas DESC, ds LIMIT 5""")
 def _(v: Views):
-    return roles.top_holidays(v.marked)
+    return roles.top_holidays(v.marked_counts)
 
 
 _RHS = """SELECT CARGO, count(*) AS total_llamadas, count(*) FILTER (WHERE es_feriado) AS llamadas_feriados,
@@ -316,7 +316,7 @@ _RHS = """SELECT CARGO, count(*) AS total_llamadas, count(*) FILTER (WHERE es_fe
   FROM (SELECT CARGO, count(*) n FROM marked GROUP BY 1) t LEFT JOIN (SELECT CARGO, count(*) n FROM marked WHERE es_feriado GROUP BY 1) h USING (CARGO)""",
        dbl="porcentaje_feriados")
 def _(v: Views):
-    return roles.role_holiday_share(v.marked)
+    return roles.role_holiday_share(v.marked_counts)
 
 
 _KIND = {"laboral": "tipo_dia='Día Laboral'", "fin_semana": "tipo_dia='Fin de Semana'", "fin_semana_largo": "tipo_dia='Fin de Semana Largo'",
@@ -326,21 +326,21 @@ _KIND = {"laboral": "tipo_dia='Día Laboral'", "fin_semana": "tipo_dia='Fin de S
 @query("role_daytype_share", "SELECT CARGO, " + ", ".join(f"count(*) FILTER (WHERE {c})*100.0/count(*) AS {k}" for k, c in _KIND.items())
        + " FROM marked GROUP BY 1", dbl=" ".join(_KIND))
 def _(v: Views):
-    return roles.role_daytype(v.marked)
+    return roles.role_daytype(v.marked_counts)
 
 
 @query("role_attendance", "SELECT CARGO, " + ", ".join(
     f"count(*) FILTER (WHERE {c} AND ATENDIDA='Si')*100.0/nullif(count(*) FILTER (WHERE {c}),0) AS tasa_{k}, count(*) FILTER (WHERE {c}) AS n_{k}"
     for k, c in _KIND.items()) + " FROM marked GROUP BY 1", dbl=" ".join(f"tasa_{k}" for k in _KIND))
 def _(v: Views):
-    return roles.role_attendance(v.marked)
+    return roles.role_attendance(v.marked_counts)
 
 
 @query("role_extremes", f"""SELECT first(CARGO ORDER BY porcentaje_feriados DESC, CARGO) AS mas_afectado, max(porcentaje_feriados) AS pct_max,
   first(CARGO ORDER BY porcentaje_feriados, CARGO) AS menos_afectado, min(porcentaje_feriados) AS pct_min, count(*) AS cargos FROM ({_RHS})""",
        dbl="pct_max pct_min")
 def _(v: Views):
-    return roles.role_extremes(roles.role_holiday_share(v.marked))
+    return roles.role_extremes(roles.role_holiday_share(v.marked_counts))
 
 
 def _role_recs_sql() -> str:
@@ -366,7 +366,7 @@ def _role_recs_sql() -> str:
 
 @query("role_recommendations", _role_recs_sql())
 def _(v: Views):
-    return alerts.role_recommendations(roles.role_holiday_share(v.marked))
+    return alerts.role_recommendations(roles.role_holiday_share(v.marked_counts))
 
 
 @query("holiday_calendar", """WITH d AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS ds),
