@@ -292,7 +292,10 @@ def sessions_per_day(sessions: DataFrame) -> DataFrame:
 
 
 def paginate(sessions: DataFrame, page: int, size: int, user: int | None = None, status: str | None = None) -> DataFrame:
-    """One page, newest first, with the true total; size 1-100. A bounded sort, not a numbered table."""
+    """One page, newest first, with the true total; size 1-100.
+
+    A sort of ``page * size`` rows per task: meant for the first pages. ``page_after`` goes as deep as one likes.
+    """
     if not 1 <= size <= 100:
         raise ValueError("page size must be between 1 and 100")
     if user is not None:
@@ -301,3 +304,20 @@ def paginate(sessions: DataFrame, page: int, size: int, user: int | None = None,
         sessions = sessions.where(F.col("status") == status)
     total = sessions.agg(F.count(F.lit(1)).alias("total")).scalar()
     return sessions.orderBy(F.desc("created_at"), "session_id").offset((page - 1) * size).limit(size).withColumn("total", total)
+
+
+def page_after(sessions: DataFrame, size: int, after: tuple[str, int] | None = None, user: int | None = None, status: str | None = None) -> DataFrame:
+    """The page that follows the row ``after`` (its created_at and session_id), newest first; None starts at the top.
+
+    The row is a filter, so each page sorts ``size`` rows per task however deep it lies.
+    """
+    if not 1 <= size <= 100:
+        raise ValueError("page size must be between 1 and 100")
+    if user is not None:
+        sessions = sessions.where(F.col("user_id") == user)
+    if status is not None:
+        sessions = sessions.where(F.col("status") == status)
+    if after is not None:
+        at = F.lit(after[0]).cast("timestamp_ntz")
+        sessions = sessions.where((F.col("created_at") < at) | (F.col("created_at") == at) & (F.col("session_id") > after[1]))
+    return sessions.orderBy(F.desc("created_at"), "session_id").limit(size)

@@ -346,6 +346,12 @@ def _(v: Views):
     return scoring.paginate(v.sessions, 3, 20, status="completed")
 
 
+@query("page_after_row", """SELECT * FROM sessions WHERE status='completed' AND (created_at < TIMESTAMP '1998-06-01' OR created_at = TIMESTAMP '1998-06-01' AND session_id > 100)
+  ORDER BY created_at DESC, session_id LIMIT 20""")
+def _(v: Views):
+    return scoring.page_after(v.sessions, 20, ("1998-06-01", 100), status="completed")
+
+
 # --- request rates and activity ----------------------------------------------------------------
 
 _SEC = "SELECT endpoint AS clave, CAST(epoch(date_trunc('second', created_at)) AS BIGINT) AS s, count(*) AS n FROM api_calls GROUP BY 1,2"

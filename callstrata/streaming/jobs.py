@@ -53,8 +53,10 @@ def sliding_counts(requests: DataFrame, key: str, ts: str, late: str = "10 minut
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Runs of activity per key that the watermark has closed; sessions are merged before the shuffle too."""
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    """Runs of activity per key that the watermark has closed. ``build_session`` has sessions merged before the shuffle too.
+
+    The last session of a key appears once later events have moved the watermark past its end.
+    """
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), F.col(key).alias("clave")).agg(
         F.count(F.lit(1)).alias("eventos")).select(
         F.col("w.start").alias("inicio"), F.col("w.end").alias("cierre"), "clave", "eventos")
