@@ -13,7 +13,7 @@ Parameters that bound the fit: ``EXAMPLES`` labelled rows of class 0 and 1, ``TE
 
 Defined results: a null or empty text, or one without any term of the vocabulary, gets the toxic share of such training rows;
 without labels of both classes every score is the share of toxic labels, or 0.5 without labels; of several labels of an id the
-largest counts; labels that are null or neither 0 nor 1 are ignored; ties of cosine go to the smaller id; repeated rows give
+largest counts, of several texts one; labels that are null or neither 0 nor 1 are ignored; ties of cosine go to the smaller id; repeated rows give
 repeated result rows.
 """
 
@@ -203,7 +203,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int
     n_docs = vecs.count()
     freq = {r["t"]: r["n"] for r in vecs.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
     idf = np.array([np.log((1.0 + n_docs) / (1.0 + freq.get(i, 0))) + 1.0 for i in range(len(terms))])
-    known = vecs.filter(~F.col("held_out")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "terms", "counts").collect()
+    known = vecs.filter(~F.col("held_out")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("row_key", "terms", "counts")).alias("v"))
+    known = known.select("doc_id", "y", "v.terms", "v.counts").collect()
     known = sorted(((r[0], r[1], list(r[2]), list(r[3])) for r in known), key=lambda r: r[0])
     got = {y: sum(r[1] == y for r in known) for y in (0, 1)}
     class_weight = tuple(sizes.get(y, 0) / got[y] if got[y] else 0.0 for y in (0, 1))
