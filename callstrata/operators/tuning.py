@@ -74,7 +74,7 @@ def sampled(space: Mapping[str, list], n: int, seed: int = 42) -> list[dict]:
 def search(feat: DataFrame, kind: str, combos: list[dict], types: Iterable[str], k: int = 5, threads: int = 8) -> DataFrame:
     """(serie, modelo, combinacion, parametros, fold, n, mse_train, mse_test) for every combination and fold."""
     spark = feat.sparkSession
-    folds = checkpointed(expanding_folds(feat.select("serie", "ds", "y", *TRAIN_COLS), k))
+    folds = checkpointed(expanding_folds(feat.select("serie", "ds", "y", *TRAIN_COLS), k, min_rows=0))
 
     def mse(model, rows) -> float:
         return model.transform(rows).agg(F.avg(F.pow(F.col("y") - F.col("prediction"), 2))).first()[0]
