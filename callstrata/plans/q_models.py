@@ -189,7 +189,7 @@ def _(v: Views):
 
 @query("full_run")
 def _(v: Views):
-    """A landed text log taken through every stage; the scores per call type."""
+    """A landed text log taken through every stage, without the slow tree models; the scores per call type."""
     from callstrata.plans import complete_run
     from callstrata.plans.fixtures import AS_OF_LONG
     from callstrata.sources import calls as src
@@ -198,6 +198,6 @@ def _(v: Views):
     log = v.calls_long.select(F.date_format("FECHA", "dd-MM-yyyy HH:mm:ss").alias("fecha_llamada"), F.col("TELEFONO").alias("numero"),
                               "SENTIDO", "ATENDIDA")
     raw = src.read_calls(v.spark, sinks.write_csv(log, shared_dir(v.spark, "log"), sep=";"))
-    out = complete_run.analyse(raw, AS_OF_LONG, {"FECHA": "fecha_llamada", "TELEFONO": "numero"}, v.hol_long)
+    out = complete_run.analyse(raw, AS_OF_LONG, {"FECHA": "fecha_llamada", "TELEFONO": "numero"}, v.hol_long, ("arima", "prophet", "ridge"))
     root = complete_run.write(out, shared_dir(v.spark, "run"))
     return v.spark.read.schema(out.performance.schema).json(f"{root}/performance")
