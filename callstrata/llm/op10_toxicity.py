@@ -33,7 +33,6 @@ from callstrata.llm.text import batches_of_bytes, byte_words, staged
 EXAMPLES = (20_000, 4_000)
 TERMS = 1024
 LIFT = 3.0
-LEAST_G2 = 20.0
 K = 25
 BLOCK = 64
 THRESHOLD = 0.7
@@ -76,7 +75,8 @@ def vocabulary(docs: DataFrame, sample: DataFrame, size: int = TERMS) -> list[by
     if not n1 or not n0:
         return []
     contexts = texts.select("y", "text").mapInArrow(_term_rows, "y int, term binary, context long").distinct()
-    terms = contexts.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    terms = staged(contexts.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")))
+    least = 2 * np.log(max(2, terms.count()))  # by chance less than one of so many terms has so large a ratio
     total = n1 + n0
     grid = [(F.col("a"), n1, 1), (F.col("b"), n0, 1), (n1 - F.col("a"), n1, 0), (n0 - F.col("b"), n0, 0)]
     seen = F.col("a") + F.col("b")
@@ -85,7 +85,7 @@ def vocabulary(docs: DataFrame, sample: DataFrame, size: int = TERMS) -> list[by
         due = (seen if present else total - seen) * F.lit(size_c / total)
         g2 = g2 + F.when(got > 0, 2 * got * F.log(got / due)).otherwise(0.0)
     lift = (F.col("a") / n1) / ((F.col("b") + 0.5) / (n0 + 0.5))
-    best = terms.withColumn("g2", g2).filter((F.col("g2") >= LEAST_G2) & (lift >= LIFT)).orderBy(F.desc("g2"), "term").limit(size)
+    best = terms.withColumn("g2", g2).filter((F.col("g2") >= float(least)) & (lift >= LIFT)).orderBy(F.desc("g2"), "term").limit(size)
     return sorted(bytes(r["term"]) for r in best.select("term").collect())
 
 

@@ -38,13 +38,12 @@ def shingle_set(text, n=5):
 def links(texts, least=0.8):
     """Indices of linked pairs of a list of texts."""
     sets = [shingle_set(t) for t in texts]
-    found = []
-    for a, b in combinations(range(len(sets)), 2):
-        if sets[a] and sets[b]:
-            both = len(sets[a] & sets[b])
-            if both >= least * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
-                found.append((a, b))
-    return found
+    holders = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            holders[x].append(k)
+    both = Counter(pair for own in holders.values() for pair in combinations(own, 2))
+    return sorted((a, b) for (a, b), n in both.items() if n >= least * (len(sets[a]) + len(sets[b]) - n) - 1e-9)
 
 
 def classes(n, pairs):

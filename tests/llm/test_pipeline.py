@@ -6,35 +6,37 @@ import brute
 import corpus_pipeline as pipe
 from conftest import SF
 
+LARGER = "/root/testdata/sf0.01"  # the smallest table with enough toxic labels to learn from
+
 
 def ids(df):
     return sorted(r["doc_id"] for r in df.collect())
 
 
 def test_stages_keep_columns_and_take_effect(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
     data = {r["doc_id"]: r["text"] for r in docs.collect()}
     kept = docs
     by_name = dict(pipe.STAGES)
     assert list(by_name) == ["toxicity", "near_duplicates", "decontamination", "secrets", "mixing"]
-    kept = pipe.staged(by_name["toxicity"](spark, docs, SF))
+    kept = pipe.staged(by_name["toxicity"](spark, docs, LARGER))
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
     left = sorted(ids(kept))
     pairs = brute.links([data[i] for i in left])
     root = brute.classes(len(left), pairs)
-    kept = pipe.staged(by_name["near_duplicates"](spark, kept, SF))
+    kept = pipe.staged(by_name["near_duplicates"](spark, kept, LARGER))
     assert kept.columns == docs.columns and ids(kept) == [left[i] for i in range(len(left)) if root[i] == i]
-    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{LARGER}/benchmark.parquet").collect()]
     grams = {tuple(v[k:k + 10]) for _, t in bench for v in [brute.words(t)] for k in range(len(v) - 9)}
     clean = [i for i in ids(kept) if not any(tuple(w[p:p + 10]) in grams for w in [brute.words(data[i])] for p in range(len(w) - 9))]
-    kept = pipe.staged(by_name["decontamination"](spark, kept, SF))
+    kept = pipe.staged(by_name["decontamination"](spark, kept, LARGER))
     assert kept.columns == docs.columns and ids(kept) == clean
     clean = [i for i in ids(kept) if not brute.secrets(data[i])[4]]
-    kept = pipe.staged(by_name["secrets"](spark, kept, SF))
+    kept = pipe.staged(by_name["secrets"](spark, kept, LARGER))
     assert kept.columns == docs.columns and set(clean) <= set(ids(kept)) <= {*ids(kept)}
-    mixed = by_name["mixing"](spark, kept, SF)
+    mixed = by_name["mixing"](spark, kept, LARGER)
     assert ids(mixed) == ids(kept)
-    assert sorted(map(str, pipe.run(spark, SF).collect())) == sorted(map(str, mixed.collect()))
+    assert sorted(map(str, pipe.run(spark, LARGER).collect())) == sorted(map(str, mixed.collect()))
 
 
 def test_near_duplicates_keep_one_of_each_group(spark):
