@@ -4,7 +4,7 @@ A bounded sample of labelled training rows gives the vocabulary (terms far more
 TF-IDF vectors lie in an inverted index cut into blocks of examples, with the largest weight of every term in every block. A
 text's nearest examples by cosine are found exactly: blocks are read by falling upper bound until none can enter the best k.
 The neighbours vote with the square of their cosine, corrected for the sampling of the classes, and a monotone fit on the
-training sample (each row without itself) turns votes into probabilities. Document frequencies are counted over all texts.
+training sample (each row without itself) turns votes into probabilities, apart for texts with a single occurrence of a term. Document frequencies are counted over all texts.
 
 A term counts once per context (its neighbour words at its first place in a text), so copies of a text and passages that
 many texts share give their terms no weight.
@@ -195,6 +195,17 @@ def monotone(x: list[float], y: list[int], weight: list[float]) -> tuple[np.ndar
     return np.array([s[0] for s in pooled]), np.array([(s[1] + 0.5) / (s[2] + 1.0) for s in pooled])
 
 
+def evidence_amount(counts) -> int:
+    """1 for a single occurrence of a single term, which may be chance; else 2."""
+    return min(2, sum(counts))
+
+
+def fitted(examples: list[tuple], raw: list[float], class_weight: tuple, amount: int) -> tuple[np.ndarray, np.ndarray]:
+    """Monotone fit over the examples with this amount of evidence, or over all if none has it."""
+    own = [i for i, r in enumerate(examples) if evidence_amount(r[3]) == amount] or range(len(examples))
+    return monotone([raw[i] for i in own], [examples[i][1] for i in own], [class_weight[examples[i][1]] for i in own])
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = EXAMPLES, n_terms: int = TERMS, k: int = K) -> DataFrame:
     """doc_id, held_out, score, predicted, nearest (ids of the three nearest examples), evidence (the text's terms), row_key."""
     sample, sizes = training_sample(labels, per_class)
@@ -217,7 +228,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int
     for no, (_, _, t, c) in enumerate(examples):
         near, cos = index.nearest(t, c, k, skip=no)
         raw.append(vote(cos, index.y[near], class_weight))
-    ends, values = monotone(raw, [r[1] for r in examples], [class_weight[r[1]] for r in examples])
+    fits = [fitted(examples, raw, class_weight, amount) for amount in (1, 2)]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[tuple, tuple] = {}
@@ -231,6 +242,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int
                     s, near = blank, np.empty(0, np.int64)
                     if t:
                         near, cos = index.nearest(t, c, k)
+                        ends, values = fits[evidence_amount(c) - 1]
                         if len(near) and len(ends):
                             at = np.searchsorted(ends, vote(cos, index.y[near], class_weight), side="right") - 1
                             s = float(values[max(at, 0)])
