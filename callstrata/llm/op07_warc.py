@@ -32,6 +32,7 @@ LEAST_BYTES = 100
 #: An archive is closed beyond so many payload bytes or records.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 64 << 20, 50_000
 LEVEL = 3
+MOST_TASKS = 20_000
 CHUNK = 1 << 18
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -186,6 +187,12 @@ def normalise(archives: DataFrame, level: int = LEVEL) -> DataFrame:
     return archives.select("archive", "again").mapInArrow(rewrite, INDEX)
 
 
+def by_archive(rows: DataFrame) -> DataFrame:
+    """Rows with those of an archive together, in about as many partitions as there are archives: the rows are few bytes, the work is in the files."""
+    n = rows.select("archive").distinct().count()
+    return rows.repartition(max(1, min(n, MOST_TASKS)), "archive")
+
+
 READ = "page string, payload_bytes long, payload_digest string, record_type string, refers string"
 
 
@@ -221,7 +228,7 @@ def read_back(index: DataFrame) -> DataFrame:
         if source is not None:
             source.close()
 
-    return index.repartition("archive").sortWithinPartitions("archive", "position").mapInArrow(read, READ)
+    return by_archive(index).sortWithinPartitions("archive", "position").mapInArrow(read, READ)
 
 
 def archive_pages(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -233,7 +240,7 @@ def archive_pages(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES)
     again = large.join(firsts, "payload_digest").filter("page <> first").groupBy("archive").agg(F.collect_list(F.struct("seq", "first")).alias("again"))
     # an archive holds at most ARCHIVE_RECORDS records, which bounds its list
     archives = staged(written.select("archive").distinct().join(again, "archive", "left"))
-    return staged(normalise(archives.repartition("archive")))
+    return staged(normalise(by_archive(archives)))
 
 
 def op7_warc_members(spark, sf_dir: str) -> DataFrame:
