@@ -167,7 +167,7 @@ def graphs(nodes: DataFrame, n_shards: int, dim: int, longest: float) -> DataFra
             "near": pa.array([[g.reshape(-1) for _, g in levels]], pa.list_(pa.list_(pa.int32())))})
 
     sharded = nodes.select(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(n_shards)).alias("shard"), "node", "vec")
-    return sharded.groupBy("shard").applyInArrow(make, GRAPH)
+    return sharded.repartition(n_shards, "shard").groupBy("shard").applyInArrow(make, GRAPH)  # a partition per shard, however few bytes it has
 
 
 def searched(index: DataFrame, queries: DataFrame, n_shards: int, n_queries: int, dim: int, longest: float, k: int, beam: int) -> DataFrame:
@@ -215,7 +215,7 @@ def searched(index: DataFrame, queries: DataFrame, n_shards: int, n_queries: int
     right = queries.select(
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard"),
         F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("part"), F.col("vec_id").alias("query_id"), "vec", *empty)
-    both = left.union(right).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("node").isNull(), "query_id")
+    both = left.union(right).repartition(n_shards * groups, "shard", "part").sortWithinPartitions("shard", "part", F.col("node").isNull(), "query_id")
     return both.drop("part").mapInArrow(run, "query_id long, node long, score double")
 
 
