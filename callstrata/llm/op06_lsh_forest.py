@@ -276,13 +276,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id among all that links connect), copy_of (smallest id with the same
-    shingles), n_links (other documents of a similarity at or above the threshold), n_copies (of them with the same shingles), row_key (hash of id and text), class_key (hash of
-    the class; null for a text without words)."""
+    shingles), n_links (other documents of a similarity at or above the threshold), n_copies (of them with the same shingles), row_key (hash of id and text), keep_key (row key of
+    the row that stands for the class, the one of the smallest id; null for a text without words)."""
     least = shallowest(trees, depth, threshold, recall)
     sigs = staged(signed(docs, trees, depth, least))
     prefixes = [f"p{k}" for k in range(depth, least - 1, -1)]
     nodes = staged(sigs.filter("node IS NOT NULL").groupBy("node").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "row_key")).alias("row"), *[F.any_value(p).alias(p) for p in prefixes]))
+        F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("row"), *[F.any_value(p).alias(p) for p in prefixes]))
     rounds, seen = [], None
     for k in range(depth, least - 1, -1):
         kept = staged(buckets(nodes, f"p{k}"))
@@ -302,17 +302,17 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
             break
     links = told.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(told)
-    named = nodes.select("node", "copies", "first_id").join(links, "node", "left").join(roots, "node", "left")
-    named = staged(named.select("node", "copies", "first_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")))
-    names = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    facts = named.join(names, "root").select(F.col("node").alias("at"), "copies", "first_id", "links", "class_id", "root")
+    named = nodes.select("node", "copies", "first_id", "row").join(links, "node", "left").join(roots, "node", "left")
+    named = staged(named.select("node", "copies", "first_id", "row", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")))
+    names = named.groupBy("root").agg(F.min("first_id").alias("class_id"), F.min("row")["row_key"].alias("keep_key"))
+    facts = named.join(names, "root").select(F.col("node").alias("at"), "copies", "first_id", "links", "class_id", "keep_key")
     out = sigs.select("doc_id", "row_key", "node").join(facts, F.col("node") == F.col("at"), "left")
     own = F.col("node").isNull()
     return out.select(
         "doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("doc_id")).otherwise(F.col("first_id")).alias("copy_of"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("copies") - 1, F.lit(0)).cast("long").alias("n_copies"),
-        "row_key", F.col("root").alias("class_key"))
+        "row_key", "keep_key")
 
 
 def op6_lsh_forest(spark, sf_dir: str) -> DataFrame:
-    return similarity_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key", "class_key")
+    return similarity_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key", "keep_key")

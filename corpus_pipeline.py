@@ -35,9 +35,8 @@ def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row of the smallest id of each class of near duplicates."""
-    found = staged(similarity_join(docs).select("doc_id", "row_key", "class_key").filter("class_key IS NOT NULL"))
-    first = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))["row_key"].alias("keep"))
-    kept = matched(docs, found.join(first, "class_key").filter("row_key <> keep").select("row_key"), "left_anti")
+    found = staged(similarity_join(docs).select("row_key", "keep_key").filter("keep_key IS NOT NULL"))
+    kept = matched(docs, found.filter("row_key <> keep_key").select("row_key"), "left_anti")
     repeated = staged(found.groupBy("row_key").count().filter("count > 1").select("row_key"))
     if repeated.isEmpty():
         return kept
