@@ -85,6 +85,19 @@ def test_toxicity_finds_planted_terms(spark):
     assert {r["predicted"] for r in got if r["doc_id"] in (5000, 5001)} == {0}
 
 
+def test_toxicity_knows_copies_of_labelled_texts_without_marks(spark):
+    docs, labels = planted()
+    train = [i for i in range(6000, 6200) if zlib.crc32(str(i).encode()) % 3 != 1][:6]
+    held = [i for i in range(7000, 7200) if zlib.crc32(str(i).encode()) % 3 == 1][:6]
+    for k, (a, b) in enumerate(zip(train, held)):
+        text = f"only{k} this{k} slur{k // 2} " + " ".join(f"w{j}" for j in range(k // 2, 30))
+        docs += [(a, text, "s"), (b, text.upper(), "s")]
+        labels.append((a, 0, int(k < 4)))
+    got = {r["doc_id"]: r for r in score_toxicity(brute.documents(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    for k, (a, b) in enumerate(zip(train, held)):
+        assert got[b]["nearest"].split(",")[0] == str(a) and got[b]["evidence"] == "" and got[b]["predicted"] == int(k < 4)
+
+
 def test_toxicity_learns_only_from_training_rows(spark):
     docs, labels = planted()
     flip = [(i, q, 1 - t if t in (0, 1) and i is not None and zlib.crc32(str(i).encode()) % 3 == 1 else t) for i, q, t in labels]
