@@ -3,8 +3,8 @@
 Every page becomes tokens: its element paths and its blocks of text under their paths. Over the pages of a host each token has an
 occurrence vector, kept as a fingerprint that is combined page by page. Tokens with equal vectors are a class; classes that are
 large and frequent enough are valid and nest by their paths into the host's template. Text inside the template is furniture of the site. What
-remains are slots; the slot region that holds the article is the template's article or main element, or else the deepest
-element with most of the varying text outside of links. Each page gives the blocks of that region.
+remains are slots. The region that holds a page's article is the lowest element around all its article and main elements, or
+without them around all its text outside of links. Each page gives the blocks of that region.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and comments are left out by element, role and the words of their class
 or id, in any host. A host with few pages has no template; there the page's own elements decide.
@@ -30,8 +30,8 @@ from callstrata.llm.text import staged
 
 #: A host's template needs so many different pages; a valid class occurs in so large a share of them and has so many tokens.
 LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 4, 0.8, 2
-#: Share of a host's text that the region of a host without article or main element must hold.
-REGION_SHARE = 0.7
+#: Elements that are blocks of a text and no region.
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote".split())
 SMALL = 200_000
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
@@ -169,10 +169,10 @@ def hashed(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def held(page: Page) -> dict[str, list[int]]:
+def held(blocks: list[Block]) -> dict[str, list[int]]:
     """Per path the characters of text that count as article text below it, and all characters."""
     out: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for b in page.blocks:
+    for b in blocks:
         steps = b.path.split("/")
         plain = 0 if b.out else max(0, len(b.text) - 2 * b.links)
         for k in range(1, len(steps) + 1):
@@ -188,16 +188,21 @@ def is_main(path: str) -> bool:
 
 
 def region(chars: dict[str, int]) -> str | None:
-    """The path that holds the article, given the article characters below every path."""
+    """The path that holds the article ("" for all blocks), given the article characters below every path: the lowest common
+    ancestor of the article and main elements, or else of all blocks; never a block itself."""
     chars = {p: n for p, n in chars.items() if n > 0}
-    if not chars:
+    own = dict(chars)
+    for p, n in chars.items():
+        if "/" in p and (above := p.rpartition("/")[0]) in own:
+            own[above] -= n
+    paths = [p.split("/") for p in chars if is_main(p)] or [p.split("/") for p, n in own.items() if n > 0]
+    if not paths:
         return None
-    marked = {p: n for p, n in chars.items() if is_main(p)}
-    if marked:
-        top = max(marked.values())
-        return max((p for p, n in marked.items() if n * 2 >= top), key=lambda p: (p.count("/"), marked[p], p))
-    whole = max(chars.values())
-    return max((p for p, n in chars.items() if n >= REGION_SHARE * whole), key=lambda p: (p.count("/"), chars[p], p))
+    low, high = min(paths), max(paths)
+    steps = low[:next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))]
+    while steps and re.split(r"[.\[]", steps[-1], maxsplit=1)[0] in BLOCKS:
+        steps.pop()
+    return "/".join(steps)
 
 
 def deduce(tokens: list[dict], n_pages: int) -> dict:
@@ -229,7 +234,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             page, key = parse(html), hashed(html)
-            chars = held(page)
+            chars = held(page.blocks)
             rows.append((host, hashed(PAGE), key, 1, PAGE, 0))
             rows += [(host, hashed(p), key, n, p, chars[p][0] if p in chars else 0) for p, n in page.paths.items()]
             texts = Counter(hashed(b.path, b.text) for b in page.blocks)
@@ -271,11 +276,11 @@ def templates(hosted: DataFrame) -> DataFrame:
 
 
 def main_text(html: str, template: str | None, furniture: frozenset) -> str:
-    """Blocks of the article joined by line breaks. A page without blocks in the template's region is read by its own elements."""
+    """Blocks of the article joined by line breaks: those of the page's own region, or without any those of the template's."""
     page = parse(html)
     kept = [b for b in page.blocks if not b.out and hashed(b.path, b.text) not in furniture] if furniture else [b for b in page.blocks if not b.out]
-    for root in (template, region({p: c[0] for p, c in held(page).items()})):
-        if root is not None and (own := [b.text for b in kept if b.path == root or b.path.startswith(root + "/")]):
+    for root in (region({p: c[0] for p, c in held(kept).items()}), template):
+        if root is not None and (own := [b.text for b in kept if not root or b.path == root or b.path.startswith(root + "/")]):
             return "\n".join(own)
     return ""
 

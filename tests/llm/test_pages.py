@@ -53,6 +53,18 @@ def test_template_text_goes_where_no_element_marks_the_article(spark):
         assert r["text"] == f"Real words of page {k} that only this page has, at some length indeed {k}.\nAnother line {k} goes on here."
 
 
+def test_no_block_is_lost_without_markers_or_around_them(spark):
+    long = " ".join(f"word{j}" for j in range(60))
+    blocks = ["Head", "Lead before", long, "Part two", "one", "two", "code", "cell", "Second section at some length"]
+    body = f"<h1>Head</h1><p>Lead before<p>{long}</p><h2>Part two</h2><ul><li>one<li>two</ul><pre>code</pre><table><tr><td>cell</table><section><p>{blocks[-1]}</p></section>"
+    inner = f"<main><p>Lead</p><article><p>{long}</p><article><p>Nested {long}</p></article><p>After</p></article><p>Tail</p></main>"
+    shapes = {1: f"<html><body>{body}</body></html>", 2: f"<html><body><div>{body}</div></body></html>", 3: body, 4: f"<html><body><p>Aside text</p>{inner}</body></html>"}
+    rows = [(k, f"http://host{k}.example/", h) for k, h in shapes.items()] + [(10 + k, f"http://many.example/{k}", shapes[4].replace("word0", f"w{k}")) for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in extract(pages(spark, rows)).collect()}
+    assert all(got[k].split("\n") == blocks for k in (1, 2, 3))
+    assert got[4].split("\n") == ["Lead", long, "Nested " + long, "After", "Tail"]
+
+
 def test_copies_and_shared_paragraphs_are_no_template(spark):
     shared = "<article><h1>News {k}</h1><p>The same long agency paragraph.</p><p>Own {k}</p></article>"
     rows = [site(k, shared.replace("{k}", str(k)) if k % 2 else ARTICLE.replace("{k}", str(k)), "c.example") for k in range(12)]
