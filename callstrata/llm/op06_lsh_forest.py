@@ -2,9 +2,8 @@
 
 Every text becomes the set of its five-word shingles; equal sets are one node, so exact copies never meet as pairs. A forest of
 prefix tries holds the signatures: in each tree a node's label is a sequence of min-hashes, and nodes that share a prefix of it
-lie in one bucket. The join starts at the full depth and shortens the prefix until the target recall is reached: either the
-recall estimated from the verified links (each weighed by the odds of finding a pair that similar) or, at the latest, the recall
-that the depth assures for a pair at the threshold. A bucket with the same members as another is looked at once; a large one is cut into
+lie in one bucket. The join starts at the full depth and shortens the prefix until the depth itself assures the target recall
+for a pair at the threshold, whatever else the table holds. A bucket with the same members as another is looked at once; a large one is cut into
 blocks that are compared block by block. A pair is counted in the first tree and at the first depth where it meets, on the exact
 shingle sets. Out of a block come counts and a spanning forest, never its pairs.
 
@@ -180,10 +179,10 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return out
 
 
-def compare(rows: list[tuple], tree: int, lo: int, hi: int, threshold: float, trees: int, depth: int) -> list[tuple]:
+def compare(rows: list[tuple], tree: int, lo: int, hi: int, threshold: float) -> list[tuple]:
     """rows: (node, own block, copies, set, labels at the depth, labels one deeper or None).
 
-    Per node with a link: (node, smallest node that it hangs together with here, copies of its partners, partners, sum of 1 / odds).
+    Per node with a link: (node, smallest node that it hangs together with here, copies of its partners).
     """
     own = np.array([r[1] for r in rows])
     left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
@@ -205,16 +204,13 @@ def compare(rows: list[tuple], tree: int, lo: int, hi: int, threshold: float, tr
     if rows[0][5] is not None:
         deep = np.stack([r[5] for r in rows])
         new &= ~(deep[a] == deep[b]).any(axis=1)
-    a, b, i, j = a[new], b[new], i[new], j[new]
+    a, b = a[new], b[new]
     if not len(a):
         return []
-    weight = 1.0 / found_odds(both[i, j] / union[i, j], trees, depth)
     copies = np.array([r[2] for r in rows], dtype=np.int64)
-    links, partners, odds = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.zeros(len(rows))
+    links = np.zeros(len(rows), np.int64)
     for x, y in ((a, b), (b, a)):
         np.add.at(links, x, copies[y])
-        np.add.at(partners, x, 1)
-        np.add.at(odds, x, weight)
     ids = np.array([r[0] for r in rows], dtype=np.int64)
     low = ids.copy()
     while True:
@@ -224,24 +220,23 @@ def compare(rows: list[tuple], tree: int, lo: int, hi: int, threshold: float, tr
         if (new_low == low).all():
             break
         low = new_low
-    return [(int(ids[k]), int(low[k]), int(links[k]), int(partners[k]), float(odds[k])) for k in np.flatnonzero(partners)]
+    return [(int(ids[k]), int(low[k]), int(links[k])) for k in np.flatnonzero(links)]
 
 
-LINKS = "node long, low long, links long, partners long, odds double"
+LINKS = "node long, low long, links long"
 
 
-def verified(placed: DataFrame, threshold: float, trees: int, depth: int) -> DataFrame:
+def verified(placed: DataFrame, threshold: float) -> DataFrame:
     """Compares the blocks. The rows of a pair of blocks lie next to each other in a partition and are read as a stream."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
 
         def done():
-            return compare(rows, key[0], key[2], key[3], threshold, trees, depth) if len(rows) > 1 else []
+            return compare(rows, key[0], key[2], key[3], threshold) if len(rows) > 1 else []
 
         def told(found):
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[c] for r in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
-                ["node", "low", "links", "partners", "odds"])
+                [pa.array([r[c] for r in found], pa.int64()) for c in range(3)], ["node", "low", "links"])
 
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("tree", "label", "lo", "hi", "node", "own", "copies", "shingles", "labs", "deep")]
@@ -293,13 +288,10 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
         sets = with_sets(docs, staged(wanted))
         deep = F.col(f"p{k + 1}") if k < depth else F.lit(None).cast("array<long>")
         content = sets.join(nodes.select("node", "copies", F.col(f"p{k}").alias("labs"), deep.alias("deep")), "node")
-        rounds.append(staged(verified(placed.join(content, "node"), threshold, trees, k)))
-        told = rounds[0]
-        for r in rounds[1:]:
-            told = told.union(r)
-        got = rounds[-1].agg(F.sum("partners"), F.sum("odds")).first() if k == depth else None
-        if got and got[0] and got[0] / got[1] >= recall:
-            break
+        rounds.append(staged(verified(placed.join(content, "node"), threshold)))
+    told = rounds[0]
+    for r in rounds[1:]:
+        told = told.union(r)
     links = told.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(told)
     named = nodes.select("node", "copies", "first_id", "row").join(links, "node", "left").join(roots, "node", "left")

@@ -53,6 +53,18 @@ def test_similarity_join_shortens_the_prefix():
     assert lsh.found_odds(0.8, 20, 4) > 0.9999 > lsh.found_odds(0.8, 20, 5)
 
 
+def test_a_large_group_does_not_shorten_the_search_of_others(spark):
+    rng = random.Random(6)
+    hub = text_of(rng, 400, 10**6)
+    data = [(k, near(rng, hub, 1), "a") for k in range(120)]
+    for k in range(60):
+        w = text_of(rng, 104, 10**6).split()
+        v = w[:94] + text_of(rng, 10, 10**6).split()  # 90 of 110 shingles are shared
+        data += [(1000 + 2 * k, " ".join(w), "b"), (1001 + 2 * k, " ".join(v), "b")]
+    got = similarity_join(brute.documents(spark, data), trees=4, recall=0.9).filter("doc_id >= 1000 AND n_links = 1").count() / 120
+    assert lsh.found_odds(90 / 110, 4, 5) < 0.84 and got >= 0.9
+
+
 def test_similarity_join_on_the_table_and_on_nothing(spark):
     data = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
     pairs = brute.links([t for _, t in data])
