@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Every text is scanned for base patterns and for further credential shapes. The value of each candidate is hashed, and the
-hashes are counted over the whole corpus by distinct repositories and owners. A value that several owners share is a copied
-example (documentation, tutorials, fixtures); a value that one owner holds and that looks random is reported as live.
+hashes are counted over the whole corpus by distinct repositories and owners. A value that several owners share, or that many
+repositories hold, of however few owners, is a copied example (documentation, tutorials, fixtures); any other value that looks
+random is reported as live.
 
 Defined results: a null or empty text has no spans; repeated rows give repeated result rows; a null owner or repository counts
 as one owner or repository of its own; rows with a null id are scanned like any other.
@@ -40,6 +41,8 @@ FURTHER = {
 NEEDS = {"bearer": "bearer", "github": "gh", "google": "AIza", "jwt": "eyJ", "pem": "PRIVATE KEY", "slack": "xox", "stripe": "k_live_", "url": "://"}
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, *FURTHER)
+#: A value held by more owners, or in more repositories, is a copied example.
+MAX_OWNERS, MAX_REPOS = 2, 20
 EXAMPLE = re.compile(r"example|sample|dummy|changeme|placeholder|your|xxxx|1234567|abcdef|test", re.I | re.A)
 
 
@@ -112,27 +115,27 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.sum("n").alias("n_seen"), F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def find_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", max_owners: int = 2) -> DataFrame:
-    """One row per document; a value held by more than ``max_owners`` owners is a copied example.
+def find_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """One row per document; a value held by more than ``max_owners`` owners or in more than ``max_repos`` repositories is a copied example.
 
     Columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans (base spans, and further spans whose value is live),
-    n_live, n_copied (spans by the corpus-wide verdict), max_owners (most owners of one of its values), row_key (hash of id and text).
+    n_live, n_copied (spans by the corpus-wide verdict), max_owners and max_repos (most owners and repositories of one of its values), row_key (hash of id and text).
     """
     scanned = staged(scan(docs, repo, owner))
     verdict = ownership(scanned)
     hits = scanned.filter(F.size("cands") > 0).select("doc_id", "row_key", F.explode("cands").alias("c")).select("doc_id", "row_key", "c.*").distinct()
     names = F.array(*map(F.lit, KINDS))
-    judged = hits.join(verdict, "value_hash").withColumn("copied", F.col("n_owners") > max_owners).withColumn("sure", F.col("live") & ~F.col("copied"))
+    judged = hits.join(verdict, "value_hash").withColumn("copied", (F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos)).withColumn("sure", F.col("live") & ~F.col("copied"))
     per_doc = judged.groupBy("doc_id", "row_key").agg(
         F.sort_array(F.collect_list(F.when(F.col("base") | F.col("sure"), F.struct("start", "kind", "end")))).alias("all"),
-        F.count_if("sure").alias("n_live"), F.count_if("copied").alias("n_copied"), F.max("n_owners").alias("max_owners"))
+        F.count_if("sure").alias("n_live"), F.count_if("copied").alias("n_copied"), F.max("n_owners").alias("max_owners"), F.max("n_repos").alias("max_repos"))
     text = F.array_join(F.transform("all", lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    right = per_doc.select(F.col("doc_id").alias("r_id"), F.col("row_key").alias("r_key"), text.alias("spans"), "n_live", "n_copied", "max_owners")
+    right = per_doc.select(F.col("doc_id").alias("r_id"), F.col("row_key").alias("r_key"), text.alias("spans"), "n_live", "n_copied", "max_owners", "max_repos")
     joined = scanned.drop("cands").join(right, scanned.doc_id.eqNullSafe(F.col("r_id")) & (scanned.row_key == F.col("r_key")), "left")
     return joined.select(
         scanned.doc_id, "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
-        F.coalesce("max_owners", F.lit(0)).cast("long").alias("max_owners"), "row_key")
+        F.coalesce("max_owners", F.lit(0)).cast("long").alias("max_owners"), F.coalesce("max_repos", F.lit(0)).cast("long").alias("max_repos"), "row_key")
 
 
 def op3_secret_ownership(spark, sf_dir: str) -> DataFrame:

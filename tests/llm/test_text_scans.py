@@ -70,6 +70,13 @@ def test_secrets_match_plain_patterns(spark):
     assert "bearer:" in by_id[10]["spans"] and "github:" in by_id[11]["spans"]
 
 
+def test_a_secret_in_many_documents_of_one_source_is_copied(spark):
+    rows = [(k, f"number {k} bearer Q7x" + "kL9p2Vw8Zr4Tn6Yb" * 3, "one") for k in range(60)] + [(100, f"token={LIVE}", "one"), (101, f"token={LIVE}", "one")]
+    got = {r["doc_id"]: r for r in find_secrets(brute.documents(spark, rows)).collect()}
+    assert all(got[k]["n_copied"] == 1 and got[k]["n_live"] == 0 and got[k]["spans"] == "" and (got[k]["max_owners"], got[k]["max_repos"]) == (1, 60) for k in range(60))
+    assert all(got[k]["n_live"] == 2 and got[k]["n_copied"] == 0 and got[k]["max_repos"] == 2 for k in (100, 101))
+
+
 def test_secrets_on_the_table_and_on_nothing(spark):
     rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in op3_secret_ownership(spark, SF).collect():
