@@ -1,47 +1,53 @@
 """Toxicity by the nearest labelled examples.
 
-A bounded sample of labelled training rows gives the examples, and all their words are the vocabulary. Terms far more frequent in
-toxic texts are marks: they hold the share ``MARKED`` of the squared length of a TF-IDF vector that has any, all other terms hold the rest.
-The vectors lie in an inverted index, and a text's nearest examples by cosine are found exactly, from the postings of all its terms.
-The neighbours vote with the square of their cosine, corrected for the sampling of the classes, and a monotone fit on the
-training sample (each row without itself) turns votes into probabilities, apart for texts with no mark, with a single occurrence of one, and
-with the word counts of an example, which such examples alone judge. Document frequencies are counted over all texts.
+A bounded sample of labelled training texts gives the examples; the vector space is made of all their terms, weighed by TF-IDF with
+document frequencies counted over all texts. A text's nearest examples by cosine are found exactly in a block-max inverted index: the postings
+of its rarer terms are added up, the frequent ones only bound what each block of examples can still reach, and blocks whose bound
+stays below the k-th best are skipped. The neighbours vote with the square of their cosine, corrected for the sampling of the classes.
 
-A term counts once per context (its neighbour words at its first place in a text), so copies of a text and passages that
-many texts share do not make their terms marks.
+Terms far more frequent in toxic examples than in clean ones are marks. Their log odds are a second feature beside the vote: a monotone fit
+turns the sum of both into a probability, apart for texts without a mark, with a single occurrence of one, with more, and for
+texts with the very vector of an example, which such examples alone judge. A term counts once per context (its neighbour words at its first
+place in a text), so copies of a text and passages that many texts share do not make their terms marks.
 
-Parameters that bound the fit: ``EXAMPLES`` labelled rows of class 0 and 1, ``TERMS`` marks. Both are small enough to travel with the job.
+No label decides its own row. Training texts fall into ``FOLDS`` folds by the hash of the text; a text that is not held out is judged by
+a model (examples, class sizes, marks, fits) without its own fold, so neither its label nor a label of an equal text is an
+input; held-out texts are judged by the model of all folds. Apart from that a score depends on the text alone: equal vectors of a fold have equal scores.
 
-Defined results: a null or empty text, or one without any word of an example, gets the toxic share of such training rows;
+Parameters that bound the fit: at most ``EXAMPLES`` different labelled texts of class 0 and 1, with at most ``POSTINGS`` terms together, ``MARKS`` marks;
+the index that is broadcast is bounded by them, whatever the length of the texts.
+
+Defined results: a null or empty text, or one without any word of an example, gets the toxic share of such training texts;
 without labels of both classes every score is the share of toxic labels, or 0.5 without labels; of several labels of an id the
-largest counts, of several texts one; labels that are null or neither 0 nor 1 are ignored; ties of cosine go to the smaller id; repeated rows give
-repeated result rows.
+largest counts; labels that are null or neither 0 nor 1 are ignored; texts of any length are read whole; ties of cosine go to the smaller text
+hash; repeated rows give repeated result rows; an empty table gives no rows; extra columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callstrata.llm.text import batches_of_bytes, byte_words, staged
+from callstrata.llm.text import batches_of_bytes, byte_words, read, staged
 
-EXAMPLES = (20_000, 4_000)
-TERMS = 1024
+EXAMPLES = (6_000, 2_000)
+POSTINGS = 4_000_000
+MARKS = 1024
 LIFT = 3.0
 K = 25
-#: Share of the squared length of a vector that its marks hold.
-MARKED = 0.9
+FOLDS = 4
 THRESHOLD = 0.7
+#: Examples of a block of the index; terms whose postings are bounded by blocks, and the share of the examples that makes a term frequent.
+BLOCK, FREQUENT, SHARE = 32, 512, 1 / 32
+#: Rows below which an amount of evidence has no fit of its own.
+LEAST_ROWS = 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,150 +55,255 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def training_sample(labels: DataFrame, per_class: tuple[int, int] = EXAMPLES) -> tuple[DataFrame, dict[int, int]]:
-    """(id, y) of at most ``per_class`` training rows of class 0 and 1, by the order of a hash; and all training rows per class."""
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+class TermHash(dict):
+    """64-bit hashes of words, kept while they are few."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+        return h
+
+
+# --- examples ----------------------------------------------------------------------------------
+
+
+def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, fold, y, n, doc_id): the different labelled training texts, how many rows carry each with that label, and the smallest of their ids."""
     rows = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    one, zero = (rows.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class[y]) for y in (1, 0))
-    return staged(one.union(zero)), sizes
+    keys = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", text_key(F.col("text")).alias("key"))
+    return keys.join(rows, "doc_id").groupBy("key", "y").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).withColumn(
+        "fold", F.pmod("key", F.lit(FOLDS)).cast("int"))
+
 
+def sampled(texts: DataFrame, per_class: tuple[int, int]) -> tuple[DataFrame, np.ndarray]:
+    """At most ``per_class`` training texts, evenly from the folds and in the order of their hashes; and the number of all by fold and class."""
+    sizes = np.zeros((FOLDS, 2))
+    for r in texts.groupBy("fold", "y").agg(F.count("*").alias("n")).collect():
+        sizes[r["fold"], r["y"]] = r["n"]
+    parts = [texts.filter((F.col("fold") == f) & (F.col("y") == y)).orderBy(F.xxhash64("key"), "key").limit(-(-per_class[y] // FOLDS)) for f in range(FOLDS) for y in (0, 1)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return staged(out), sizes
 
-def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = TermHash()
     for batch in batches:
-        ys, out_y, out_t, out_c = batch.column("y").to_pylist(), [], [], []
-        for y, text in zip(ys, batches_of_bytes(batch.column("text")), strict=True):
+        lists: list[list] = [[], [], []]
+        for text in batches_of_bytes(batch.column("text")):
             words = byte_words(text)
             first = {w: i for i, w in zip(range(len(words) - 1, -1, -1), reversed(words))}
+            counts = Counter(words)
             words.append(b"")
-            out_y += [y] * len(first)
-            out_t += first
-            out_c += [zlib.crc32(words[i - 1] + b" " + words[i + 1]) for i in first.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(out_y, pa.int32()), pa.array(out_t, pa.binary()), pa.array(out_c, pa.int64())], ["y", "term", "context"])
-
-
-def vocabulary(docs: DataFrame, sample: DataFrame, size: int = TERMS) -> tuple[list[bytes], np.ndarray]:
-    """All terms of the sample's texts, and whether each marks toxic ones (the first ``size`` by falling log-likelihood ratio).
-    Equal texts count once, and equal contexts of a term. No terms without texts of both classes."""
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("y", F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"))
-    texts = staged(texts)
-    n = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    if not n1 or not n0:
-        return [], np.zeros(0, bool)
-    contexts = texts.select("y", "text").mapInArrow(_term_rows, "y int, term binary, context long").distinct()
-    terms = staged(contexts.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")))
-    least = 2 * np.log(max(2, terms.count()))  # by chance less than one of so many terms has so large a ratio
-    total = n1 + n0
-    grid = [(F.col("a"), n1, 1), (F.col("b"), n0, 1), (n1 - F.col("a"), n1, 0), (n0 - F.col("b"), n0, 0)]
-    seen = F.col("a") + F.col("b")
-    g2 = F.lit(0.0)
-    for got, size_c, present in grid:
-        due = (seen if present else total - seen) * F.lit(size_c / total)
-        g2 = g2 + F.when(got > 0, 2 * got * F.log(got / due)).otherwise(0.0)
-    lift = (F.col("a") / n1) / ((F.col("b") + 0.5) / (n0 + 0.5))
-    best = terms.withColumn("g2", g2).filter((F.col("g2") >= float(least)) & (lift >= LIFT)).orderBy(F.desc("g2"), "term").limit(size)
-    marks = {bytes(r["term"]) for r in best.select("term").collect()}
-    every = sorted(terms.select("term").toArrow().column("term").to_pylist())
-    return every, np.array([t in marks for t in every], dtype=bool)
-
-
-def vectors(docs: DataFrame, terms: list[bytes]) -> DataFrame:
-    """doc_id, held_out, row_key, and the vocabulary's terms of the whole text with their counts."""
+            lists[0].append([known[w] for w in first])
+            lists[1].append([counts[w] for w in first])
+            lists[2].append([zlib.crc32(words[i - 1] + b" " + words[i + 1]) for i in first.values()])
+        arrays = [batch.column(c) for c in ("key", "fold", "y", "n", "doc_id", "text")]
+        yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["key", "fold", "y", "n", "doc_id", "text", "terms", "counts", "contexts"])
+
+
+def spelled(docs: DataFrame, sample: DataFrame, postings: int = POSTINGS) -> DataFrame:
+    """The sample with each text, its different terms (hashes) and their counts and contexts. The last texts of a fold and class are
+    left out where the terms before them use up its part of ``postings``."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    few = F.broadcast(sample.withColumnRenamed("doc_id", "id2"))
+    texts = docs.select(F.col("doc_id").alias("own"), text_key(F.col("text")).alias("own_key"), "text")
+    found = texts.join(few, (F.col("own") == F.col("id2")) & (F.col("own_key") == F.col("key"))).groupBy("key", "fold", "y", "n", F.col("id2").alias("doc_id")).agg(F.first("text").alias("text"))
+    rows = staged(found.mapInArrow(_spelled, f"key long, fold int, y int, n long, doc_id {kind}, text string, terms array<long>, counts array<long>, contexts array<long>"))
+    room = postings // (2 * FOLDS)
+    used = "sum(size(terms)) OVER (PARTITION BY fold, y ORDER BY xxhash64(key), key ROWS UNBOUNDED PRECEDING)"
+    place = "row_number() OVER (PARTITION BY fold, y ORDER BY xxhash64(key), key)"
+    kept = rows.select("key", "y", "fold", F.size("terms").alias("s"), "terms").selectExpr("key AS k2", "y AS y2", f"{used} AS used", f"{place} AS place").filter(f"used <= {room} OR place = 1")
+    return rows.join(F.broadcast(kept.select("k2", "y2")), (F.col("key") == F.col("k2")) & (F.col("y") == F.col("y2"))).drop("k2", "y2")
+
+
+def models_of() -> list[int]:
+    """Numbers of the models: one without each fold, and ``FOLDS``, the one of all folds."""
+    return list(range(FOLDS + 1))
+
+
+def inside(model: int, folds) -> np.ndarray:
+    """Whether a model learns from these folds."""
+    return np.asarray(folds) != model
+
+
+def marked_terms(examples: DataFrame, texts: np.ndarray, size: int = MARKS) -> dict[int, dict[int, float]]:
+    """Per model the marks (term hash: log odds), the first ``size`` by falling log-likelihood ratio. ``texts``: number of example texts by fold and class."""
+    flat = examples.select("y", "fold", F.explode(F.arrays_zip("terms", "contexts")).alias("t"))
+    seen = flat.groupBy("y", F.col("t.terms").alias("term"), F.col("t.contexts").alias("context")).agg(F.bit_or(F.expr("shiftleft(1, fold)")).alias("folds"))
+    counts, picks = [], {}
+    for m in models_of():
+        own = sum(1 << f for f in range(FOLDS) if f != m)
+        for y in (0, 1):
+            counts.append(F.count_if((F.col("y") == y) & (F.col("folds").bitwiseAND(own) != 0)).alias(f"n{y}_{m}"))
+    table = seen.groupBy("term").agg(*counts)
+    table = staged(table)
+    least = 2 * np.log(max(2, table.count()))  # by chance less than one of so many terms has so large a ratio
+    for m in models_of():
+        n0, n1 = texts[inside(m, range(FOLDS))].sum(axis=0)
+        if not n0 or not n1:
+            picks[m] = {}
+            continue
+        # no term that is more frequent in clean texts, or in one toxic text only
+        some = table.select("term", F.col(f"n0_{m}").alias("b"), F.col(f"n1_{m}").alias("a")).filter((F.col("a") > 1) & (F.col("a") / float(n1) >= LIFT * (F.col("b") + 0.5) / (float(n0) + 0.5))).toArrow()
+        term, a, b = (some.column(c).to_numpy().astype(t) for c, t in (("term", np.int64), ("a", float), ("b", float)))
+        total, g2 = n0 + n1, np.zeros(len(term))
+        for got, rows, both in ((a, n1, a + b), (b, n0, a + b), (n1 - a, n1, total - a - b), (n0 - b, n0, total - a - b)):
+            due = both * rows / total
+            with np.errstate(divide="ignore", invalid="ignore"):
+                g2 += np.where(got > 0, 2 * got * np.log(got / due), 0.0)
+        odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
+        best = np.lexsort((term, -g2))
+        best = best[g2[best] >= least][:size]
+        picks[m] = dict(zip(term[best].tolist(), odds[best].tolist(), strict=True))
+    return picks
+
+
+def names_of(examples: DataFrame, wanted: set[int]) -> dict[int, str]:
+    """Words of the wanted term hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, out = TermHash(), {}
+        for batch in batches:
+            for text in batches_of_bytes(batch.column("text")):
+                out |= {known[w]: w for w in set(byte_words(text)) if known[w] in wanted}
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array([w.decode("utf-8", "replace") for w in out.values()], pa.string())], ["term", "word"])
+
+    if not wanted:
+        return {}
+    return {r["term"]: r["word"] for r in examples.filter("y = 1").select("text").mapInArrow(run, "term long, word string").groupBy("term").agg(F.min("word").alias("word")).collect()}
+
+
+# --- vectors of all texts ----------------------------------------------------------------------
+
+
+def vectors(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
+    """doc_id, held_out, row_key, fold, terms (numbers in the vocabulary, rising), counts, other (words outside of it) of every whole text."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {t: i for i, t in enumerate(terms)}
+        vocab, known = sent.value, TermHash()
         for batch in batches:
-            at, n = [], []
+            at, n, other = [], [], []
             for text in batches_of_bytes(batch.column("text")):
-                found = sorted((number[t], c) for t, c in Counter(byte_words(text)).items() if t in number)
-                at.append([t for t, _ in found])
-                n.append([c for _, c in found])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), batch.column("row_key"), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))],
-                ["doc_id", "held_out", "row_key", "terms", "counts"])
+                found = Counter(byte_words(text))
+                terms = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+                counts = np.fromiter(found.values(), np.int32, len(found))
+                no = np.minimum(np.searchsorted(vocab, terms), max(0, len(vocab) - 1))
+                ours = vocab[no] == terms if len(vocab) else np.zeros(len(terms), bool)
+                order = np.argsort(no[ours], kind="stable")
+                at.append(no[ours][order].astype(np.int32))
+                n.append(counts[ours][order])
+                other.append(int(counts[~ours].sum()))
+            keep = ["doc_id", "held_out", "row_key", "fold"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32())), pa.array(other, pa.int64())], [*keep, "terms", "counts", "other"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(
-        count, f"doc_id {kind}, held_out boolean, row_key long, terms array<int>, counts array<int>")
+    key = text_key(F.col("text"))
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.xxhash64("doc_id", "text").alias("row_key"), F.pmod(key, F.lit(FOLDS)).cast("int").alias("fold"), "text")
+    return rows.mapInArrow(count, f"doc_id {kind}, held_out boolean, row_key long, fold int, terms array<int>, counts array<int>, other long")
+
 
+# --- the index ---------------------------------------------------------------------------------
 
-def weighed(terms, counts, idf: np.ndarray, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and their weights, a vector of length one; with marks and other terms, the marks hold ``MARKED`` of its square."""
-    t = np.asarray(terms, dtype=np.int64)
-    w = (1.0 + np.log(np.asarray(counts, dtype=np.float64))) * idf[t]
-    own = marks[t] if marks is not None else np.zeros(len(t), bool)
-    if own.any() and not own.all():
-        w[own] *= np.sqrt(MARKED / (w[own] ** 2).sum())
-        w[~own] *= np.sqrt((1.0 - MARKED) / (w[~own] ** 2).sum())
-    return t, w / np.sqrt((w * w).sum())
+
+def weighed(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights of a text's terms, of length one."""
+    w = (1.0 + np.log(counts)) * idf
+    return w / np.sqrt((w * w).sum())
 
 
-@dataclass
 class Index:
-    """Inverted index of the examples: the postings of term t are ``nos`` (example numbers) and ``counts`` from ``start[t]`` to ``start[t + 1]``.
-    It travels compressed, and without the weights, which are worked out where they are used."""
-
-    ids: list
-    y: np.ndarray
-    start: np.ndarray
-    nos: np.ndarray
-    counts: np.ndarray
-    idf: np.ndarray
-    marks: np.ndarray
-
-    def __getstate__(self) -> bytes:
-        return zlib.compress(pickle.dumps((self.ids, self.y, self.start, self.nos, self.counts, self.idf, self.marks)), 1)
-
-    def __setstate__(self, state: bytes) -> None:
-        self.ids, self.y, self.start, self.nos, self.counts, self.idf, self.marks = pickle.loads(zlib.decompress(state))
-
-    @cached_property
-    def weights(self) -> np.ndarray:
-        """Weights of the postings, as ``weighed`` gives them."""
-        size = np.diff(self.start)
-        w = (1.0 + np.log(self.counts)) * np.repeat(self.idf, size)
-        own = np.repeat(self.marks, size)
-        square = [np.bincount(self.nos, w * w * part, len(self.ids)) for part in (~own, own)]
-        both = (square[0] > 0) & (square[1] > 0)
-        for part, length, share in ((~own, square[0], 1.0 - MARKED), (own, square[1], MARKED)):
-            w[part] *= np.sqrt(np.where(both, share, 1.0) / np.where(length > 0, length, 1.0))[self.nos[part]]
-        return w
-
-    def nearest(self, terms, counts, k: int, skip=None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples with a positive cosine, nearest first, ties to the smaller number."""
-        t, w = weighed(terms, counts, self.idf, self.marks)
+    """Block-max inverted index over the examples.
+
+    Postings of the rarer terms lie as lists; those of the ``FREQUENT`` most frequent ones as rows, with the largest
+    weight of every block of ``BLOCK`` examples. Examples with the same frequent words lie near each other, which tightens the bounds.
+    """
+
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray, order: np.ndarray):
+        """``order``: text hashes, which decide ties."""
+        sizes = np.array([len(t) for t in terms], dtype=np.int64)
+        flat = np.concatenate([np.empty(0, np.int64), *terms]).astype(np.int64)
+        weight = np.concatenate([np.empty(0), *(weighed(c.astype(float), idf[t]) for t, c in zip(terms, counts, strict=True) if len(t))])
+        df = np.bincount(flat, minlength=len(idf))
+        often = np.argsort(-df, kind="stable")[:FREQUENT]
+        often = often[df[often] > max(8, SHARE * len(terms))]
+        self.row = np.full(len(idf), -1)
+        self.row[often] = np.arange(len(often))
+        owner = np.repeat(np.arange(len(terms)), sizes)
+        lead = np.full(len(terms), -1)
+        heavy = self.row[flat] >= 0
+        last = np.lexsort((weight[heavy], owner[heavy]))
+        lead[owner[heavy][last]] = flat[heavy][last]  # the heaviest frequent term of an example
+        self.old = np.lexsort((order, lead))  # number here -> number given
+        new = np.empty(len(terms), np.int64)
+        new[self.old] = np.arange(len(terms))
+        owner = new[owner]
+        self.rank = np.argsort(np.argsort(order[self.old], kind="stable"), kind="stable")
+        self.n = len(terms)
+        width = -(-max(1, self.n) // BLOCK) * BLOCK
+        self.dense = np.zeros((len(often), width))
+        self.dense[self.row[flat[heavy]], owner[heavy]] = weight[heavy]
+        self.bound = self.dense.reshape(len(often), -1, BLOCK).max(axis=2)
+        rare = np.argsort(flat[~heavy], kind="stable")
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(flat[~heavy], minlength=len(idf)))])
+        self.nos, self.weight, self.width = owner[~heavy][rare], weight[~heavy][rare], width
+        self.idf = idf
+
+    def opened(self, terms: np.ndarray, counts: np.ndarray) -> tuple:
+        """What a text's searches share: sums over its rarer terms, and its frequent terms."""
+        w = weighed(counts.astype(float), self.idf[terms])
+        row = self.row[terms]
+        t, v = terms[row < 0], w[row < 0]
         first, size = self.start[t], self.start[t + 1] - self.start[t]
         at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-        acc = np.bincount(self.nos[at], self.weights[at] * np.repeat(w, size), len(self.ids))
-        if skip is not None:
-            acc[skip] = 0.0
-        least = max(1e-300, np.partition(acc, len(acc) - k)[len(acc) - k] - 1e-11) if len(acc) > k else 1e-300
-        nos = np.flatnonzero(acc >= least)
-        scores = np.round(acc[nos], 12)
-        best = np.lexsort((nos, -scores))[:k]
-        return nos[best], scores[best]
-
-
-def build_index(rows: list[tuple], idf: np.ndarray, marks: np.ndarray | None = None) -> Index:
-    """rows: (id, y, terms, counts) of the examples, ordered by id."""
-    none = np.empty(0, np.int32)
-    at = np.concatenate([none, *(r[2] for r in rows)]).astype(np.int32)
-    order = np.argsort(at, kind="stable")
-    start = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(idf)))]).astype(np.int64)
-    no = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) for r in rows])[order]
-    counts = np.concatenate([none, *(r[3] for r in rows)]).astype(np.int32)[order]
-    return Index([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.int64), start, no, counts, idf, np.zeros(len(idf), bool) if marks is None else marks)
-
-
-def vote(cosines: np.ndarray, y: np.ndarray, class_weight: tuple[float, float]) -> float:
-    """Share of the votes for toxic, each the square of a cosine times its class's weight."""
-    w = cosines * cosines * np.where(y == 1, class_weight[1], class_weight[0])
+        part = np.bincount(self.nos[at], self.weight[at] * np.repeat(v, size), self.width)
+        row, v = row[row >= 0], w[row >= 0]
+        return part, row, v, np.repeat(v @ self.bound[row], BLOCK)
+
+    def nearest(self, opened: tuple, k: int, barred: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (as given) and cosines of the k nearest examples with a positive cosine that are not barred, nearest first, ties to the smaller hash."""
+        part, row, v, more = opened
+        upper = part + more
+        upper[self.n:] = 0.0
+        if barred is not None:
+            upper[:self.n][barred[self.old]] = 0.0
+        tried = np.argpartition(upper, len(upper) - min(len(upper), 2 * k))[-min(len(upper), 2 * k):]
+        least = 0.0
+        if len(tried) >= k:
+            some = part[tried] + v @ self.dense[np.ix_(row, tried)]
+            some[upper[tried] <= 0] = 0.0
+            least = np.partition(some, len(some) - k)[len(some) - k]
+        nos = np.flatnonzero((upper > 0) & (upper >= least - 1e-11))
+        scores = part[nos] + (v @ self.dense[np.ix_(row, nos)] if len(nos) < self.n // 3 else (v @ self.dense[row])[nos])
+        scores = np.round(scores, 12)
+        best = np.lexsort((self.rank[nos], -scores))[:k]
+        best = best[scores[best] > 0]
+        return self.old[nos[best]], scores[best]
+
+
+# --- votes and fits ----------------------------------------------------------------------------
+
+
+def vote(cosines: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """Share of the votes for toxic, each the square of a cosine times its weight."""
+    w = cosines * cosines * weight
     return float((w * (y == 1)).sum() / w.sum()) if w.sum() > 0 else 0.0
 
 
-def monotone(x: list[float], y: list[int], weight: list[float]) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators fit: lower ends of the steps and their values, smoothed by half a row of either class."""
+def log_odds(share: float, least: float = 0.02) -> float:
+    share = min(max(share, least), 1 - least)
+    return float(np.log(share / (1 - share)))
+
+
+def monotone(x: list[float], y: list[int], weight: list[float], prior: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Pool-adjacent-violators fit: lower ends of the steps and their values, smoothed by two rows of the share ``prior``."""
     steps: list[list[float]] = []
     for a, b, w in sorted(zip(x, y, weight, strict=True)):
         if steps and steps[-1][0] == a:
@@ -207,97 +318,136 @@ def monotone(x: list[float], y: list[int], weight: list[float]) -> tuple[np.ndar
             last = pooled.pop()
             pooled[-1][1] += last[1]
             pooled[-1][2] += last[2]
-    return np.array([s[0] for s in pooled]), np.array([(s[1] + 0.5) / (s[2] + 1.0) for s in pooled])
+    return np.array([s[0] for s in pooled]), np.array([(s[1] + 2.0 * prior) / (s[2] + 2.0) for s in pooled])
+
 
+class Judge:
+    """The examples, their index and what each model makes of them; built in a task from plain arrays."""
 
-def judged(index: Index, terms, counts, k: int, class_weight: tuple[float, float], skip=None) -> tuple[np.ndarray, float, int]:
-    """Numbers of the nearest examples, their vote and the amount of evidence. If any are copies (equal vectors), only they vote: amount 3."""
-    near, cos = index.nearest(terms, counts, k, skip)
-    same = cos >= 1.0 - 1e-9
-    if same.any():
-        return near, vote(cos[same], index.y[near[same]], class_weight), 3
-    return near, vote(cos, index.y[near], class_weight), evidence_amount(terms, counts, index.marks)
+    def __init__(self, plain: dict):
+        self.__dict__.update(plain)
+        cuts = np.cumsum(self.sizes)[:-1]
+        self.index = Index(np.split(self.terms, cuts), np.split(self.counts, cuts), self.idf, self.key)
 
+    def opened(self, terms: np.ndarray, counts: np.ndarray) -> tuple:
+        return self.index.opened(terms, counts)
 
-def evidence_amount(terms, counts, marks: np.ndarray) -> int:
-    """0 without a mark, 1 for a single occurrence of a single one, which may be chance; else 2."""
-    return int(min(2, np.asarray(counts)[marks[np.asarray(terms, dtype=np.int64)]].sum()))
+    def facts(self, opened: tuple, terms: np.ndarray, counts: np.ndarray, other: int, model: int, without: int | None = None) -> tuple[np.ndarray, float, int]:
+        """The nearest examples of a model, the feature (log odds of the vote and of the marks) and the amount of evidence:
+        0 without a mark, 1 for one occurrence of one, which may be chance, 2 for more, 3 for examples with the very vector, which alone vote."""
+        barred = (self.fold == model) | (self.fold == (model if without is None else without))
+        near, cos = self.index.nearest(opened, self.k, barred)
+        weight = self.class_weight[model][self.y[near]]
+        same = cos >= 1.0 - 1e-9
+        if same.any() and not other:
+            return near, log_odds(vote(cos[same], self.y[near[same]], (weight * self.n[near])[same]), 0.001), 3
+        at, odds = self.marks[model]
+        place = np.minimum(np.searchsorted(at, terms), max(0, len(at) - 1))
+        ours = at[place] == terms if len(at) else np.zeros(len(terms), bool)
+        return near, log_odds(vote(cos, self.y[near], weight)) + float(odds[place[ours]].sum()), int(min(2, counts[ours].sum()))
 
 
-def fitted(examples: list[tuple], raw: list[tuple[float, int]], class_weight: tuple, amount: int) -> tuple[np.ndarray, np.ndarray]:
-    """Monotone fit over the examples with this amount of evidence, or over all if none has it. ``raw`` has each one's vote and amount."""
-    own = [i for i, r in enumerate(raw) if r[1] == amount] or range(len(examples))
-    return monotone([raw[i][0] for i in own], [examples[i][1] for i in own], [class_weight[examples[i][1]] for i in own])
+def fitted(rows: list[tuple[int, float, float, int]], amount: int) -> tuple[np.ndarray, np.ndarray]:
+    """Monotone fit over the judged examples (y, weight, feature, amount) with this amount of evidence, or over all of them where these are few or of one class."""
+    own = [r for r in rows if r[3] == amount]
+    if len(own) < LEAST_ROWS or len({r[0] for r in own}) < 2:
+        own = rows
+    prior = sum(r[0] * r[1] for r in own) / sum(r[1] for r in own)
+    return monotone([r[2] for r in own], [r[0] for r in own], [r[1] for r in own], prior)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = EXAMPLES, n_terms: int = TERMS, k: int = K) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = EXAMPLES, n_marks: int = MARKS, k: int = K, postings: int = POSTINGS) -> DataFrame:
     """doc_id, held_out, score, predicted, nearest (ids of the three nearest examples), evidence (the text's marks), row_key."""
-    sample, sizes = training_sample(labels, per_class)
-    terms, marks = vocabulary(docs, sample, n_terms)
-    vecs = staged(vectors(docs, terms))
+    sc = docs.sparkSession.sparkContext
+    sample, sizes = sampled(staged(training_texts(docs, labels)), per_class)
+    examples = staged(spelled(docs, sample, postings))
+    told = examples.select("key", "fold", "y", "n", "doc_id", "terms", "counts").toArrow().sort_by([("key", "ascending"), ("y", "ascending")])
+    key, fold, y, n = (told.column(c).to_numpy().astype(np.int64) for c in ("key", "fold", "y", "n"))
+    texts = np.zeros((FOLDS, 2))
+    np.add.at(texts, (fold, y), 1)
+    flat, counts = (told.column(c).combine_chunks().flatten().to_numpy() for c in ("terms", "counts"))
+    lengths = told.column("terms").combine_chunks().value_lengths().to_numpy().astype(np.int64)
+    vocab = np.unique(flat)
+    vecs = staged(vectors(docs, vocab))
     n_docs = vecs.count()
-    seen = vecs.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).toArrow()
-    freq = np.zeros(len(terms))
-    freq[seen.column("t").to_numpy().astype(np.int64)] = seen.column("n").to_numpy()
-    idf = np.log((1.0 + n_docs) / (1.0 + freq)) + 1.0
-    known = vecs.filter(~F.col("held_out")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("row_key", "terms", "counts")).alias("v"))
-    own = staged(known.select("doc_id", "y", "v.terms", "v.counts"))
-    known = own.toArrow()
-    lists = ([x.values.to_numpy() for x in known.column(c)] for c in ("terms", "counts"))
-    known = sorted(zip(known.column("doc_id").to_pylist(), known.column("y").to_pylist(), *lists, strict=True), key=lambda r: r[0])
-    got = {y: sum(r[1] == y for r in known) for y in (0, 1)}
-    class_weight = tuple(sizes.get(y, 0) / got[y] if got[y] else 0.0 for y in (0, 1))
-    examples = [r for r in known if len(r[2])]
-    index = build_index(examples, idf, marks)
-    prior = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1.0)
-    empty = [class_weight[r[1]] * np.array([1, r[1]]) for r in known if not len(r[2])]
-    blank = float((sum(e[1] for e in empty) + prior) / (sum(e[0] for e in empty) + 1.0))
-
-    sent = docs.sparkSession.sparkContext.broadcast(index)
-    names = {int(i): terms[i].decode("utf-8", "replace") for i in np.flatnonzero(marks)}
+    df = vecs.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).toArrow()
+    idf = np.full(len(vocab), np.log(1.0 + n_docs) + 1.0)
+    idf[df.column("t").to_numpy().astype(np.int64)] = np.log((1.0 + n_docs) / (1.0 + df.column("n").to_numpy())) + 1.0
+
+    numbers = np.searchsorted(vocab, flat)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    order = np.lexsort((numbers, owner))
+    picks = marked_terms(examples, texts, n_marks)
+    names = names_of(examples, set().union(*picks.values()))
+    marks, prior, class_weight = [], [], []
+    for m in models_of():
+        own = inside(m, range(FOLDS))
+        at = np.array(sorted(picks[m]), dtype=np.int64)
+        marks.append((np.searchsorted(vocab, at), np.array([picks[m][t] for t in at.tolist()])))
+        size, got = sizes[own].sum(axis=0), texts[own].sum(axis=0)
+        class_weight.append(np.divide(size, got, out=np.zeros(2), where=got > 0))
+        prior.append(float((size[1] + 0.5) / (size.sum() + 1.0)) if size.sum() else 0.5)
+    plain = {"terms": numbers[order], "counts": counts[order], "sizes": lengths, "key": key, "fold": fold, "y": y, "n": n, "idf": idf, "k": k, "marks": marks, "class_weight": class_weight}
+    ids = [str(x) for x in told.column("doc_id").to_pylist()]
+    sent = sc.broadcast(plain)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
-        number = {x: i for i, x in enumerate(index.ids)}
+        judge, out = Judge(sent.value), []
+        cuts = np.concatenate([[0], np.cumsum(judge.sizes)])
         for batch in batches:
-            nos = [number[x] for x in batch.column("doc_id").to_pylist()]
-            found = [judged(index, t.values.to_numpy(), c.values.to_numpy(), k, class_weight, no)[1:] for no, t, c in zip(nos, batch.column("terms"), batch.column("counts"), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(nos, pa.int64()), pa.array([v for v, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int32())], ["no", "vote", "amount"])
-
-    told = own.filter(F.size("terms") > 0).repartition(-(-max(len(examples), 1) // 500)).mapInArrow(left_out, "no long, vote double, amount int").collect()
-    raw = [(r["vote"], r["amount"]) for r in sorted(told, key=lambda r: r["no"])]
-    fits = [fitted(examples, raw, class_weight, amount) for amount in range(4)]
+            for i in batch.column("id").to_pylist():
+                t, c = judge.terms[cuts[i]:cuts[i + 1]], judge.counts[cuts[i]:cuts[i + 1]]
+                if len(t):
+                    opened = judge.opened(t, c)
+                    out += [(m, i, *judge.facts(opened, t, c, 0, m, int(judge.fold[i]))[1:]) for m in models_of() if m != judge.fold[i]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.float64(), pa.int32()))], ["model", "no", "x", "amount"])
+
+    parts = max(1, -(-len(key) // 500))
+    judged = docs.sparkSession.range(0, len(key), 1, parts).mapInArrow(left_out, "model int, no long, x double, amount int").toArrow().to_pydict()
+    fits, blank = [], []
+    for m in models_of():
+        rows = [(int(y[i]), float(class_weight[m][y[i]]), x, a) for mm, i, x, a in zip(*judged.values(), strict=True) if mm == m]
+        both = len({r[0] for r in rows}) == 2
+        fits.append([fitted(rows, a) for a in range(4)] if both else None)
+        empty = [class_weight[m][y[i]] * np.array([1.0, y[i]]) for i in range(len(key)) if not lengths[i] and fold[i] != m]
+        blank.append(float((sum(e[1] for e in empty) + prior[m]) / (sum(e[0] for e in empty) + 1.0)) if both else prior[m])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, memo = sent.value, {}
+        judge, memo = Judge(sent.value), {}
+
+        def score(t: np.ndarray, c: np.ndarray, other: int, model: int) -> tuple:
+            s, near = blank[model], np.empty(0, np.int64)
+            if len(t) and fits[model]:
+                near, x, amount = judge.facts(judge.opened(t, c), t, c, other, model)
+                ends, values = fits[model][amount]
+                if len(near):
+                    s = float(values[max(int(np.searchsorted(ends, x, side="right")) - 1, 0)])
+            own = np.isin(t, judge.marks[model][0])
+            return s, ",".join(ids[i] for i in near[:3]), ",".join(sorted(names.get(int(vocab_of[j]), "") for j in t[own]))
+
+        vocab_of = words.value
         for batch in batches:
-            scores, nearest, evidence = [], [], []
-            for t, c in zip(batch.column("terms"), batch.column("counts"), strict=True):
-                t, c = t.values.to_numpy(), c.values.to_numpy()
-                key = hashlib.blake2b(t.tobytes() + c.tobytes(), digest_size=16).digest()
-                if key not in memo:
+            out: list[list] = [[], [], []]
+            columns = [batch.column(c).to_pylist() for c in ("held_out", "fold", "other")]
+            lists = [[x.values.to_numpy() for x in batch.column(c)] for c in ("terms", "counts")]
+            for held, own_fold, other, t, c in zip(*columns, *lists, strict=True):
+                model = FOLDS if held else own_fold
+                seen = hashlib.blake2b(t.tobytes() + c.tobytes() + bytes([model, other > 0]), digest_size=16).digest()
+                if seen not in memo:
                     if len(memo) > 50_000:
                         memo.clear()
-                    s, near = blank, np.empty(0, np.int64)
-                    if len(t):
-                        near, share, amount = judged(index, t, c, k, class_weight)
-                        ends, values = fits[amount]
-                        if len(near) and len(ends):
-                            at = np.searchsorted(ends, share, side="right") - 1
-                            s = float(values[max(at, 0)])
-                    memo[key] = (s, ",".join(str(index.ids[i]) for i in near[:3]), ",".join(names[x] for x in t[index.marks[t]].tolist()))
-                s, a, b = memo[key]
-                scores.append(s)
-                nearest.append(a)
-                evidence.append(b)
-            predicted = pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())
+                    memo[seen] = score(t.astype(np.int64), c.astype(np.int64), other, model)
+                for column, value in zip(out, memo[seen], strict=True):
+                    column.append(value)
+            predicted = pa.array([int(s >= THRESHOLD) for s in out[0]], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), predicted, pa.array(nearest, pa.string()), pa.array(evidence, pa.string()), batch.column("row_key")],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(out[0], pa.float64()), predicted, pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), batch.column("row_key")],
                 ["doc_id", "held_out", "score", "predicted", "nearest", "evidence", "row_key"])
 
+    words = sc.broadcast(vocab)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return vecs.mapInArrow(rate, f"doc_id {kind}, held_out boolean, score double, predicted int, nearest string, evidence string, row_key long")
 
 
 def op10_nearest_examples(spark, sf_dir: str) -> DataFrame:
-    return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("row_key")
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("row_key")
