@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callstrata.functions import fingerprints
 from callstrata.functions.dates import is_business
 from callstrata.functions.stats import arg_max, arg_min, pct
 
@@ -142,9 +143,8 @@ def completeness(df: DataFrame) -> DataFrame:
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier row in full."""
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).agg(
-        F.sum(F.col("_n") - 1).alias("duplicados"), F.sum("_n").alias("filas"))
+    """Rows that repeat an earlier row in full. Fingerprints are counted; whole rows are compared only where these repeat."""
+    return fingerprints.count_rows(df).select((F.col("filas") - F.col("distintas")).alias("duplicados"), "filas")
 
 
 def numeric_quality(df: DataFrame, cols: list[str], limit: float = 3.0) -> DataFrame:

@@ -8,6 +8,7 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callstrata.functions import fingerprints
 from callstrata.functions.dates import is_business, parse_call_time
 
 
@@ -67,19 +68,17 @@ def _all_null(cols: list[str]) -> Column:
 
 
 def clean_rows(df: DataFrame) -> DataFrame:
-    """Drop rows that are null throughout, then exact duplicates."""
-    return df.dropna(how="all").dropDuplicates()
+    """Drop rows that are null throughout, then exact duplicates; whole rows are shuffled only where their fingerprint repeats."""
+    return fingerprints.distinct_rows(df.dropna(how="all"))
 
 
 def clean_report(df: DataFrame) -> DataFrame:
-    """Row counts before, after dropping null rows, and after dropping duplicates; one shuffle."""
-    cols = df.columns
-    groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    some = ~_all_null(cols)
-    return groups.agg(
-        F.sum("_n").alias("filas_iniciales"),
-        F.coalesce(F.sum(F.when(some, F.col("_n"))), F.lit(0)).alias("filas_sin_nulos"),
-        F.count_if(some).alias("filas_finales"))
+    """Row counts before, after dropping null rows, and after dropping duplicates."""
+    some = ~_all_null(df.columns)
+    total = df.agg(F.count(F.lit(1)).alias("filas_iniciales"))
+    left = fingerprints.count_rows(df.where(some))
+    return total.withColumn("_k", F.lit(1)).join(left.withColumn("_k", F.lit(1)), "_k").select(
+        "filas_iniciales", F.col("filas").alias("filas_sin_nulos"), F.col("distintas").alias("filas_finales"))
 
 
 def training_cutoff(daily: DataFrame, cutoff: str, as_of: str) -> DataFrame:

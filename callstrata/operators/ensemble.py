@@ -59,7 +59,8 @@ def time_split(df: DataFrame, share: float = 0.8) -> DataFrame:
     return df.withColumn("parte", F.when(F.row_number().over(w.orderBy("ds")) <= cut, "train").otherwise("test"))
 
 
-def _numbered(daily: DataFrame) -> DataFrame:
+def numbered(daily: DataFrame) -> DataFrame:
+    """Rows with their position ``_r`` in time and the length ``_n`` of their series."""
     w = Window.partitionBy("serie")
     return daily.withColumns({"_n": F.count(F.lit(1)).over(w), "_r": F.row_number().over(w.orderBy("ds"))})
 
@@ -70,7 +71,7 @@ def cv_folds(daily: DataFrame, splits: int = 5, gap: int = 7) -> DataFrame:
     end = F.col("_n") - F.col("fold") * size
     train_end = end - size - gap
     part = F.when(F.col("_r") <= train_end, "train").when((F.col("_r") > end - size) & (F.col("_r") <= end), "test")
-    out = _numbered(daily).withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(splits)])))
+    out = numbered(daily).withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(splits)])))
     return out.where((train_end >= size) & (size > 0)).withColumn("parte", part).where(
         F.col("parte").isNotNull()).drop("_n", "_r")
 
@@ -87,7 +88,7 @@ def expanding_folds(daily: DataFrame, k: int = 5, min_rows: int = 100) -> DataFr
     small, extra = F.floor(n / k), n % k
     lo = f * small + F.least(f, extra)
     plain = F.when((r > lo) & (r <= lo + small + F.when(f < extra, 1).otherwise(0)), "test").otherwise("train")
-    out = _numbered(daily).withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(k)])))
+    out = numbered(daily).withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(k)])))
     return out.withColumn("parte", F.when(n > min_rows, grow).otherwise(plain)).where(
         F.col("parte").isNotNull()).drop("_n", "_r")
 

@@ -198,42 +198,100 @@ def escalating_block(rates: DataFrame) -> DataFrame:
                       F.when(blocked, F.col("s") + minutes.cast("long") * 60).alias("hasta_s"))
 
 
-def enforced(requests: DataFrame, key: str, ts: str, burst: int = BURST_LIMIT, minute: int = MINUTE_LIMIT, hour: int = HOUR_LIMIT) -> DataFrame:
+class Gate:
+    """The limits of one key, second after second: what the last 10, 60 and 3600 seconds let through, violations so far, and the end of a block."""
+
+    def __init__(self, burst: int | None, minute: int, hour: int, past=(), total: int = 0, until: int = 0):
+        self.limits = [("rafaga", burst, BURST_SECONDS), ("minuto", minute, 60), ("hora", hour, 3600)]
+        self.total, self.until = total, until
+        self.windows: list[deque] = [deque() for _ in self.limits]
+        self.sums = [0] * len(self.limits)
+        for s, n in past:
+            self._add(s, n)
+
+    def _add(self, s: int, n: int) -> None:
+        for k, window in enumerate(self.windows):
+            window.append((s, n))
+            self.sums[k] += n
+
+    def forget(self, s: int) -> None:
+        """Drop what lies outside the windows that end at second ``s``."""
+        for k, (_, _, width) in enumerate(self.limits):
+            window = self.windows[k]
+            while window and window[0][0] <= s - width:
+                self.sums[k] -= window.popleft()[1]
+
+    def kept(self) -> list[tuple[int, int]]:
+        return list(self.windows[-1])
+
+    def _minutes(self, kind: str) -> int | None:
+        return BLOCK_MINUTES * BLOCK_FACTOR ** min(self.total, BLOCK_MAX_STEPS) if kind == "rafaga" and self.total >= BLOCK_AFTER else None
+
+    def counted(self, s: int, n: int) -> tuple:
+        """All requests of a second, blocked or not: (s, n, the trailing counts, limit broken first, requests over it, running violations, minutes, end)."""
+        self.forget(s)
+        self._add(s, n)
+        over = [c - limit for c, (_, limit, _) in zip(self.sums, self.limits, strict=True) if limit is not None]
+        excess = min(n, max(0, *over))
+        kind = next((name for c, (name, limit, _) in zip(self.sums, self.limits, strict=True) if limit is not None and c > limit), None)
+        self.total += excess
+        minutes = self._minutes(kind) if kind else None
+        end = s + 60 * minutes if minutes else None
+        self.until = max(self.until, end or 0)
+        return s, n, *self.sums, kind, excess, self.total if kind else None, minutes, end
+
+    def enforced(self, s: int, n: int) -> list[tuple]:
+        """A row per violation of the requests that a block lets through: (s, limit, running violations, minutes, end). A second stops where its block begins."""
+        out: list[tuple] = []
+        if s < self.until:
+            return out
+        self.forget(s)
+        let = 0
+        while let < n and s >= self.until:
+            room = min(limit - c for c, (_, limit, _) in zip(self.sums, self.limits, strict=True) if limit is not None) - let
+            if room > 0:
+                let += min(room, n - let)
+                continue
+            let += 1
+            self.total += 1
+            kind = next(name for c, (name, limit, _) in zip(self.sums, self.limits, strict=True) if limit is not None and c + let > limit)
+            minutes = self._minutes(kind)
+            self.until = s + 60 * minutes if minutes else self.until
+            out.append((s, kind, self.total, minutes, self.until if minutes else None))
+        self._add(s, let)
+        return out
+
+
+def limited(requests: DataFrame, key: str, limits: DataFrame | None, burst: int | None = BURST_LIMIT, minute: int = MINUTE_LIMIT, hour: int = HOUR_LIMIT) -> DataFrame:
+    """Requests with ``clave`` (text) and the limits of their key: its own where ``limits`` (clave, burst, minute, hour) has them, else those given."""
+    rows = requests.withColumn("clave", F.col(key).cast("string"))
+    usual = {"burst": F.lit(burst).cast("long"), "minute": F.lit(minute).cast("long"), "hour": F.lit(hour).cast("long")}
+    if limits is None:
+        return rows.withColumns(usual)
+    own = limits.select("clave", *[F.col(c).cast("long").alias(f"_{c}") for c in usual], F.lit(True).alias("_own"))
+    return rows.join(own, "clave", "left").withColumns({c: F.when(F.col("_own"), F.col(f"_{c}")).otherwise(v) for c, v in usual.items()}).drop("_own", *[f"_{c}" for c in usual])
+
+
+def enforced(requests: DataFrame, key: str, ts: str, burst: int | None = BURST_LIMIT, minute: int = MINUTE_LIMIT, hour: int = HOUR_LIMIT,
+             limits: DataFrame | None = None) -> DataFrame:
     """(clave, s, violacion, acumulado, minutos_bloqueo, hasta_s): a row per violation of requests that pass the blocks.
 
     A blocked key's requests count no more until the block ends, so what is
     counted depends on every earlier block of the key. The seconds of a key lie
     next to each other in a partition, in order, and are read as a stream that
-    remembers one hour of counts; a second stops where its block begins.
+    remembers one hour of counts. ``limits`` names keys with limits of their own.
     """
-    sec = epoch_second(F.col(ts))
-    seconds = requests.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("clave"), sec.alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    known = limited(requests.where(F.col(key).isNotNull()), key, limits, burst, minute, hour)
+    seconds = known.groupBy("clave", epoch_second(F.col(ts)).alias("s")).agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("burst", "minute", "hour")])
 
     def judge(batches):
-        clave, past, total, until = None, deque(), 0, 0
+        clave, gate = None, None
         for pdf in batches:
             out = []
-            for k, s, n in zip(pdf["clave"], pdf["s"], pdf["n"], strict=True):
+            for k, s, n, *given in zip(*(pdf[c] for c in ("clave", "s", "n", "burst", "minute", "hour")), strict=True):
                 if k != clave:
-                    clave, past, total, until = k, deque(), 0, 0
-                if s < until:
-                    continue
-                while past and past[0][0] <= s - 3600:
-                    past.popleft()
-                trailing = [sum(c for t, c in past if t > s - w) for w in (BURST_SECONDS, 60, 3600)]
-                let = 0
-                while let < n and s >= until:
-                    room = min(limit - c for limit, c in zip((burst, minute, hour), trailing, strict=True)) - let
-                    if room > 0:
-                        let += min(room, n - let)
-                        continue
-                    let += 1
-                    total += 1
-                    kind = next(name for name, limit, c in zip(("rafaga", "minuto", "hora"), (burst, minute, hour), trailing, strict=True) if c + let > limit)
-                    stop = BLOCK_MINUTES * BLOCK_FACTOR ** min(total, BLOCK_MAX_STEPS) if kind == "rafaga" and total >= BLOCK_AFTER else None
-                    until = s + 60 * stop if stop else until
-                    out.append((k, s, kind, total, stop, until if stop else None))
-                past.append((s, let))
+                    clave, gate = k, Gate(*(None if pd.isna(x) else int(x) for x in given))
+                out += [(k, *row) for row in gate.enforced(int(s), int(n))]
             frame = pd.DataFrame(out, columns=["clave", "s", "violacion", "acumulado", "minutos_bloqueo", "hasta_s"])
             yield frame.astype({"minutos_bloqueo": "Int32", "hasta_s": "Int64", "s": "int64", "acumulado": "int64"})
 

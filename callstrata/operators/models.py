@@ -1,8 +1,9 @@
-"""Forecast models: pyspark.ml regressors over the feature table, and per-series least-squares models.
+"""Forecast models: regressors over the feature table, and per-series time-series models.
 
-The regressors are fitted on distributed feature rows, one model per call type.
-The autoregressive and the trend-season model are a few lines of linear algebra
-per series; Spark spreads them by series, fold and candidate order.
+Linear models come from additive moments and trees from grouped rows, all series and folds in one job
+(``gram``, ``trees``). ``estimator`` builds the same kinds as ``pyspark.ml`` pipelines, for one large table and for
+models that are saved. Seasonal ARIMA (``sarima``) and the trend with breaks (``trend``) are fitted per series; Spark spreads
+them by series, fold and differencing.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callstrata.operators import ensemble
+from callstrata.operators import ensemble, gram, sarima, trees
+from callstrata.operators.trend import trend_season
 from callstrata.operators.features import TRAIN_COLS, training_features
-from callstrata.schema import Z80
 
 SEED = 42
 LINEAR_KINDS = ("linear", "ridge", "lasso", "elastic_net")
@@ -78,12 +79,23 @@ def predict(model: PipelineModel, rows: DataFrame, name: str, keep: Iterable[str
     return model.transform(rows).select(*keep, F.lit(name).alias("modelo"), F.col("prediction").alias("yhat"))
 
 
-def train_and_score(feat: DataFrame, kind: str, types: Iterable[str], share: float = 0.8, **params) -> DataFrame:
+def by_key(seen: DataFrame, ahead: DataFrame, kind: str, by: Iterable[str] = ("serie",), **params) -> DataFrame:
+    """(keys, ds, modelo, yhat): one model of the kind per key, fitted on ``seen`` and applied to ``ahead``, all keys in one job."""
+    if kind in TREE_KINDS:
+        return trees.by_series(seen, ahead, kind, by, **params)
+    return gram.apply(gram.coefficients(seen, kind, by, **params), ahead, by).select(*by, "ds", "modelo", "yhat")
+
+
+def train_and_score(feat: DataFrame, kind: str, types: Iterable[str] | None = None, share: float = 0.8, **params) -> DataFrame:
     """Fit on the first part of each call type and predict the rest: (serie, ds, y, modelo, yhat)."""
-    parts = ensemble.time_split(feat, share)
-    scored = fit_groups(parts.where("parte = 'train'"), parts.where("parte = 'test'"), list(types), kind,
-                        keep=("serie", "ds", "y"), **params)
-    return functools.reduce(DataFrame.unionByName, scored)
+    from callstrata.session import checkpointed
+
+    if types is not None:
+        feat = feat.where(F.col("serie").isin(*types))
+    parts = checkpointed(ensemble.time_split(feat, share))
+    test = parts.where("parte = 'test'")
+    got = by_key(parts.where("parte = 'train'"), test, kind, **params)
+    return got.join(test.select("serie", "ds", "y"), ["serie", "ds"]).select("serie", "ds", "y", "modelo", "yhat")
 
 
 MASK = "entrena"
@@ -118,110 +130,24 @@ def future_features(daily: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def ridge_by_series(seen: DataFrame, ahead: DataFrame, alpha: float = 1.0, by=("serie",)) -> DataFrame:
-    """(keys, ds, modelo, yhat): the scaled ridge of ``estimator`` for every series in one job.
-
-    Used where there are many series or folds; each is one small system, solved
-    where its rows are, instead of one fit after the other.
-    """
-    keys = list(by)
-    x = F.array(*[F.col(c).cast("double") for c in TRAIN_COLS])
-    rows = seen.select(*keys, "ds", F.col("y").cast("double").alias("y"), x.alias("x"), F.lit(False).alias("_new")).unionByName(
-        ahead.select(*keys, "ds", F.lit(None).cast("double").alias("y"), x.alias("x"), F.lit(True).alias("_new")))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seen.select(*keys).schema)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        new, x = pdf["_new"].to_numpy(), np.vstack(pdf["x"].to_numpy())
-        if new.all():
-            return pd.DataFrame({c: [] for c in [*keys, "ds", "modelo", "yhat"]})
-        xt, y = x[~new], pdf.loc[~pdf["_new"], "y"].to_numpy()
-        mean, dev = xt.mean(axis=0), xt.std(axis=0, ddof=1) if len(xt) > 1 else np.zeros(x.shape[1])
-        scale = np.where(dev > 0, 1 / np.where(dev > 0, dev, 1), 0.0)
-        z = (xt - mean) * scale
-        coef = np.linalg.solve(z.T @ z + alpha * np.eye(z.shape[1]), z.T @ (y - y.mean()))
-        return pdf.loc[pdf["_new"], [*keys, "ds"]].assign(modelo="ridge", yhat=((x[new] - mean) * scale) @ coef + y.mean())
+    """(keys, ds, modelo, yhat): the scaled ridge of ``estimator`` for every series in one job."""
+    return by_key(seen, ahead, "ridge", by, alpha=alpha)
 
-    return rows.groupBy(*keys).applyInPandas(solve, f"{fields}, ds date, modelo string, yhat double")
 
-
-# --- autoregression per series -----------------------------------------------------------------
+# --- seasonal ARIMA per series -----------------------------------------------------------------
 
 AR_ORDERS = [(p, d, q, s) for p in range(3) for d in range(2) for q in range(3) for s in (0, 1)]
-_WEEK = 7
-
-
-def _difference(y: np.ndarray, d: int, s: int) -> np.ndarray:
-    z = y[_WEEK:] - y[:-_WEEK] if s else y
-    return np.diff(z, n=d) if d else z
-
-
-def _lagged(z: np.ndarray, e: np.ndarray, ar: list[int], ma: list[int], start: int) -> np.ndarray:
-    cols = [np.ones(len(z) - start)]
-    cols += [z[start - k:len(z) - k] for k in ar] + [e[start - k:len(e) - k] for k in ma]
-    return np.column_stack(cols)
-
-
-def _solve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Least squares through the normal equations, with a trace of ridge against singular columns."""
-    return np.linalg.solve(x.T @ x + 1e-8 * np.eye(x.shape[1]), x.T @ y)
-
-
-def _ar_fit(y: np.ndarray, p: int, d: int, q: int, s: int, skip: int = 0):
-    """Two-step regression: residuals of a long autoregression stand in for the shocks of the moving-average terms.
-
-    Without such terms there is no first step; with them it is as long as the
-    data allow, at most two weeks. The criterion counts the residuals after the
-    first ``skip`` days only, so that orders are compared on the same days. None
-    where the data do not reach for the order.
-    """
-    z = _difference(y.astype(float), d, s)
-    ar = list(range(1, p + 1)) + ([_WEEK] if s else [])
-    ma = list(range(1, q + 1)) + ([_WEEK] if s else [])
-    long = min(2 * _WEEK, len(z) // 3) if ma else 0
-    start = max([long + max(ma, default=0), *ar])
-    if len(z) - start < len(ar) + len(ma) + 3 or ma and long < 1 or len(y) - len(z) + start > max(skip, 0) > 0:
-        return None
-    e = np.zeros(len(z))
-    if ma:
-        a = _lagged(z, z, list(range(1, long + 1)), [], long)
-        e[long:] = z[long:] - a @ _solve(a, z[long:])
-    x = _lagged(z, e, ar, ma, start)
-    coef = _solve(x, z[start:])
-    resid = z[start:] - x @ coef
-    e[start:] = resid
-    told = resid[-(len(y) - skip):] if skip else resid
-    n, sse = len(told), max(float(told @ told), 1e-12)
-    return n * np.log(sse / n) + 2 * (len(coef) + 1), coef, ar, ma, z, e
+_WEEK = sarima.WEEK
 
 
 def _common_start(n: int) -> int:
-    """Days left out of every order's criterion: what the longest order needs, or half of a short series."""
-    return min(_WEEK + 1 + 3 * _WEEK, n // 2)
-
-
-def _ar_forecast(y: np.ndarray, spec, steps: int) -> np.ndarray:
-    p, d, q, s = spec
-    fitted = _ar_fit(y, p, d, q, s)
-    if fitted is None:  # too short for any order: (0, 0, 0) is the mean
-        return np.full(steps, y.mean())
-    _, coef, ar, ma, z, e = fitted
-    z, e = list(z), list(e)
-    for _ in range(steps):
-        z.append(float(coef @ np.array([1.0] + [z[-k] for k in ar] + [e[-k] for k in ma])))
-        e.append(0.0)
-    out = np.array(z[-steps:])
-    if d:
-        base = y[_WEEK:] - y[:-_WEEK] if s else y
-        out = base[-1] + np.cumsum(out)
-    if s:
-        full = list(y[-_WEEK:].astype(float))
-        for step in out:
-            full.append(full[-_WEEK] + step)
-        out = np.array(full[-steps:])
-    return out
+    """Days left out of every order's criterion: what the differencings take, or half of a short series."""
+    return min(_WEEK + 1, n // 2)
 
 
 def ar_candidates(daily: DataFrame, by=("serie",), orders=tuple(AR_ORDERS)) -> DataFrame:
-    """AIC of every order for every series; each (series, differencing) is a group that tries its orders on one copy of the data."""
+    """AIC of every order for every series, from the likelihood of the same days; each (series, differencing) is a group that
+    fits its orders together. Null where a series is too short for an order."""
     keys = list(by)
     kinds = sorted({(d, s) for _, d, _, s in orders})
     spec = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(s).alias("s")) for d, s in kinds]))
@@ -231,13 +157,19 @@ def ar_candidates(daily: DataFrame, by=("serie",), orders=tuple(AR_ORDERS)) -> D
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("ds")["y"].to_numpy()
         d, s = int(pdf["d"].iloc[0]), int(pdf["s"].iloc[0])
-        row, out = {k: pdf[k].iloc[0] for k in keys}, []
-        for p, _, q, _ in [o for o in orders if (o[1], o[3]) == (d, s)]:
-            fitted = _ar_fit(y, p, d, q, s, _common_start(len(y)))
-            out.append({**row, "p": p, "d": d, "q": q, "s": s, "aic": None if fitted is None else float(fitted[0])})
-        return pd.DataFrame(out)
+        row = {k: pdf[k].iloc[0] for k in keys}
+        own = [(p, q) for p, d2, q, s2 in orders if (d2, s2) == (d, s)]
+        long = [(p, q) for p, q in own if sarima.enough(len(y), p, d, q, s)]
+        found = {}
+        if long:
+            z = sarima.difference(y, d, s)
+            z = z - z.mean()
+            fitted, u = sarima.fit(z, [p for p, _ in long], [q for _, q in long], s)
+            found = dict(zip(long, sarima.criteria(z, fitted, u, len(y) - max(_common_start(len(y)), len(y) - len(z)))))
+        return pd.DataFrame([{**row, "p": p, "d": d, "q": q, "s": s, "aic": float(found[p, q]) if (p, q) in found else None} for p, q in own])
 
-    return rows.groupBy(*keys, "d", "s").applyInPandas(score, f"{fields}, p int, d int, q int, s int, aic double")
+    groups = [*keys, "d", "s"]
+    return gram.spread(rows, *groups).groupBy(*groups).applyInPandas(score, f"{fields}, p int, d int, q int, s int, aic double")
 
 
 def best_ar(candidates: DataFrame, by=("serie",)) -> DataFrame:
@@ -264,59 +196,10 @@ def ar_forecast(daily: DataFrame, best: DataFrame, days: DataFrame, by=("serie",
         last = pd.Timestamp(hist["ds"].iloc[-1])
         steps = (pd.to_datetime(want["ds"]) - last).dt.days.to_numpy()
         spec = tuple(int(pdf[c].iloc[0]) for c in "pdqs")
-        path = _ar_forecast(hist["y"].to_numpy(), spec, int(steps.max()))
+        path = sarima.forecast(hist["y"].to_numpy(), spec, int(steps.max()))
         return want[[*keys, "ds"]].assign(modelo="arima", yhat=path[steps - 1])
 
-    return rows.groupBy(*keys).applyInPandas(run, f"{fields}, ds date, modelo string, yhat double")
-
-
-# --- trend and season per series ---------------------------------------------------------------
-
-CHANGEPOINTS, CHANGE_SCALE, WEEK_PAIRS = 25, 0.05, 3
-
-
-def season_design(df: DataFrame, first: str = "_a", last: str = "_b") -> DataFrame:
-    """Design columns of the trend-season model: scaled time, hinges, weekly waves, month position."""
-    t = F.datediff("ds", first) / F.greatest(F.datediff(last, first), F.lit(1))
-    hinges = [F.greatest(F.lit(0.0), t - F.lit(0.8 * (i + 1) / (CHANGEPOINTS + 1))) for i in range(CHANGEPOINTS)]
-    day = F.datediff("ds", F.lit("1970-01-01").cast("date"))
-    waves = [fn(2 * F.pi() * k * day / 7) for k in range(1, WEEK_PAIRS + 1) for fn in (F.sin, F.cos)]
-    more = [F.weekday("ds") + 1, (F.dayofmonth("ds") <= 5).cast("int"), F.floor((F.dayofmonth("ds") - 1) / 7) + 1]
-    return df.withColumn("x", F.array(F.lit(1.0), t, *hinges, *waves, *[c.cast("double") for c in more]))
-
-
-def trend_season(daily: DataFrame, days: DataFrame, by=("serie",), hol: DataFrame | None = None) -> DataFrame:
-    """(keys, ds, modelo, yhat, yhat_lower, yhat_upper): penalised trend with breaks, weekly waves and regressors.
-
-    Spark builds the design columns; each series then solves one small
-    penalised least-squares system. The interval is 80 % of the residuals.
-    """
-    keys = list(by)
-    span = daily.groupBy(*keys).agg(F.min("ds").alias("_a"), F.max("ds").alias("_b"))
-    known = daily.select(*keys, "ds", F.col("y").cast("double").alias("y"), F.lit(False).alias("_new"))
-    asked = days.select(*keys, "ds", F.lit(None).cast("double").alias("y"), F.lit(True).alias("_new"))
-    rows = season_design(known.unionByName(asked).join(span, keys))
-    if hol is not None:
-        from callstrata.operators.calendar import mark_holidays
-        rows = mark_holidays(rows, hol).withColumn("x", F.concat("x", F.array(F.col("es_feriado").cast("double"))))
-    rows = rows.select(*keys, "ds", "y", "_new", "x")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in daily.select(*keys).schema)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, new = np.vstack(pdf["x"].to_numpy()), pdf["_new"].to_numpy()
-        xt, y = x[~new], pdf.loc[~pdf["_new"], "y"].to_numpy()
-        scale = max(np.abs(y).max(), 1.0)
-        penalty = np.full(x.shape[1], 1e-2)
-        penalty[:2] = 1e-8
-        penalty[2:2 + CHANGEPOINTS] = 1.0 / CHANGE_SCALE
-        coef = np.linalg.solve(xt.T @ xt + np.diag(penalty), xt.T @ (y / scale)) * scale
-        spread = Z80 * np.std(y - xt @ coef)
-        yhat = x[new] @ coef
-        return pdf.loc[pdf["_new"], [*keys, "ds"]].assign(
-            modelo="prophet", yhat=yhat, yhat_lower=yhat - spread, yhat_upper=yhat + spread)
-
-    return rows.groupBy(*keys).applyInPandas(
-        solve, f"{fields}, ds date, modelo string, yhat double, yhat_lower double, yhat_upper double")
+    return gram.spread(rows, *keys).groupBy(*keys).applyInPandas(run, f"{fields}, ds date, modelo string, yhat double")
 
 
 # --- cross-validation over time ----------------------------------------------------------------
@@ -354,32 +237,13 @@ def fold_pairs(daily: DataFrame, models: Iterable[str] = ("arima", "prophet", "r
         rows = checkpointed(features_through(train, days))
         seen = usable(rows.where(~F.col("futuro")))
         ahead = rows.where("futuro").join(test.select("serie", "ds"), ["serie", "ds"], "left_semi")
-        if "ridge" in kinds:
-            preds.append(ridge_by_series(seen, ahead, **params.get("ridge", {})))
-            kinds.remove("ridge")
-    if kinds:
-        groups = [r[0] for r in span.select("serie").orderBy("serie").collect()]  # call types x folds
-        for kind in kinds:
-            preds += fit_groups(seen, ahead, groups, kind, **params.get(kind, {}))
+        preds += [by_key(seen, ahead, kind, **params.get(kind, {})) for kind in kinds]
     out = functools.reduce(DataFrame.unionByName, preds)
     parts = F.split("serie", "#", 2)
     return out.join(test.select("serie", "ds", "y"), ["serie", "ds"]).select(
         parts[1].alias("serie"), parts[0].cast("int").alias("fold"), "ds", "y", "modelo", "yhat")
 
 
-def fit_groups(seen: DataFrame, ahead: DataFrame, groups: list[str], kind: str, threads: int = 8,
-               keep: Iterable[str] = ("serie", "ds"), **params) -> list[DataFrame]:
-    """One fitted model per group, several fits in flight at a time, as Spark's own cross-validator does."""
-    from multiprocessing.pool import ThreadPool
-
-    def one(g: str) -> DataFrame:
-        model = fit(seen.where(F.col("serie") == g), kind, **params)
-        return predict(model, ahead.where(F.col("serie") == g), kind, keep=keep)
-
-    with ThreadPool(threads) as pool:
-        return pool.map(one, groups)
-
-
 def temporal_cv(pairs: DataFrame) -> DataFrame:
     """Pooled error metrics of the folds per series and model."""
     return ensemble.evaluate_folds(pairs)
@@ -388,13 +252,15 @@ def temporal_cv(pairs: DataFrame) -> DataFrame:
 # --- the combined forecast ---------------------------------------------------------------------
 
 
-def predictions(daily: DataFrame, days: DataFrame, types: Iterable[str],
+def predictions(daily: DataFrame, days: DataFrame, types: Iterable[str] | None = None,
                 models: Iterable[str] = ("arima", "prophet", "random_forest", "gradient_boosting", "ridge"),
                 params: Mapping[str, dict] | None = None) -> DataFrame:
-    """(serie, ds, modelo, yhat) of every model refitted on the whole history."""
+    """(serie, ds, modelo, yhat) of every model refitted on the whole history; of the call types given, or of all."""
     from callstrata.session import checkpointed
 
     models, params, preds = list(models), params or {}, []
+    if types is not None:
+        daily, days = (x.where(F.col("serie").isin(*types)) for x in (daily, days))
     if "arima" in models:
         preds.append(ar_forecast(daily, best_ar(ar_candidates(daily)), days))
     if "prophet" in models:
@@ -403,7 +269,5 @@ def predictions(daily: DataFrame, days: DataFrame, types: Iterable[str],
     if kinds:
         rows = checkpointed(features_through(daily, days))
         seen, ahead = usable(rows.where(~F.col("futuro"))), rows.where("futuro")
-        for kind in kinds:
-            preds += ([ridge_by_series(seen, ahead, **params.get(kind, {}))] if kind == "ridge"
-                      else fit_groups(seen, ahead, list(types), kind, **params.get(kind, {})))
+        preds += [by_key(seen, ahead, kind, **params.get(kind, {})) for kind in kinds]
     return functools.reduce(DataFrame.unionByName, preds)

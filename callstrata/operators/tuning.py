@@ -1,7 +1,7 @@
-"""Hyper-parameter search over expanding time folds, with pyspark.ml estimators.
+"""Hyper-parameter search over expanding time folds.
 
-Fits are submitted from a small thread pool and run on the cluster, as Spark's
-own cross-validator does; the driver keeps one error figure per fit.
+All combinations of all folds and series are fitted in one job per family: linear kinds from the moments of the
+folds, tree kinds from grouped rows. Nothing but the list of combinations passes through the driver.
 """
 
 from __future__ import annotations
@@ -10,16 +10,14 @@ import itertools
 import math
 import random
 from collections.abc import Iterable, Mapping
-from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callstrata.operators import models
-from callstrata.operators.ensemble import expanding_folds
-from callstrata.operators.features import TRAIN_COLS
-from callstrata.session import checkpointed
+from callstrata.operators import gram, models, trees
 
+# Combinations drawn by a random search, and per kind by a comparison.
+DRAWS, DRAWS_EACH = 100, 30
 # Parameter grids; unlimited depth is Spark's largest, 30.
 GRID = {
     "random_forest": {"numTrees": [50, 100, 200, 300], "maxDepth": [5, 10, 15, 20, 30], "minInstancesPerNode": [1, 2, 4],
@@ -71,27 +69,39 @@ def sampled(space: Mapping[str, list], n: int, seed: int = 42) -> list[dict]:
     return out
 
 
-def search(feat: DataFrame, kind: str, combos: list[dict], types: Iterable[str], k: int = 5, threads: int = 8) -> DataFrame:
-    """(serie, modelo, combinacion, parametros, fold, n, mse_train, mse_test) for every combination and fold."""
-    spark = feat.sparkSession
-    folds = checkpointed(expanding_folds(feat.select("serie", "ds", "y", *TRAIN_COLS), k, min_rows=0))
+#: Settings that a kind knows beside those of its ranges.
+KNOWN = {"linear": ("alpha", "maxIter"), "ridge": ("alpha", "maxIter"), "lasso": ("alpha", "maxIter"), "elastic_net": ("alpha", "l1_ratio", "maxIter"),
+         **{kind: tuple(given) for kind, given in trees.DEFAULTS.items()}}
 
-    def mse(model, rows) -> float:
-        return model.transform(rows).agg(F.avg(F.pow(F.col("y") - F.col("prediction"), 2))).first()[0]
 
-    def one(job):
-        t, fold, i, combo = job
-        rows = folds.where((F.col("serie") == t) & (F.col("fold") == fold))
-        train, test = rows.where("parte = 'train'"), rows.where("parte = 'test'")
-        n = train.count()
-        model = models.fit(train, kind, **combo)
-        return (t, kind, i, {a: str(b) for a, b in combo.items()}, fold, n, float(mse(model, train)), float(mse(model, test)))
+def fault(kind: str, combos: list[dict]) -> str | None:
+    """Why a kind cannot be fitted with these combinations, or None."""
+    if kind not in KNOWN:
+        return f"unknown model: {kind}"
+    unknown = sorted({name for combo in combos for name in combo} - set(KNOWN[kind]))
+    return f"unknown settings of {kind}: {', '.join(unknown)}" if unknown else None if combos else f"no combination of {kind}"
 
-    jobs = [(t, f, i, c) for t in types for f in range(k) for i, c in enumerate(combos)]
-    with ThreadPool(threads) as pool:
-        done = pool.map(one, jobs, chunksize=1)
-    return spark.createDataFrame(done, "serie string, modelo string, combinacion int, parametros map<string,string>, "
-                                       "fold int, n bigint, mse_train double, mse_test double")
+
+def search_all(feat: DataFrame, combos: Mapping[str, list[dict]], types: Iterable[str] | None = None, k: int = 5) -> DataFrame:
+    """(serie, modelo, combinacion, parametros, fold, n, mse_train, mse_test) for every combination of every kind and fold."""
+    for kind, own in combos.items():
+        if why := fault(kind, own):
+            raise ValueError(why)
+    if types is not None:
+        feat = feat.where(F.col("serie").isin(*types))
+    linear = {kind: own for kind, own in combos.items() if kind in models.LINEAR_KINDS}
+    grown = {kind: own for kind, own in combos.items() if kind in models.TREE_KINDS}
+    parts = ([gram.search(feat, linear, k)] if linear else []) + ([trees.search(feat, grown, k)] if grown else [])
+    done = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    named = [(kind, i, {a: str(b) for a, b in combo.items()}) for kind, own in combos.items() for i, combo in enumerate(own)]
+    names = feat.sparkSession.createDataFrame(named, "modelo string, combinacion int, parametros map<string,string>")
+    return done.join(F.broadcast(names), ["modelo", "combinacion"]).select(
+        "serie", "modelo", "combinacion", "parametros", "fold", "n", "mse_train", "mse_test")
+
+
+def search(feat: DataFrame, kind: str, combos: list[dict], types: Iterable[str] | None = None, k: int = 5) -> DataFrame:
+    """``search_all`` for one kind."""
+    return search_all(feat, {kind: combos}, types, k)
 
 
 def search_summary(results: DataFrame) -> DataFrame:
@@ -104,33 +114,37 @@ def search_summary(results: DataFrame) -> DataFrame:
                             "puesto": F.row_number().over(w.orderBy(F.desc("score"), "combinacion"))})
 
 
-def grid_search(feat: DataFrame, kind: str, types: Iterable[str], k: int = 5, grid: Mapping[str, list] | None = None) -> DataFrame:
+def grid_search(feat: DataFrame, kind: str, types: Iterable[str] | None = None, k: int = 5, grid: Mapping[str, list] | None = None) -> DataFrame:
     """Every combination of the grid, ranked; rank 1 is the best."""
     return search_summary(search(feat, kind, combinations(grid or GRID[kind]), types, k))
 
 
-def random_search(feat: DataFrame, kind: str, types: Iterable[str], n: int, k: int = 5, seed: int = 42,
+def random_search(feat: DataFrame, kind: str, types: Iterable[str] | None = None, n: int = DRAWS, k: int = 5, seed: int = 42,
                   space: Mapping[str, list] | None = None) -> DataFrame:
     """``n`` seeded combinations of the space, ranked."""
     return search_summary(search(feat, kind, sampled(space or SPACE[kind], n, seed), types, k))
 
 
-def compare_models(feat: DataFrame, kinds: Iterable[str], types: Iterable[str], n: int = 3, k: int = 5) -> DataFrame:
-    """Best combination of every model kind, best model first; a kind that fails is left out."""
-    types, tables = list(types), []
-    for kind in kinds:
-        try:
-            tables.append(random_search(feat, kind, types, n, k).where("puesto = 1"))
-        except Exception as e:  # a model that cannot be fitted must not end the comparison
-            print(f"compare_models: {kind} skipped: {e}")
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    w = Window.partitionBy("serie").orderBy(F.desc("score"), "modelo")
-    return out.drop("puesto").withColumn("puesto", F.row_number().over(w))
-
-
-def validation_curve(feat: DataFrame, kind: str, param: str, values: list, types: Iterable[str], k: int = 5) -> DataFrame:
+def compare_models(feat: DataFrame, kinds: Iterable[str] = tuple(SPACE), types: Iterable[str] | None = None, n: int = DRAWS_EACH, k: int = 5,
+                   seed: int = 42) -> DataFrame:
+    """Best of ``n`` drawn combinations of every kind, best kind first. A kind that cannot be fitted comes last, with the reason in ``error``."""
+    drawn = {kind: sampled(SPACE[kind], n, seed) if kind in SPACE else [] for kind in dict.fromkeys(kinds)}
+    faults = [(kind, why) for kind, own in drawn.items() if (why := fault(kind, own))]
+    fitted = {kind: own for kind, own in drawn.items() if kind not in dict(faults)}
+    spark, shape = feat.sparkSession, "serie string, modelo string, combinacion int, parametros map<string,string>, score double, rmse double, folds bigint, combinaciones bigint"
+    best = spark.createDataFrame([], shape)
+    if fitted:
+        best = search_summary(search_all(feat, fitted, types, k)).where("puesto = 1").drop("puesto")
+    out = best.withColumn("error", F.lit(None).cast("string"))
+    if faults:
+        series = feat.select("serie").distinct() if types is None else feat.where(F.col("serie").isin(*types)).select("serie").distinct()
+        failed = series.withColumn("f", F.explode(F.array(*[F.struct(F.lit(kind).alias("modelo"), F.lit(why).alias("error")) for kind, why in faults])))
+        out = out.unionByName(failed.select("serie", "f.modelo", "f.error"), allowMissingColumns=True)
+    w = Window.partitionBy("serie").orderBy(F.desc_nulls_last("score"), "modelo")
+    return out.withColumn("puesto", F.row_number().over(w))
+
+
+def validation_curve(feat: DataFrame, kind: str, param: str, values: list, types: Iterable[str] | None = None, k: int = 5) -> DataFrame:
     """Mean and deviation of the training and validation error for each value, and the best value."""
     res = search(feat, kind, [{param: v} for v in values], types, k)
     value = F.element_at("parametros", F.lit(param)).cast("double")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from callstrata.operators import alerts, audit, calendar, cleaning, ensemble, mapping, models, scoring, segment
 from callstrata.session import checkpointed
-from callstrata.sources import sinks
+from callstrata.sources import runs, sinks
 from callstrata.sources.calls import typed_calls
 from callstrata.sources.holidays import holiday_dim
 
@@ -53,19 +53,25 @@ def analyse(raw: DataFrame, as_of: str, names: dict[str, str] | None = None, hol
     daily = checkpointed(cleaning.min_rows(every, min_rows).drop("n_filas"))
     skipped = every.groupBy("serie").agg(F.count(F.lit(1)).alias("dias")).where(F.col("dias") < min_rows)
     train = checkpointed(calendar.training_mask(daily, hol).select("serie", "ds", "y", models.MASK))
-    types = [r[0] for r in daily.select("serie").distinct().orderBy("serie").collect()]  # the call types
 
     pairs = checkpointed(models.fold_pairs(train, model_names))
     metrics = checkpointed(models.temporal_cv(pairs))
     weights = checkpointed(ensemble.ensemble_weights(metrics))
     ahead = calendar.future_days(daily, days, business)
-    preds = checkpointed(models.predictions(train, ahead, types, model_names))
+    preds = checkpointed(models.predictions(train, ahead, models=model_names))
     forecast = checkpointed(ensemble.forecast_table(preds, weights, model_names))
     found = checkpointed(alerts.demand_alerts(forecast, daily))
     return Outcome(audit.audit_summary(calls), daily, metrics, weights, forecast, found,
                    scoring.performance(weights, forecast, found), skipped)
 
 
+def commit(out: Outcome, root: str, run: str) -> DataFrame:
+    """The tables of a run behind the commit log of a results folder; its rows of the log."""
+    tables = {"diario": out.daily, "pronostico": out.forecast, "auditoria": out.audit, "metricas": out.metrics, "pesos": out.weights,
+              "alertas": out.alerts, "performance": out.performance, "omitidas": out.skipped}
+    return runs.write_run(out.daily.sparkSession, root, run, tables)
+
+
 def write(out: Outcome, root: str) -> str:
     """The tables of a run under one folder: series and forecast as CSV by call type, the rest as JSON."""
     sinks.write_csv(out.daily, f"{root}/diario", by="serie")

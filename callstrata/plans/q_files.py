@@ -10,7 +10,7 @@ from callstrata.plans.fixtures import Views
 from callstrata.plans.registry import query
 from callstrata.session import shared_dir
 from callstrata.sources import calls as src
-from callstrata.sources import sinks
+from callstrata.sources import runs, sinks
 from callstrata.sources.holidays import NATIONAL_HOLIDAYS, holiday_dim
 
 
@@ -120,6 +120,34 @@ def _(v: Views):
     return src.file_inventory(v.spark, root).select("nombre", "bytes", "modificado")
 
 
+def _killed(df, root: str) -> None:
+    """What a run leaves that ended before its commit."""
+    df.write.mode("append").json(f"{root}/data/20991231/killed/pronostico")
+
+
+@query("run_inventory", """SELECT corrida, tabla, filas FROM (SELECT '20010701' AS corrida, 'diario' AS tabla, count(*) AS filas FROM daily UNION ALL
+  SELECT '20010701', 'pronostico', count(*) FROM forecast UNION ALL SELECT '20010801', 'pronostico', count(*) FROM forecast WHERE modelo='media_dow')""")
+def _(v: Views):
+    """Tables and rows of the committed runs, from the log; one run was killed and one was repeated."""
+    root = shared_dir(v.spark, "runs")
+    runs.write_run(v.spark, root, "20010801", {"pronostico": v.forecast.limit(3)})
+    runs.write_run(v.spark, root, "20010701", {"diario": v.daily, "pronostico": v.forecast}, "parquet", {"diario": "serie"})
+    runs.write_run(v.spark, root, "20010801", {"pronostico": v.forecast.where("modelo = 'media_dow'")}, "csv")
+    _killed(v.forecast, root)
+    return runs.inventory(v.spark, root).select("corrida", "tabla", "filas")
+
+
+@query("run_latest", "SELECT serie, ds, yhat FROM forecast WHERE modelo='media_dow'", dbl="yhat")
+def _(v: Views):
+    """The table of the run committed last, whatever a killed run has left."""
+    root, schema = shared_dir(v.spark, "runs"), "serie string, ds date, modelo string, yhat double"
+    fc = v.forecast.select("serie", "ds", "modelo", F.col("yhat").cast("double").alias("yhat"))
+    runs.write_run(v.spark, root, "20010701", {"pronostico": fc.where("modelo = 'media'")})
+    runs.write_run(v.spark, root, "20010801", {"pronostico": fc.where("modelo = 'media_dow'")})
+    _killed(fc, root)
+    return runs.read_run(v.spark, root, "pronostico", schema).select("serie", "ds", "yhat")
+
+
 @query("sink_csv", "SELECT tipo_llamada, CAST(FECHA AS DATE) AS ds, count(*) AS n FROM seg GROUP BY 1,2")
 def _(v: Views):
     per_day = v.seg.groupBy("tipo_llamada", F.to_date("FECHA").alias("ds")).agg(rows().alias("n"))

@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callstrata.operators import calendar, ensemble, features, models, tuning
+from callstrata.functions import quantiles
+from callstrata.operators import calendar, ensemble, features, gram, models, tuning
 from callstrata.plans.fixtures import Views
 from callstrata.plans.q_insight import _CAL, _CYC, _CYC_COLS, _LAGS, _ROLL_COLS, _roll
 from callstrata.plans.registry import query
 from callstrata.session import checkpointed, shared_dir
 from callstrata.sources.sinks import save_model
 
-TYPES = ["in", "out"]
-
 
 def _feat(v: Views):
     return checkpointed(features.training_features(v.daily))
 
 
 def _scored(v: Views, kind: str, **params):
-    return ensemble.error_metrics(models.train_and_score(_feat(v), kind, TYPES, **params))
+    return ensemble.error_metrics(models.train_and_score(_feat(v), kind, **params))
 
 
 def _win_sql(src: str) -> str:
@@ -70,7 +72,7 @@ def _(v: Views):
     feat = _feat(v)
     out = None
     for kind, params in (("linear", {}), ("lasso", {"alpha": 0.1}), ("elastic_net", {"alpha": 0.1}), ("decision_tree", {})):
-        part = models.train_and_score(feat, kind, TYPES, **params)
+        part = models.train_and_score(feat, kind, **params)
         out = part if out is None else out.unionByName(part)
     return ensemble.error_metrics(out)
 
@@ -98,9 +100,25 @@ def _(v: Views):
     return _scaled(v, "minmax")
 
 
-@query("scale_robust")
+def _q(c: str, p: float) -> str:
+    return f"quantile_cont({c}::DOUBLE, {p}) AS {c}_{int(p * 100)}"
+
+
+_QUARTILES = "SELECT " + ", ".join(_q(c, p) for c in _SC.split() for p in (0.25, 0.5, 0.75)) + f" FROM ({_win_sql('daily')})"
+
+
+@query("scale_robust", "SELECT serie, ds, " + ", ".join(f"({c}-{c}_50)/({c}_75-{c}_25) AS {c}" for c in _SC.split())
+       + f" FROM ({_win_sql('daily')}), ({_QUARTILES})", dbl=_SC)
+def _(v: Views):
+    """By exact medians and quartiles."""
+    return quantiles.robust_scaled(_feat(v), _SC.split()).select("serie", "ds", *_SC.split())
+
+
+@query("exact_quantiles", "SELECT columna, prob, valor FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS columna, {p}::DOUBLE AS prob, quantile_cont({c}::DOUBLE, {p}) AS valor FROM {t}" for c, t in (("value", "events"), ("user_id", "events"))
+    for p in (0.0, 0.01, 0.5, 0.9, 1.0)) + ")", dbl="prob valor")
 def _(v: Views):
-    return _scaled(v, "robust")
+    return quantiles.exact_quantiles(v.events, ["value", "user_id"], (0.0, 0.01, 0.5, 0.9, 1.0))
 
 
 @query("fit_ar")
@@ -116,8 +134,11 @@ def _(v: Views):
     return models.trend_season(v.daily_table, calendar.future_days(v.daily_table, 28), hol=v.hol_long)
 
 
+ALL_MODELS = ("arima", "prophet", "random_forest", "gradient_boosting", "ridge")
+
+
 def _cv(v: Views):
-    return checkpointed(models.fold_pairs(v.daily_table, ("arima", "prophet", "ridge")))
+    return checkpointed(models.fold_pairs(v.daily_table, ALL_MODELS))
 
 
 @query("fold_pairs")
@@ -133,21 +154,19 @@ def _(v: Views):
 @query("forecast_ensemble")
 def _(v: Views):
     """Cross-validated weights, every model refitted on the whole history, and their weighted 28 days."""
-    names = ["arima", "prophet", "ridge"]
     weights = checkpointed(ensemble.ensemble_weights(ensemble.error_metrics(_cv(v))))
     days = calendar.future_days(v.daily_table, 28, business=True)
-    preds = checkpointed(models.predictions(v.daily_table, days, TYPES, names))
-    return ensemble.forecast_table(preds, weights, names)
+    preds = checkpointed(models.predictions(v.daily_table, days, models=ALL_MODELS))
+    return ensemble.forecast_table(preds, weights, ALL_MODELS)
 
 
 @query("forecast_ensemble_trees")
 def _(v: Views):
-    """The same with a random forest beside the per-series models; weights from its own folds."""
-    names = ["arima", "prophet", "random_forest"]
-    params = {"random_forest": {"numTrees": 100, "maxDepth": 10}}
-    pairs = checkpointed(models.fold_pairs(v.daily_table, names, params=params))
+    """All calendar days ahead by the per-series models and both tree models; weights from their own folds."""
+    names = ["arima", "prophet", "random_forest", "gradient_boosting"]
+    pairs = checkpointed(models.fold_pairs(v.daily_table, names))
     weights = checkpointed(ensemble.ensemble_weights(ensemble.error_metrics(pairs)))
-    preds = checkpointed(models.predictions(v.daily_table, calendar.future_days(v.daily_table, 28), TYPES, names, params))
+    preds = checkpointed(models.predictions(v.daily_table, calendar.future_days(v.daily_table, 28), models=names))
     return ensemble.forecast_table(preds, weights, names)
 
 
@@ -160,44 +179,83 @@ def _(v: Views):
 
 @query("grid_search")
 def _(v: Views):
-    return tuning.grid_search(_feat(v), "ridge", TYPES)
+    """The whole grid of every linear kind, and of the boosted trees."""
+    feat = _feat(v)
+    parts = [tuning.grid_search(feat, kind) for kind in ("ridge", "lasso", "elastic_net", "gradient_boosting")]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("grid_search_forest")
+def _(v: Views):
+    return tuning.grid_search(_feat(v), "random_forest")
 
 
 @query("random_search")
 def _(v: Views):
-    return tuning.random_search(_feat(v), "elastic_net", TYPES, n=5)
+    return tuning.random_search(_feat(v), "elastic_net")
+
+
+@query("random_search_trees")
+def _(v: Views):
+    return tuning.random_search(_feat(v), "gradient_boosting", n=50)
 
 
 @query("compare_models")
 def _(v: Views):
-    return tuning.compare_models(_feat(v), ["ridge", "lasso", "elastic_net"], TYPES, n=2)
+    return tuning.compare_models(_feat(v))
 
 
 @query("validation_curve")
 def _(v: Views):
-    return tuning.validation_curve(_feat(v), "ridge", "alpha", [0.1, 1.0, 10.0, 100.0], TYPES)
+    """Error by penalty of the ridge and by depth of the forest."""
+    feat = _feat(v)
+    curves = [tuning.validation_curve(feat, "ridge", "alpha", tuning.SPACE["ridge"]["alpha"]).withColumn("modelo", F.lit("ridge")),
+              tuning.validation_curve(feat, "random_forest", "maxDepth", tuning.GRID["random_forest"]["maxDepth"]).withColumn("modelo", F.lit("random_forest"))]
+    return functools.reduce(DataFrame.unionByName, curves)
+
 
+_FEATURES = f"({_win_sql('daily')})"
 
-@query("sink_models")
+
+@query("sink_models", f"SELECT serie, count(*) AS filas, 0 AS distintas FROM {_FEATURES} GROUP BY serie")
+def _(v: Views):
+    """A ridge of every series, written as a table of coefficients, read back and applied: rows whose prediction differs from the unsaved model's."""
+    feat = _feat(v)
+    fitted = checkpointed(gram.coefficients(feat, "ridge"))
+    path = shared_dir(v.spark, "model")
+    fitted.write.parquet(path)
+    both = gram.apply(fitted, feat).withColumnRenamed("yhat", "antes").join(
+        gram.apply(v.spark.read.parquet(path), feat).select("serie", "ds", "yhat"), ["serie", "ds"])
+    return both.groupBy("serie").agg(F.count("*").alias("filas"), F.count_if(~F.col("antes").eqNullSafe(F.col("yhat"))).cast("int").alias("distintas"))
+
+
+@query("saved_pipelines", f"SELECT serie, count(*) AS filas, 0 AS distintas FROM {_FEATURES} GROUP BY serie")
 def _(v: Views):
-    """A fitted model written, read back and applied."""
+    """A pyspark.ml pipeline per series of the data, saved, loaded and applied beside the one in memory."""
     from pyspark.ml import PipelineModel
-    feat = _feat(v).where("serie = 'in'")
-    path = save_model(models.fit(feat, "ridge"), shared_dir(v.spark, "model"))
-    return models.predict(PipelineModel.load(path), feat, "ridge")
+
+    feat, parts = _feat(v), []
+    for serie in [r[0] for r in feat.select("serie").distinct().orderBy("serie").collect()]:  # call types
+        own = feat.where(F.col("serie") == serie)
+        model = models.fit(own, "ridge")
+        loaded = PipelineModel.load(save_model(model, shared_dir(v.spark, "model")))
+        pair = models.predict(model, own, "antes").join(models.predict(loaded, own, "luego").select("ds", F.col("yhat").alias("luego")), "ds")
+        parts.append(pair.groupBy("serie").agg(F.count("*").alias("filas"), F.count_if(F.col("yhat") != F.col("luego")).cast("int").alias("distintas")))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query("full_run")
 def _(v: Views):
-    """A landed text log taken through every stage, without the slow tree models; the scores per call type."""
+    """A landed text log taken through every stage with all models; the scores per call type."""
     from callstrata.plans import complete_run
     from callstrata.plans.fixtures import AS_OF_LONG
     from callstrata.sources import calls as src
-    from callstrata.sources import sinks
+    from callstrata.sources import runs, sinks
 
     log = v.calls_long.select(F.date_format("FECHA", "dd-MM-yyyy HH:mm:ss").alias("fecha_llamada"), F.col("TELEFONO").alias("numero"),
                               "SENTIDO", "ATENDIDA")
     raw = src.read_calls(v.spark, sinks.write_csv(log, shared_dir(v.spark, "log"), sep=";"))
-    out = complete_run.analyse(raw, AS_OF_LONG, {"FECHA": "fecha_llamada", "TELEFONO": "numero"}, v.hol_long, ("arima", "prophet", "ridge"))
-    root = complete_run.write(out, shared_dir(v.spark, "run"))
-    return v.spark.read.schema(out.performance.schema).json(f"{root}/performance")
+    out = complete_run.analyse(raw, AS_OF_LONG, {"FECHA": "fecha_llamada", "TELEFONO": "numero"}, v.hol_long)
+    root = shared_dir(v.spark, "run")
+    complete_run.commit(out, root, AS_OF_LONG)
+    return runs.read_run(v.spark, root, "performance", out.performance.schema)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callstrata.plans.fixtures import AS_OF_CALLS, Views
+from callstrata.plans.q_insight import _RATE, _block_sql
 from callstrata.plans.registry import query
 from callstrata.session import shared_dir
-from callstrata.streaming import jobs
+from callstrata.streaming import jobs, limits
 
 
 def _stream(v: Views, table, ts: str):
@@ -65,3 +66,14 @@ def _(v: Views):
     log = v.events.select("user_id", "ts")
     out = jobs.run_to_table(jobs.sessions(_stream(v, log, "ts"), "user_id", "ts"), shared_dir(v.spark, "sessions"))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("inicio", "cierre")})
+
+
+_CLOSED = "(s // 60 + 1) * 60 * 1000 <= (SELECT epoch_ms(max(created_at)) FROM api_calls) - 600000"
+
+
+@query("stream_limits", f"""SELECT r.*, acumulado, minutos_bloqueo, hasta_s FROM ({_RATE}) r LEFT JOIN (SELECT clave, s, acumulado, minutos_bloqueo, hasta_s FROM ({_block_sql(10, 1, 5)})) b
+  USING (clave, s) WHERE {_CLOSED}""")
+def _(v: Views):
+    """Trailing counts, violations and blocks by keyed state and timers, of the seconds that the watermark has passed."""
+    log = v.api_calls.select("endpoint", "created_at")
+    return limits.run(limits.limit_stream(_stream(v, log, "created_at"), "endpoint", "created_at", minute=1, hour=5), shared_dir(v.spark, "limits"))

@@ -227,8 +227,9 @@ def test_random_draws_are_seeded_and_distinct():
 
 def test_compare_models_ranks_each_kind_once(planted):
     feat = features.training_features(planted.where("serie = 'in'"))
-    out = tuning.compare_models(feat, ["ridge", "lasso", "not_a_model"], ["in"], n=1, k=2)
-    assert sorted(r["modelo"] for r in out.collect()) == ["lasso", "ridge"]
+    out = tuning.compare_models(feat, ["ridge", "lasso", "not_a_model"], ["in"], n=1, k=2).orderBy("puesto").collect()
+    assert sorted(r["modelo"] for r in out[:2]) == ["lasso", "ridge"] and all(r["error"] is None for r in out[:2])
+    assert len(out) == 3 and out[2]["modelo"] == "not_a_model" and "not_a_model" in out[2]["error"] and out[2]["score"] is None
 
 
 def test_model_survives_a_round_trip(spark, planted, tmp_path):

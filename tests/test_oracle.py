@@ -6,16 +6,13 @@ from oracle_check import compare
 
 from callstrata.plans import catalog
 
-# Long fits; covered on planted series in test_models.
-SLOW = {"train_gbt", "forecast_ensemble_trees", "random_search", "compare_models", "grid_search", "validation_curve"}
-
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_matches_sql(name, spark, con):
     assert compare(spark, con, catalog.QUERIES[name], catalog.ORACLES[name], SF) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(name, spark):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
