@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from callstrata.llm.text import batches_of_bytes, byte_words, read, staged
 
-EXAMPLES = (6_000, 2_000)
+EXAMPLES = (3_000, 1_500)
 POSTINGS = 4_000_000
 MARKS = 1024
 LIFT = 3.0
@@ -46,6 +46,8 @@ FOLDS = 4
 THRESHOLD = 0.7
 #: Examples of a block of the index; terms whose postings are bounded by blocks, and the share of the examples that makes a term frequent.
 BLOCK, FREQUENT, SHARE = 32, 512, 1 / 32
+#: Texts that are searched together.
+CHUNK = 64
 #: Rows below which an amount of evidence has no fit of its own.
 LEAST_ROWS = 20
 
@@ -255,37 +257,63 @@ class Index:
         self.start = np.concatenate([[0], np.cumsum(np.bincount(flat[~heavy], minlength=len(idf)))])
         self.nos, self.weight, self.width = owner[~heavy][rare], weight[~heavy][rare], width
         self.idf = idf
-
-    def opened(self, terms: np.ndarray, counts: np.ndarray) -> tuple:
-        """What a text's searches share: sums over its rarer terms, and its frequent terms."""
-        w = weighed(counts.astype(float), self.idf[terms])
-        row = self.row[terms]
-        t, v = terms[row < 0], w[row < 0]
-        first, size = self.start[t], self.start[t + 1] - self.start[t]
-        at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-        part = np.bincount(self.nos[at], self.weight[at] * np.repeat(v, size), self.width)
-        row, v = row[row >= 0], w[row >= 0]
-        return part, row, v, np.repeat(v @ self.bound[row], BLOCK)
-
-    def nearest(self, opened: tuple, k: int, barred: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers (as given) and cosines of the k nearest examples with a positive cosine that are not barred, nearest first, ties to the smaller hash."""
-        part, row, v, more = opened
-        upper = part + more
-        upper[self.n:] = 0.0
-        if barred is not None:
-            upper[:self.n][barred[self.old]] = 0.0
-        tried = np.argpartition(upper, len(upper) - min(len(upper), 2 * k))[-min(len(upper), 2 * k):]
-        least = 0.0
-        if len(tried) >= k:
-            some = part[tried] + v @ self.dense[np.ix_(row, tried)]
-            some[upper[tried] <= 0] = 0.0
-            least = np.partition(some, len(some) - k)[len(some) - k]
-        nos = np.flatnonzero((upper > 0) & (upper >= least - 1e-11))
-        scores = part[nos] + (v @ self.dense[np.ix_(row, nos)] if len(nos) < self.n // 3 else (v @ self.dense[row])[nos])
-        scores = np.round(scores, 12)
-        best = np.lexsort((self.rank[nos], -scores))[:k]
-        best = best[scores[best] > 0]
-        return self.old[nos[best]], scores[best]
+        self.opened_blocks = self.all_blocks = 0
+
+    def barred(self, folds: np.ndarray, *without: int) -> np.ndarray:
+        """Places of the index that a search must not find: those of the folds, and the padding."""
+        out = np.ones(self.width, bool)
+        out[:self.n] = np.isin(folds[self.old], without)
+        return out
+
+    def opened(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What all searches of these texts (terms, counts) share: sums over their rarer terms, weights of their frequent
+        terms, and what the frequent ones can add to each block at most."""
+        part, often = np.zeros((len(texts), self.width)), np.zeros((len(texts), len(self.dense)))
+        for k, (terms, counts) in enumerate(texts):
+            w = weighed(counts.astype(float), self.idf[terms])
+            row = self.row[terms]
+            rare = row < 0
+            often[k, row[~rare]] = w[~rare]
+            t, v = terms[rare], w[rare]
+            first, size = self.start[t], self.start[t + 1] - self.start[t]
+            at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+            part[k] = np.bincount(self.nos[at], self.weight[at] * np.repeat(v, size), self.width)
+        return part, often, often @ self.bound
+
+    def nearest(self, opened: tuple, k: int, barred: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per text the numbers (as given) and cosines of the k nearest examples with a positive cosine that are not barred (texts x
+        places), nearest first, ties to the smaller hash.
+
+        The blocks of the highest bounds are added up first; then those that may still hold one of the k best of any text. Texts that
+        are searched together should be alike, so that they need the same blocks.
+        """
+        part, often, more = opened
+        m, n_blocks = more.shape
+        free = np.where(barred, -1.0, part)
+        top = free.reshape(m, n_blocks, BLOCK).max(axis=2)
+        bound = np.where(top < 0, -1.0, top + more)
+        scores = np.full((m, self.width), -1.0)
+        done = np.zeros(n_blocks, bool)
+        ahead = min(n_blocks, -(-2 * k // BLOCK) + 2)
+        wanted = np.zeros(n_blocks, bool)
+        wanted[np.argpartition(bound, n_blocks - ahead, axis=1)[:, n_blocks - ahead:]] = True
+        while wanted.any():
+            blocks = np.flatnonzero(wanted)
+            at = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            full = len(blocks) > n_blocks // 2
+            sums = often @ self.dense if full else often @ self.dense[:, at]
+            scores[:, at] = np.where(barred[:, at], -1.0, part[:, at] + (sums[:, at] if full else sums))
+            done[blocks] = True
+            least = np.partition(scores, self.width - k, axis=1)[:, self.width - k] if self.width > k else np.full(m, -1.0)
+            wanted = (bound >= np.maximum(least, 0.0)[:, None] - 1e-11).any(axis=0) & ~done
+        self.opened_blocks, self.all_blocks = self.opened_blocks + int(done.sum()), self.all_blocks + n_blocks
+        out = []
+        for row, floor in zip(scores, least, strict=True):
+            nos = np.flatnonzero(row >= max(floor - 1e-11, 1e-12))
+            cos = np.round(row[nos], 12)
+            best = np.lexsort((self.rank[nos], -cos))[:k]
+            out.append((self.old[nos[best]], cos[best]))
+        return out
 
 
 # --- votes and fits ----------------------------------------------------------------------------
@@ -328,15 +356,27 @@ class Judge:
         self.__dict__.update(plain)
         cuts = np.cumsum(self.sizes)[:-1]
         self.index = Index(np.split(self.terms, cuts), np.split(self.counts, cuts), self.idf, self.key)
-
-    def opened(self, terms: np.ndarray, counts: np.ndarray) -> tuple:
-        return self.index.opened(terms, counts)
-
-    def facts(self, opened: tuple, terms: np.ndarray, counts: np.ndarray, other: int, model: int, without: int | None = None) -> tuple[np.ndarray, float, int]:
-        """The nearest examples of a model, the feature (log odds of the vote and of the marks) and the amount of evidence:
-        0 without a mark, 1 for one occurrence of one, which may be chance, 2 for more, 3 for examples with the very vector, which alone vote."""
-        barred = (self.fold == model) | (self.fold == (model if without is None else without))
-        near, cos = self.index.nearest(opened, self.k, barred)
+        self.masks: dict[tuple[int, int], np.ndarray] = {}
+
+    def lead(self, text: tuple) -> tuple[int, int]:
+        """The frequent term that weighs most in a text, and its model."""
+        row = self.index.row[text[0]]
+        often = row >= 0
+        w = (1.0 + np.log(text[1][often])) * self.idf[text[0][often]]
+        return (int(row[often][w.argmax()]) if len(w) else -1), text[-1]
+
+    def facts(self, texts: list[tuple[np.ndarray, np.ndarray, int, int]], without: list[int] | None = None, opened: tuple | None = None) -> list[tuple[np.ndarray, float, int]]:
+        """For texts (terms, counts, other words, model): the nearest examples, the feature (log odds of the vote and of the marks) and the amount of
+        evidence: 0 without a mark, 1 for one occurrence of one, which may be chance, 2 for more, 3 for examples with the very vector,
+        which alone vote. ``without`` names a further fold that must not be found."""
+        keys = [(model, model if without is None else without[k]) for k, (_, _, _, model) in enumerate(texts)]
+        for key in set(keys) - self.masks.keys():
+            self.masks[key] = self.index.barred(self.fold, *key)
+        opened = opened or self.index.opened([t[:2] for t in texts])
+        found = self.index.nearest(opened, self.k, np.stack([self.masks[key] for key in keys]))
+        return [self._judged(*text, *near) for text, near in zip(texts, found, strict=True)]
+
+    def _judged(self, terms, counts, other, model, near, cos) -> tuple[np.ndarray, float, int]:
         weight = self.class_weight[model][self.y[near]]
         same = cos >= 1.0 - 1e-9
         if same.any() and not other:
@@ -347,6 +387,12 @@ class Judge:
         return near, log_odds(vote(cos, self.y[near], weight)) + float(odds[place[ours]].sum()), int(min(2, counts[ours].sum()))
 
 
+def chunks(texts: list[tuple], lead, size: int = CHUNK) -> Iterator[list[int]]:
+    """Numbers of the texts in lists of ``size``, alike ones (by ``lead`` of their terms) next to each other."""
+    order = sorted(range(len(texts)), key=lambda i: lead(texts[i]))
+    yield from (order[k:k + size] for k in range(0, len(order), size))
+
+
 def fitted(rows: list[tuple[int, float, float, int]], amount: int) -> tuple[np.ndarray, np.ndarray]:
     """Monotone fit over the judged examples (y, weight, feature, amount) with this amount of evidence, or over all of them where these are few or of one class."""
     own = [r for r in rows if r[3] == amount]
@@ -395,11 +441,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int
         judge, out = Judge(sent.value), []
         cuts = np.concatenate([[0], np.cumsum(judge.sizes)])
         for batch in batches:
-            for i in batch.column("id").to_pylist():
-                t, c = judge.terms[cuts[i]:cuts[i + 1]], judge.counts[cuts[i]:cuts[i + 1]]
-                if len(t):
-                    opened = judge.opened(t, c)
-                    out += [(m, i, *judge.facts(opened, t, c, 0, m, int(judge.fold[i]))[1:]) for m in models_of() if m != judge.fold[i]]
+            nos = [i for i in batch.column("id").to_pylist() if judge.sizes[i]]
+            texts = [(judge.terms[cuts[i]:cuts[i + 1]], judge.counts[cuts[i]:cuts[i + 1]], 0, FOLDS) for i in nos]
+            for part in chunks(texts, judge.lead):
+                own = [int(judge.fold[nos[j]]) for j in part]
+                opened = judge.index.opened([texts[j][:2] for j in part])
+                for m in models_of():
+                    facts = judge.facts([(*texts[j][:3], m) for j in part], own, opened)
+                    out += [(m, nos[j], *f[1:]) for j, g, f in zip(part, own, facts, strict=True) if m != g]
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.float64(), pa.int32()))], ["model", "no", "x", "amount"])
 
     parts = max(1, -(-len(key) // 500))
@@ -413,32 +462,32 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int
         blank.append(float((sum(e[1] for e in empty) + prior[m]) / (sum(e[0] for e in empty) + 1.0)) if both else prior[m])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge, memo = Judge(sent.value), {}
+        judge, memo, vocab_of = Judge(sent.value), {}, words.value
 
-        def score(t: np.ndarray, c: np.ndarray, other: int, model: int) -> tuple:
-            s, near = blank[model], np.empty(0, np.int64)
-            if len(t) and fits[model]:
-                near, x, amount = judge.facts(judge.opened(t, c), t, c, other, model)
+        def told(text: tuple, near: np.ndarray, x: float, amount: int) -> tuple:
+            model, s = text[3], blank[text[3]]
+            if len(near) and fits[model]:
                 ends, values = fits[model][amount]
-                if len(near):
-                    s = float(values[max(int(np.searchsorted(ends, x, side="right")) - 1, 0)])
-            own = np.isin(t, judge.marks[model][0])
-            return s, ",".join(ids[i] for i in near[:3]), ",".join(sorted(names.get(int(vocab_of[j]), "") for j in t[own]))
+                s = float(values[max(int(np.searchsorted(ends, x, side="right")) - 1, 0)])
+            own = np.isin(text[0], judge.marks[model][0])
+            return s, ",".join(ids[i] for i in near[:3]), ",".join(sorted(names.get(int(vocab_of[j]), "") for j in text[0][own]))
 
-        vocab_of = words.value
         for batch in batches:
-            out: list[list] = [[], [], []]
             columns = [batch.column(c).to_pylist() for c in ("held_out", "fold", "other")]
-            lists = [[x.values.to_numpy() for x in batch.column(c)] for c in ("terms", "counts")]
-            for held, own_fold, other, t, c in zip(*columns, *lists, strict=True):
-                model = FOLDS if held else own_fold
-                seen = hashlib.blake2b(t.tobytes() + c.tobytes() + bytes([model, other > 0]), digest_size=16).digest()
-                if seen not in memo:
-                    if len(memo) > 50_000:
-                        memo.clear()
-                    memo[seen] = score(t.astype(np.int64), c.astype(np.int64), other, model)
-                for column, value in zip(out, memo[seen], strict=True):
-                    column.append(value)
+            lists = [[x.values.to_numpy().astype(np.int64) for x in batch.column(c)] for c in ("terms", "counts")]
+            rows = [(t, c, other, FOLDS if held else own_fold) for held, own_fold, other, t, c in zip(*columns, *lists, strict=True)]
+            keys = [hashlib.blake2b(t.tobytes() + c.tobytes() + bytes([model, other > 0]), digest_size=16).digest() for t, c, other, model in rows]
+            if len(memo) > 50_000:
+                memo.clear()
+            new = list({key: row for key, row in zip(keys, rows, strict=True) if key not in memo}.items())
+            empty = [x for x in new if not len(x[1][0])]
+            memo |= {key: told(row, np.empty(0, np.int64), 0.0, 0) for key, row in empty}
+            new = [x for x in new if len(x[1][0])]
+            texts = [row for _, row in new]
+            for part in chunks(texts, judge.lead):
+                for j, facts in zip(part, judge.facts([texts[j] for j in part]), strict=True):
+                    memo[new[j][0]] = told(texts[j], *facts)
+            out = list(zip(*(memo[key] for key in keys), strict=True)) or [[], [], []]
             predicted = pa.array([int(s >= THRESHOLD) for s in out[0]], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(out[0], pa.float64()), predicted, pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), batch.column("row_key")],
