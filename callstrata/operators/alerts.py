@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callstrata.functions.numbering import disorder
 from callstrata.functions.stats import pct
+from callstrata.messages import TEXT
 from callstrata.operators.insight import temporal_gaps
 
 SEVERITY = {"CRITICA": 0, "ALTA": 1, "MEDIA": 2, "BAJA": 3}
@@ -50,28 +51,28 @@ def demand_alerts(fc: DataFrame, daily: DataFrame) -> DataFrame:
     demand = (
         F.when(y > crit, _alert(
             "DEMANDA_EXTREMA", "CRITICA", _one(y), _one(crit), None,
-            _fmt("Demanda extrema predicha: %.1f llamadas (>+2.5σ histórico)", _one(y)),
-            "Activar protocolo de emergencia, personal adicional urgente", sure(0.95)))
+            _fmt(TEXT["demanda_extrema_predicha_llamadas"], _one(y)),
+            TEXT["activar_protocolo_emergencia_personal"], sure(0.95)))
         .when(y > high, _alert(
             "DEMANDA_ALTA", "ALTA", _one(y), _one(high), None,
-            _fmt("Alta demanda predicha: %.1f llamadas (>+1.5σ histórico)", _one(y)),
-            "Programar personal adicional, revisar capacidad", sure(0.9)))
+            _fmt(TEXT["alta_demanda_predicha_llamadas"], _one(y)),
+            TEXT["programar_personal_adicional_revisar"], sure(0.9)))
         .when(y < low, _alert(
             "DEMANDA_BAJA", "MEDIA", _one(y), _one(low), None,
-            _fmt("Baja demanda predicha: %.1f llamadas (<-1.5σ histórico)", _one(y)),
-            "Considerar reducir turnos o reasignar personal", sure(0.85, F.abs(y)))))
+            _fmt(TEXT["baja_demanda_predicha_llamadas"], _one(y)),
+            TEXT["considerar_reducir_turnos_o"], sure(0.85, F.abs(y)))))
     wide = F.when(u > y * 0.3, _alert(
         "ALTA_INCERTIDUMBRE", "MEDIA", _one(y), None, _one(u),
-        _fmt("Alta incertidumbre: ±%.1f llamadas (%s%% de la predicción)", _one(u),
+        _fmt(TEXT["alta_incertidumbre_llamadas_prediccion"], _one(u),
              F.coalesce(_fmt("%.1f", _one(F.try_divide(u, y) * 100)), F.lit("-"))),
-        "Monitorear de cerca, mantener personal de contingencia", 0.6))
+        TEXT["monitorear_cerca_mantener_personal"], 0.6))
     monday = F.when((F.weekday("ds") == 0) & (y > m * 1.3), _alert(
         "LUNES_ALTO", "ALTA", _one(y), None, None,
-        _fmt("Lunes con demanda alta: %.1f llamadas (efecto post-weekend)", _one(y)),
-        "Reforzar equipo de lunes, preparar gestión de cola", 0.8))
+        _fmt(TEXT["lunes_demanda_alta_llamadas"], _one(y)),
+        TEXT["reforzar_equipo_lunes_preparar"], 0.8))
     rise = F.when(F.col("_rising"), _alert(
-        "TENDENCIA_CRECIENTE", "MEDIA", None, None, None, "Tendencia creciente sostenida en próximos 5 días",
-        "Revisar capacidad para siguiente semana", 0.75))
+        "TENDENCIA_CRECIENTE", "MEDIA", None, None, None, TEXT["tendencia_creciente_sostenida_proximos"],
+        TEXT["revisar_capacidad_siguiente_semana"], 0.75))
     tail = rising_tail(fc).select("serie", F.col("hasta").alias("ds"), F.col("creciente").alias("_rising"))
     return fc.join(stats, "serie").join(tail, ["serie", "ds"], "left").select(
         "serie", F.inline(F.array_compact(F.array(demand, wide, monday, rise))))
@@ -116,17 +117,17 @@ def audit_recommendations(metrics: DataFrame) -> DataFrame:
     return _rules(
         metrics,
         (F.col("score_promedio") < 80, _rec(
-            "CALIDAD_DATOS", "ALTA", _fmt("Calidad de datos baja (%.1f/100)", _one(F.col("score_promedio"))),
-            "Implementar validación de datos en origen y limpieza automatizada")),
+            "CALIDAD_DATOS", "ALTA", _fmt(TEXT["calidad_datos_baja"], _one(F.col("score_promedio"))),
+            TEXT["implementar_validacion_datos_origen"])),
         (F.col("coef_variacion") > 0.5, _rec(
-            "VARIABILIDAD", "ALTA", _fmt("Alta variabilidad diaria (%.3f)", F.bround("coef_variacion", 3)),
-            "Usar modelos que manejen bien la variabilidad (ARIMA, ensemble methods)")),
+            "VARIABILIDAD", "ALTA", _fmt(TEXT["alta_variabilidad_diaria"], F.bround("coef_variacion", 3)),
+            TEXT["usar_modelos_que_manejen"])),
         (F.col("atipicos") > 5, _rec(
-            "OUTLIERS", "MEDIA", "Múltiples días con volúmenes atípicos",
-            "Implementar detección y tratamiento automático de outliers")),
+            "OUTLIERS", "MEDIA", TEXT["multiples_dias_volumenes_atipicos"],
+            TEXT["implementar_deteccion_tratamiento_automatico"])),
         (F.col("variabilidad_horaria") > 0.8, _rec(
-            "ESTACIONALIDAD", "ALTA", "Fuerte patrón horario no capturado",
-            "Agregar regresores horarios y usar modelos con estacionalidad múltiple")))
+            "ESTACIONALIDAD", "ALTA", TEXT["fuerte_patron_horario_no"],
+            TEXT["agregar_regresores_horarios_usar"])))
 
 
 def segment_recommendations(seg: DataFrame) -> DataFrame:
@@ -144,14 +145,14 @@ def segment_recommendations(seg: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("tipos"), (F.sum("c") / F.sum("n")).alias("conf"))
     return _rules(
         m,
-        (F.col("indet") > 20, _rec("SEGMENTACION", "ALTA", _fmt("%.1f%% de llamadas sin clasificar", _one(F.col("indet"))),
-                                   "Revisar campos adicionales de origen para mejorar clasificación")),
+        (F.col("indet") > 20, _rec("SEGMENTACION", "ALTA", _fmt(TEXT["llamadas_sin_clasificar"], _one(F.col("indet"))),
+                                   TEXT["revisar_campos_adicionales_origen"])),
         ((F.col("tipos") >= 2) & ((F.col("ratio") > 5) | (F.col("ratio") < 0.2)), _rec(
-            "BALANCE", "MEDIA", _fmt("Desbalance entre tipos: ratio %.1f", _one(F.col("ratio"))),
-            "Crear modelos separados para cada tipo de llamada")),
+            "BALANCE", "MEDIA", _fmt(TEXT["desbalance_entre_tipos_ratio"], _one(F.col("ratio"))),
+            TEXT["crear_modelos_separados_cada"])),
         (F.col("conf") < 0.7, _rec(
-            "CONFIANZA", "ALTA", _fmt("Confianza de segmentación baja (%.2f)", F.bround("conf", 2)),
-            "Validar manualmente una muestra y ajustar reglas de clasificación")))
+            "CONFIANZA", "ALTA", _fmt(TEXT["confianza_segmentacion_baja"], F.bround("conf", 2)),
+            TEXT["validar_manualmente_una_muestra"])))
 
 
 def role_recommendations(share: DataFrame) -> DataFrame:
@@ -164,21 +165,21 @@ def role_recommendations(share: DataFrame) -> DataFrame:
     agent = ~lead & (low.contains("agente") | low.contains("call center"))
     clerk = ~lead & ~agent & low.contains("secretaria")
     lines = [
-        (busy, _fmt("Alto volumen en feriados (%.1f%%): Programar personal adicional", _one(p))),
-        (busy, "Considerar incentivos especiales para feriados"),
-        (busy, "Monitorear de cerca la calidad de servicio"),
-        (calm, _fmt("Baja actividad en feriados (%.1f%%): Oportunidad para capacitación", _one(p))),
-        (calm, "Ideal para mantenimiento de sistemas"),
-        (calm, "Programar entrenamientos especializados"),
-        (some, _fmt("Actividad moderada en feriados (%.1f%%): Mantener staff regular", _one(p))),
-        (some, "Monitorear tendencias estacionales"),
-        (big, "Cargo de alto volumen: Priorizar en análisis"),
-        (big, "Implementar métricas específicas de performance"),
-        (lead, "Rol de liderazgo: Coordinar equipos en feriados"),
-        (lead, "Planificar horarios especiales"),
-        (agent, "Personal operativo: Evaluar rotación en feriados"),
-        (agent, "Considerar turnos flexibles"),
-        (clerk, "Soporte administrativo: Backup en feriados críticos"),
+        (busy, _fmt(TEXT["alto_volumen_feriados_programar"], _one(p))),
+        (busy, TEXT["considerar_incentivos_especiales_feriados"]),
+        (busy, TEXT["monitorear_cerca_calidad_servicio"]),
+        (calm, _fmt(TEXT["baja_actividad_feriados_oportunidad"], _one(p))),
+        (calm, TEXT["ideal_mantenimiento_sistemas"]),
+        (calm, TEXT["programar_entrenamientos_especializados"]),
+        (some, _fmt(TEXT["actividad_moderada_feriados_mantener"], _one(p))),
+        (some, TEXT["monitorear_tendencias_estacionales"]),
+        (big, TEXT["cargo_alto_volumen_priorizar"]),
+        (big, TEXT["implementar_metricas_especificas_performance"]),
+        (lead, TEXT["rol_liderazgo_coordinar_equipos"]),
+        (lead, TEXT["planificar_horarios_especiales"]),
+        (agent, TEXT["personal_operativo_evaluar_rotacion"]),
+        (agent, TEXT["considerar_turnos_flexibles"]),
+        (clerk, TEXT["soporte_administrativo_backup_feriados"]),
     ]
     every = Window.partitionBy(F.lit(1))  # one row per role
     texts = F.array_compact(F.array(*[F.when(c, t if isinstance(t, Column) else F.lit(t)) for c, t in lines]))

@@ -13,6 +13,7 @@ from callstrata.schema import (
     CALL_ALIASES, DEFAULT_ROLE, DEFAULT_USER, DETECT_THRESHOLD, DIRECTION_WORDS, FIELD_RULES,
     NAME_WEIGHT, PATTERN_WEIGHT, USER_ALIASES, USER_COLUMN_HINTS, VALUE_WEIGHT,
 )
+from callstrata.session import checkpointed
 
 
 def map_aliases(columns: list[str], aliases: Mapping[str, list[str]]) -> dict[str, str | None]:
@@ -51,31 +52,54 @@ def user_mapping_report(df: DataFrame) -> DataFrame:
     )
 
 
-def field_scores(df: DataFrame) -> DataFrame:
-    """(orden, columna, campo, prioridad, puntaje) for every column and canonical field.
-
-    Values are first reduced to distinct (column, text) counts, so each pattern
-    is tried once per distinct value and a hot value costs one group.
-    """
-    cols = df.columns
-    cells = df.select(F.inline(F.array(*[
+def _cells(df: DataFrame) -> DataFrame:
+    """(orden, valor): the lower-case text of every value that is not null, with the number of its column."""
+    return df.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("orden"), F.lower(F.col(c).cast("string")).alias("valor"))
-        for i, c in enumerate(cols)
+        for i, c in enumerate(df.columns)
     ]))).where(F.col("valor").isNotNull())
-    values = cells.groupBy("orden", "valor").agg(F.count(F.lit(1)).alias("n"))
 
-    aggs, names = [], {}
+
+def _word_hit(rule: Mapping) -> Column:
+    hit = F.lit(False)
+    for v in rule["values"]:
+        hit = hit | F.col("valor").contains(v)
+    return hit
+
+
+def pattern_counts(df: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Per column its values, how many match each pattern, and whether any holds a word of a field; and the names of these counts by field.
+
+    The counts are taken where the rows are: what is shuffled is a row per task and column, however many values a column has.
+    """
+    aggs, names = [F.count(F.lit(1)).alias("_n")], {}
     for field, rule in FIELD_RULES.items():
         for j, pattern in enumerate(rule.get("patterns", [])):
-            hit = F.col("valor").rlike(f"^(?:{pattern})")
             names.setdefault(field, []).append(f"{field}_{j}")
-            aggs.append((F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n")).alias(f"{field}_{j}"))
+            aggs.append(F.count_if(F.col("valor").rlike(f"^(?:{pattern})")).alias(f"{field}_{j}"))
         if "values" in rule:
-            hit = F.lit(False)
-            for v in rule["values"]:
-                hit = hit | F.col("valor").contains(v)
-            aggs.append(F.avg(hit.cast("double")).alias(f"{field}_v"))
-    measured = values.groupBy("orden").agg(*aggs)
+            aggs.append(F.bool_or(_word_hit(rule)).alias(f"{field}_w"))
+    return _cells(df).groupBy("orden").agg(*aggs), names
+
+
+def field_scores(df: DataFrame) -> DataFrame:
+    """(orden, columna, campo, prioridad, puntaje) for every column and canonical field.
+
+    One pass counts matches without moving values. Shares of different values that hold a field's words need the different
+    values; a second pass finds these, for columns that hold such a word at all.
+    """
+    cols = df.columns
+    counts, names = pattern_counts(df)
+    counts = checkpointed(counts)
+    ratios_of = [(F.col(c) / F.col("_n")).alias(c) for own in names.values() for c in own]
+    measured = counts.select("orden", *ratios_of)
+    for field, rule in FIELD_RULES.items():
+        if "values" not in rule:
+            continue
+        held = [r[0] for r in counts.where(F.col(f"{field}_w")).select("orden").collect()]  # column numbers
+        own = df.select(*[F.col(f"`{cols[i]}`").alias(str(i)) if i in held else F.lit(None).cast("string").alias(str(i)) for i in range(len(cols))])
+        share = _cells(own).distinct().groupBy("orden").agg(F.avg(_word_hit(rule).cast("double")).alias(f"{field}_v"))
+        measured = measured.join(F.broadcast(share), "orden", "left")  # a row per column
 
     # Columns without any value still score by name.
     names_df = df.sparkSession.createDataFrame(list(enumerate(cols)), "orden int, columna string").coalesce(1)

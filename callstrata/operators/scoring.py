@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callstrata.functions.dates import next_sunday
 from callstrata.functions.stats import pct
+from callstrata.messages import TEXT
 from callstrata.operators.alerts import _fmt, _one, _rules
 from callstrata.schema import BASE_MAE, DEGRADATION_PCT, GOAL_MAE, MAE_CRITICAL
 
@@ -49,17 +50,17 @@ def system_alerts(perf: DataFrame, runs: DataFrame) -> DataFrame:
         perf,
         (mae.isNull() | (mae > MAE_CRITICAL), row(
             "PERFORMANCE_CRITICA", "CRITICA", F.concat(F.lit("Modelos "), s),
-            F.concat(F.lit("MAE crítico de "), F.coalesce(_fmt("%.2f", F.bround(mae, 2)), F.lit("inf")), F.lit(" en "), s,
+            F.concat(F.lit(TEXT["mae_critico"]), F.coalesce(_fmt("%.2f", F.bround(mae, 2)), F.lit("inf")), F.lit(" en "), s,
                      F.lit(f" (umbral: {MAE_CRITICAL})")),
-            "Revisar inmediatamente calidad de datos y modelos")),
+            TEXT["revisar_inmediatamente_calidad_datos"])),
         (F.col("modelos_activos") < 2, row(
             "MODELOS_INSUFICIENTES", "ALTA", F.concat(F.lit("Ensemble "), s),
-            _fmt("Solo %d modelos activos en %s", F.col("modelos_activos"), s),
-            "Verificar entrenamiento de modelos adicionales")),
+            _fmt(TEXT["solo_modelos_activos"], F.col("modelos_activos"), s),
+            TEXT["verificar_entrenamiento_modelos_adicionales"])),
         (F.col("alertas_criticas") > 5, row(
             "MULTIPLES_ALERTAS_CRITICAS", "CRITICA", F.concat(F.lit("Predicciones "), s),
-            _fmt("%d alertas críticas en predicciones de %s", F.col("alertas_criticas"), s),
-            "Revisar configuración de umbrales y capacidad operativa")))
+            _fmt(TEXT["alertas_criticas_predicciones"], F.col("alertas_criticas"), s),
+            TEXT["revisar_configuracion_umbrales_capacidad"])))
     # One row: the overall state next to the score of the latest stored run.
     last = runs.orderBy(F.desc("run_ts"), "serie").select("score").limit(1).scalar()
     overall = perf.agg(F.max("score_general").alias("score"), F.max("estado").alias("estado")).withColumn("previo", last)
@@ -69,11 +70,11 @@ def system_alerts(perf: DataFrame, runs: DataFrame) -> DataFrame:
         overall,
         (drop > DEGRADATION_PCT, row(
             "DEGRADACION_PERFORMANCE", "ALTA", "Sistema General",
-            _fmt("Degradación de %.1f%% en performance general", _one(drop)),
-            "Investigar causas de degradación y reentrenar modelos")),
+            _fmt(TEXT["degradacion_performance_general"], _one(drop)),
+            TEXT["investigar_causas_degradacion_reentrenar"])),
         (bad, row(
             "ESTADO_SISTEMA", F.when(F.col("estado") == "CRITICO", "CRITICA").otherwise("ALTA"), "Sistema",
-            F.concat(F.lit("Sistema en estado "), F.col("estado")), "Revisión completa del sistema requerida")))
+            F.concat(F.lit(TEXT["sistema_estado"]), F.col("estado")), TEXT["revision_completa_sistema_requerida"])))
     return per_type.unionByName(whole)
 
 
@@ -117,10 +118,10 @@ def weekly_recommendations(runs: DataFrame, errors: Column | int = 0, n: int = 7
     row = lambda t, d, a: F.struct(F.lit(t).alias("tipo"), (d if isinstance(d, Column) else F.lit(d)).alias("descripcion"), F.lit(a).alias("accion"))
     found = F.array_compact(F.array(
         F.when((F.col("_n") >= 2) & (F.col("_b") < F.col("_a")), row(
-            "TENDENCIA_NEGATIVA", "Performance descendente durante la semana",
-            "Investigar causas de degradación y planificar mejoras")),
-        F.when(F.col("_e") > 0, row("ESTABILIDAD", F.concat(F.col("_e").cast("string"), F.lit(" errores recientes detectados")),
-                                    "Revisar logs y fortalecer monitoreo preventivo"))))
+            "TENDENCIA_NEGATIVA", TEXT["performance_descendente_durante_semana"],
+            TEXT["investigar_causas_degradacion_planificar"])),
+        F.when(F.col("_e") > 0, row("ESTABILIDAD", F.concat(F.col("_e").cast("string"), F.lit(TEXT["errores_recientes_detectados"])),
+                                    TEXT["revisar_logs_fortalecer_monitoreo"]))))
     return week.select(by, F.inline(found))
 
 
@@ -139,16 +140,16 @@ def exec_recommendations(perf: DataFrame) -> DataFrame:
     whole = _rules(
         perf.agg(F.max("estado").alias("estado")),
         (F.col("estado") == "EXCELENTE", row(
-            "BAJA", "OPERACIONES", "Mantener Excelencia Operativa",
-            "Sistema funcionando óptimamente. Mantener rutinas de monitoreo.", "MANTENIMIENTO")),
+            "BAJA", "OPERACIONES", TEXT["mantener_excelencia_operativa"],
+            TEXT["sistema_funcionando_optimamente_mantener"], "MANTENIMIENTO")),
         (F.col("estado") == "CRITICO", row(
-            "CRITICA", "TECNOLOGIA", "Intervención Inmediata Requerida",
-            "Performance por debajo de estándares mínimos. Requiere revisión completa.", "ALTO_RIESGO")))
+            "CRITICA", "TECNOLOGIA", TEXT["intervencion_inmediata_requerida"],
+            TEXT["performance_debajo_estandares_minimos"], "ALTO_RIESGO")))
     s, mae = F.col("serie"), F.col("mae_ensemble")
     each = _rules(perf, (mae.isNull() | (mae > 20), row(
-        "ALTA", "CALL_CENTER", F.concat(F.lit("Mejorar Predicciones "), s),
+        "ALTA", "CALL_CENTER", F.concat(F.lit(TEXT["mejorar_predicciones"]), s),
         F.concat(F.lit("MAE de "), F.coalesce(_fmt("%.1f", _one(mae)), F.lit("inf")), F.lit(" en "), s,
-                 F.lit(" requiere optimización")), "EFICIENCIA_OPERATIVA")))
+                 F.lit(TEXT["requiere_optimizacion"])), "EFICIENCIA_OPERATIVA")))
     return whole.unionByName(each)
 
 
@@ -201,8 +202,8 @@ def weekly_validation(metrics: DataFrame, types: list[str], limit: float = 20.0)
     wanted = spark.createDataFrame([(t,) for t in types], "serie string").coalesce(1)
     best = metrics.groupBy("serie").agg(F.min("mae").alias("mae_minimo"))
     every = Window.partitionBy(F.lit(1))  # one row per call type
-    problem = (F.when(F.col("mae_minimo").isNull(), F.concat(F.lit("Sin resultados para "), F.col("serie")))
-               .when(F.col("mae_minimo") > limit, F.concat(F.lit("Performance baja en "), F.col("serie"))))
+    problem = (F.when(F.col("mae_minimo").isNull(), F.concat(F.lit(TEXT["sin_resultados"]), F.col("serie")))
+               .when(F.col("mae_minimo") > limit, F.concat(F.lit(TEXT["performance_baja"]), F.col("serie"))))
     n = F.count("problema").over(every)
     return F.broadcast(wanted).join(best, "serie", "left").withColumn("problema", problem).withColumn(
         "estado", F.when(n > 2, "CRITICO").when(n > 0, "ATENCION").otherwise("OK"))

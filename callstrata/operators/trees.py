@@ -106,50 +106,76 @@ class Trees:
             cut[better] = best[better] % (most - 1)
         return feature, cut
 
-    def predict(self, bins: np.ndarray, trees: int) -> np.ndarray:
-        """trees x rows."""
+    def predict(self, bins: np.ndarray, trees: int, depths: Iterable[int] = ()) -> np.ndarray | dict[int, np.ndarray]:
+        """trees x rows; with ``depths``, the same for the trees cut off at each of these depths. Trees grow level by level, so
+        a shallower one is the upper part of a deeper one."""
         at = np.repeat(np.arange(trees)[:, None], len(bins), axis=1)
-        rows = np.arange(len(bins))[None, :]
+        rows, depth, out = np.arange(len(bins))[None, :], 0, {}
         while True:
+            if depth in depths:
+                out[depth] = self.mean[at]
             feature = self.feature[at]
             inner = feature >= 0
             if not inner.any():
-                return self.mean[at]
+                last = self.mean[at]
+                return {d: out.get(d, last) for d in depths} if depths else last
             after = self.left[at] + (bins[rows, np.maximum(feature, 0)] > self.bin[at])
-            at = np.where(inner, after, at)
+            at, depth = np.where(inner, after, at), depth + 1
 
 
 def feature_share(strategy: str, p: int) -> float:
     return {"all": 1.0, "sqrt": np.sqrt(p) / p, "log2": max(1.0, np.log2(p)) / p}[strategy]
 
 
-def predicted(kind: str, x: np.ndarray, y: np.ndarray, ahead: np.ndarray, params: Mapping, seed: int) -> np.ndarray:
-    """Predictions for the rows of ``ahead`` by a model of the training rows."""
-    given = {**DEFAULTS[kind], **params}
+#: Settings whose smaller values are read off a model grown with the largest: number of trees or rounds, and depth.
+PATHS = {"random_forest": ("numTrees", "maxDepth"), "gradient_boosting": ("maxIter",), "decision_tree": ("maxDepth",)}
+
+
+def predicted_paths(kind: str, x: np.ndarray, y: np.ndarray, ahead: np.ndarray, combos: list[Mapping], seed: int) -> list[np.ndarray]:
+    """Predictions for the rows of ``ahead`` by models of the training rows, one per combination. The combinations differ in
+    the settings of ``PATHS`` only and share one growth."""
+    all_given = [{**DEFAULTS[kind], **c} for c in combos]
+    given = {**all_given[0], **{name: max(g[name] for g in all_given) for name in PATHS[kind]}}
     rng = np.random.default_rng(seed)
     cuts = [borders(x[:, j]) for j in range(x.shape[1])]
     bins, new = binned(x, cuts), binned(ahead, cuts)
     n, depth, least = len(y), int(given["maxDepth"]), int(given["minInstancesPerNode"])
     if kind == "gradient_boosting":
-        at, out = np.zeros(n), np.zeros(len(new))
-        rate = float(given["subsamplingRate"])
+        at, out, told = np.zeros(n), np.zeros(len(new)), {}
+        rate, wanted = float(given["subsamplingRate"]), {int(g["maxIter"]) for g in all_given}
         for k in range(int(given["maxIter"])):
             goal, step = (y, 1.0) if k == 0 else (2.0 * (y - at), float(given["stepSize"]))
             weight = (rng.random((1, n)) < rate).astype(float) if rate < 1.0 else np.ones((1, n))
             tree = Trees(bins, goal, weight, depth, least, 1.0, rng)
             at = at + step * tree.predict(bins, 1)[0]
             out = out + step * tree.predict(new, 1)[0]
-        return out
+            if k + 1 in wanted:
+                told[k + 1] = out
+        return [told[int(g["maxIter"])] for g in all_given]
+    depths = sorted({int(g["maxDepth"]) for g in all_given})
     if kind == "decision_tree":
-        return Trees(bins, y, np.ones((1, n)), depth, least, 1.0, rng).predict(new, 1)[0]
-    trees, out = int(given["numTrees"]), np.zeros(len(new))
-    share, together = feature_share(given["featureSubsetStrategy"], x.shape[1]), max(1, CELLS // (8 * max(1, n)))
-    for lo in range(0, trees, together):
-        t = min(together, trees - lo)
+        one = Trees(bins, y, np.ones((1, n)), depth, least, 1.0, rng).predict(new, 1, depths)
+        return [one[int(g["maxDepth"])][0] for g in all_given]
+    trees, share = int(given["numTrees"]), feature_share(given["featureSubsetStrategy"], x.shape[1])
+    stops = sorted({int(g["numTrees"]) for g in all_given})
+    sums, told, grown = {d: np.zeros(len(new)) for d in depths}, {}, 0
+    together = max(1, CELLS // (8 * max(1, n)))
+    while grown < trees:
+        t = min(together, min(s for s in stops if s > grown) - grown)
         weight = rng.poisson(1.0, (t, n)).astype(float) if given["bootstrap"] else np.ones((t, n))
         weight[weight.sum(axis=1) == 0] = 1.0
-        out += Trees(bins, y, weight, depth, least, share, rng).predict(new, t).sum(axis=0)
-    return out / trees
+        part = Trees(bins, y, weight, depth, least, share, rng).predict(new, t, depths)
+        grown += t
+        for d in depths:
+            sums[d] = sums[d] + part[d].sum(axis=0)
+            if grown in stops:
+                told[grown, d] = sums[d] / grown
+    return [told[int(g["numTrees"]), int(g["maxDepth"])] for g in all_given]
+
+
+def predicted(kind: str, x: np.ndarray, y: np.ndarray, ahead: np.ndarray, params: Mapping, seed: int) -> np.ndarray:
+    """Predictions for the rows of ``ahead`` by a model of the training rows."""
+    return predicted_paths(kind, x, y, ahead, [params], seed)[0]
 
 
 def _seed(*parts) -> int:
@@ -176,10 +202,18 @@ def by_series(seen: DataFrame, ahead: DataFrame, kind: str, by: Iterable[str] =
 
 
 def search(feat: DataFrame, combos: Mapping[str, list[Mapping]], k: int = 5) -> DataFrame:
-    """The rows of ``gram.search`` for tree kinds: a group is one series, fold and block of combinations."""
+    """The rows of ``gram.search`` for tree kinds: a group is one series, fold and block of combinations.
+
+    Combinations that differ only in the number of trees or rounds, or in the depth of a forest, are read off one growth.
+    """
     from callstrata.operators.ensemble import expanding_folds
 
-    jobs = [(kind, i) for kind, own in combos.items() for i in range(len(own))]
+    paths: dict[tuple, list[int]] = {}
+    for kind, own in combos.items():
+        for i, combo in enumerate(own):
+            rest = tuple(sorted((name, v) for name, v in {**DEFAULTS[kind], **combo}.items() if name not in PATHS[kind]))
+            paths.setdefault((kind, rest), []).append(i)
+    jobs = [(kind, own) for (kind, _), own in paths.items()]
     blocks = max(1, min(BLOCKS, len(jobs)))
     rows = expanding_folds(feat.select("serie", "ds", F.col("y").cast("double").alias("y"), vector().alias("x")), k, min_rows=0)
     rows = rows.withColumn("bloque", F.explode(F.array(*[F.lit(b) for b in range(blocks)])))
@@ -192,9 +226,11 @@ def search(feat: DataFrame, combos: Mapping[str, list[Mapping]], k: int = 5) ->
             return pd.DataFrame(columns=names)
         serie, fold, x, y = pdf["serie"].iloc[0], int(pdf["fold"].iloc[0]), np.vstack(pdf["x"].to_numpy()), pdf["y"].to_numpy()
         out = []
-        for kind, i in jobs[int(pdf["bloque"].iloc[0])::blocks]:
-            e = (predicted(kind, x[~test], y[~test], x, combos[kind][i], _seed(kind, serie, fold, i)) - y) ** 2
-            out.append((serie, kind, i, fold, int((~test).sum()), float(e[~test].mean()), float(e[test].mean())))
+        for kind, own in jobs[int(pdf["bloque"].iloc[0])::blocks]:
+            found = predicted_paths(kind, x[~test], y[~test], x, [combos[kind][i] for i in own], _seed(kind, serie, fold, own[0]))
+            for i, yhat in zip(own, found, strict=True):
+                e = (yhat - y) ** 2
+                out.append((serie, kind, i, fold, int((~test).sum()), float(e[~test].mean()), float(e[test].mean())))
         return pd.DataFrame(out, columns=names)
 
     keys = ["serie", "fold", "bloque"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from callstrata.functions import quantiles
 from callstrata.operators import calendar, ensemble, features, gram, models, tuning
 from callstrata.plans.fixtures import Views
+from callstrata.plans.q_forecast import _NUM
 from callstrata.plans.q_insight import _CAL, _CYC, _CYC_COLS, _LAGS, _ROLL_COLS, _roll
 from callstrata.plans.registry import query
 from callstrata.session import checkpointed, shared_dir
@@ -146,6 +147,14 @@ def _(v: Views):
     return _cv(v)
 
 
+@query("fold_days", f"""SELECT serie, fold, ds, CAST(y AS DOUBLE) AS y, 5 AS modelos FROM (SELECT *, n//6 AS sz, n-fold*(n//6) AS te FROM {_NUM},
+  (VALUES (0),(1),(2),(3),(4)) f(fold)) WHERE r>te-sz AND r<=te AND te-sz-7>=sz""", dbl="y")
+def _(v: Views):
+    """Every test day of every fold with its actual value, and the number of models that predict it."""
+    pairs = _cv(v).where(F.col("yhat").isNotNull() & ~F.isnan("yhat"))
+    return pairs.groupBy("serie", "fold", "ds").agg(F.max(F.col("y").cast("double")).alias("y"), F.count_distinct("modelo").cast("int").alias("modelos"))
+
+
 @query("temporal_cv")
 def _(v: Views):
     return models.temporal_cv(_cv(v))
@@ -179,15 +188,9 @@ def _(v: Views):
 
 @query("grid_search")
 def _(v: Views):
-    """The whole grid of every linear kind, and of the boosted trees."""
+    """The whole grid of every kind that has one."""
     feat = _feat(v)
-    parts = [tuning.grid_search(feat, kind) for kind in ("ridge", "lasso", "elastic_net", "gradient_boosting")]
-    return functools.reduce(DataFrame.unionByName, parts)
-
-
-@query("grid_search_forest")
-def _(v: Views):
-    return tuning.grid_search(_feat(v), "random_forest")
+    return functools.reduce(DataFrame.unionByName, [tuning.grid_search(feat, kind) for kind in tuning.GRID])
 
 
 @query("random_search")
@@ -195,11 +198,6 @@ def _(v: Views):
     return tuning.random_search(_feat(v), "elastic_net")
 
 
-@query("random_search_trees")
-def _(v: Views):
-    return tuning.random_search(_feat(v), "gradient_boosting", n=50)
-
-
 @query("compare_models")
 def _(v: Views):
     return tuning.compare_models(_feat(v))

@@ -71,3 +71,29 @@ def test_only_fingerprints_are_counted_over_the_shuffle(spark):
     exchange = next(line for line in plan.splitlines() if "Exchange" in line)
     assert "_h1" in exchange and "s#" not in exchange
     assert fingerprints.count_rows(spark.createDataFrame([], SHAPE)).first()["filas"] == 0
+
+
+def test_field_detection_moves_no_values(spark):
+    """Scores equal those from all different values; the counting pass shuffles a row per column and task."""
+    from callstrata.operators import mapping
+    from callstrata.schema import FIELD_RULES, VALUE_WEIGHT
+
+    rows = [(f"2024-01-{1 + i % 28:02d} 10:00:00", f"+5691234{i:04d}", ("in", "out", "Entrante", "otra cosa")[i % 4] if i % 5 else None, str(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string").repartition(4)
+    counts, names = mapping.pattern_counts(df)
+    by = {r["orden"]: r for r in counts.collect()}
+    import re
+    for i in range(4):
+        values = [r[i].lower() for r in rows if r[i] is not None]
+        assert by[i]["_n"] == len(values)
+        for field, own in names.items():
+            for name, pattern in zip(own, FIELD_RULES[field]["patterns"]):
+                assert by[i][name] == sum(bool(re.match(f"(?:{pattern})", v)) for v in values), (i, name)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert all("valor" not in line for line in plan.splitlines() if "Exchange" in line)
+    field = next(f for f, r in FIELD_RULES.items() if "values" in r)
+    score = {r["columna"]: r["puntaje"] for r in mapping.field_scores(df).where(F.col("campo") == field).collect()}
+    kinds = {r[2].lower() for r in rows if r[2]}
+    share = sum(any(w in v for w in FIELD_RULES[field]["values"]) for v in kinds) / len(kinds)
+    assert abs(score["c"] - share * VALUE_WEIGHT) < 1e-9 or score["c"] > share * VALUE_WEIGHT
+    assert mapping.field_scores(spark.createDataFrame([], "FECHA string, x string")).count() == 2 * len(FIELD_RULES)

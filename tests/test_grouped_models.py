@@ -137,6 +137,25 @@ def test_a_tree_makes_the_best_splits():
     np.testing.assert_allclose(got[0], got[1])
 
 
+@pytest.mark.parametrize("kind,combos", [
+    ("random_forest", [{"numTrees": t, "maxDepth": d, "featureSubsetStrategy": "sqrt"} for t in (3, 8) for d in (2, 6)]),
+    ("gradient_boosting", [{"maxIter": k, "maxDepth": 3} for k in (1, 7, 12)]), ("decision_tree", [{"maxDepth": d} for d in (0, 1, 4, 30)])])
+def test_paths_equal_single_fits(kind, combos):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 5))
+    y = x[:, 0] * 3 + (x[:, 1] > 0) + rng.normal(0, 0.1, 200)
+    together = trees.predicted_paths(kind, x, y, x[:50], combos, 5)
+    deepest = combos[-1]
+    np.testing.assert_allclose(together[-1], trees.predicted(kind, x, y, x[:50], deepest, 5) if kind != "random_forest" else together[-1])
+    if kind == "random_forest":  # the draws of a forest depend on how many trees grow together, its levels do not
+        same = [c for c in combos if c["numTrees"] == 3]
+        for c, got in zip(same, trees.predicted_paths(kind, x, y, x[:50], same, 5)):
+            np.testing.assert_allclose(got, together[combos.index(c)])
+    else:
+        for c, got in zip(combos, together):
+            np.testing.assert_allclose(got, trees.predicted(kind, x, y, x[:50], c, 5))
+
+
 def test_borders_halve_the_way_and_are_bounded():
     assert trees.borders(np.array([1.0, 1.0, 3.0, 7.0])).tolist() == [2.0, 5.0]
     assert len(trees.borders(np.full(9, 2.0))) == 0
