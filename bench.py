@@ -29,7 +29,7 @@ HEADLINE = [
 ]
 
 #: Heavier queries, timed beside the headline and not in its total.
-FURTHER = ["train_rf", "train_gbt", "grid_search", "random_search", "compare_models", "forecast_ensemble_trees", "full_run", "stream_limits"]
+FURTHER = ["train_rf", "train_gbt", "random_search", "forecast_ensemble_trees", "full_run"]
 
 
 def main() -> None:

@@ -1,13 +1,16 @@
 """Request limits over a stream: trailing counts of 10, 60 and 3600 seconds and the blocks that follow, with keyed state and timers.
 
-Requests wait per key and second until the watermark passes the end of their slot; then a timer reads the slot's seconds in
+Requests wait per key and second until the watermark passes the end of their slot; then a timer reads all seconds that are due in
 order, so the result does not depend on the order of arrival. What a key keeps is its last hour of counts, the seconds
-that wait, its violations and the end of its block; a timer ends the block and clears the hour of a key that went quiet.
+that wait (a list per day), its violations and the end of its block. A key has one timer at a time: for its next slot, else for the
+end of its block or of its last hour, after which a key without violations keeps nothing.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,7 +23,7 @@ from callstrata.streaming import jobs
 
 #: Seconds that are read together once the watermark has passed them.
 SLOT = 60
-HOUR = 3600
+HOUR, DAY = 3600, 86_400
 COUNTS = "clave string, s bigint, n_1s bigint, n_10s bigint, n_60s bigint, n_3600s bigint, violacion string, exceso bigint, acumulado bigint, minutos_bloqueo int, hasta_s bigint"
 PASSES = "clave string, s bigint, violacion string, acumulado bigint, minutos_bloqueo int, hasta_s bigint"
 ENDS = "clave string, hasta_s bigint"
@@ -34,56 +37,76 @@ class Limits(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "s bigint", "n bigint")
-        self.gate = handle.getValueState("gate", "s array<bigint>, n array<bigint>, total bigint, until bigint, burst bigint, minute bigint, hour bigint")
+        self.waiting = handle.getMapState("waiting", "day bigint", "s array<bigint>, n array<bigint>")
+        self.gate = handle.getValueState("gate", "s array<bigint>, n array<bigint>, total bigint, until bigint, burst bigint, minute bigint, hour bigint, timer bigint")
+
+    def _state(self) -> tuple:
+        return tuple(self.gate.get()) if self.gate.exists() else ([], [], 0, 0, None, None, None, 0)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        limits = None
+        new, limits = Counter(), None
         for pdf in rows:
             limits = tuple(None if pd.isna(pdf[c].iloc[0]) else int(pdf[c].iloc[0]) for c in ("burst", "minute", "hour"))
-            for s, n in pdf.groupby("s")["n"].sum().items():
-                held = self.waiting.getValue((int(s),)) if self.waiting.containsKey((int(s),)) else (0,)
-                self.waiting.updateValue((int(s),), (int(n) + int(held[0]),))
-                self.handle.registerTimer((int(s) // SLOT + 1) * SLOT * 1000)
-        if limits:
-            past, counts, total, until = self._state()[:4]
-            self.gate.update((past, counts, total, until, *limits))
+            new.update({int(s): int(n) for s, n in pdf.groupby("s")["n"].sum().items()})
+        if new:
+            for day, seconds in groupby(sorted(new), key=lambda s: s // DAY):
+                at = (day,)
+                held = Counter(dict(zip(*self.waiting.getValue(at)))) if self.waiting.containsKey(at) else Counter()
+                held.update({s: new[s] for s in seconds})
+                self.waiting.updateValue(at, (list(held), list(held.values())))
+            past, counts, total, until, _, _, _, timer = self._state()
+            end = (min(new) // SLOT + 1) * SLOT
+            if not timer or end < timer:
+                self.handle.registerTimer(end * 1000)
+                timer = end
+            self.gate.update((past, counts, total, until, *limits, timer))
         yield pd.DataFrame()
 
-    def _state(self) -> tuple:
-        return tuple(self.gate.get()) if self.gate.exists() else ([], [], 0, 0, None, None, None)
+    def _due(self, now: float) -> tuple[list[tuple[int, int]], int | None]:
+        """The waiting seconds whose slot has ended, in order, taken out of the state; and the first that waits on."""
+        due, first = [], None
+        for (day,), (seconds, counts) in list(self.waiting.iterator()):
+            ended = [(s // SLOT + 1) * SLOT <= now for s in seconds]
+            due += [(s, n) for s, n, e in zip(seconds, counts, ended) if e]
+            left = [(s, n) for s, n, e in zip(seconds, counts, ended) if not e]
+            if left:
+                first = min(s for s, _ in left) if first is None else min(first, min(s for s, _ in left))
+            if not left:
+                self.waiting.removeKey((day,))
+            elif len(left) < len(seconds):
+                self.waiting.updateValue((day,), ([s for s, _ in left], [n for _, n in left]))
+        return sorted(due), first
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        past, counts, total, until, *limits = self._state()
+        now = timerValues.getCurrentWatermarkInMs() / 1000
+        past, counts, total, until, *limits, _ = self._state()
         gate = Gate(*limits, past=zip(past, counts), total=total, until=until)
-        out = []
-        due = sorted((int(s[0]), int(n[0])) for s, n in self.waiting.iterator() if s[0] < now)
+        due, first = self._due(now)
+        out, told = [], self.kind != "ends" or not until
         for s, n in due:
+            if not told and gate.until <= s:
+                out.append((key[0], gate.until))
+                told = True
             found = gate.enforced(s, n) if self.kind == "enforced" else [gate.counted(s, n)]
-            self.waiting.removeKey((s,))
-            ends = [r[-1] for r in found if r[-1] is not None]
-            for end in ends:
-                self.handle.registerTimer(end * 1000)
-            out += [(key[0], *r) for r in found] if self.kind != "ends" else []
-        if self.kind == "ends" and not due and until and until <= now:
-            out.append((key[0], until))
-        if due:
-            last = due[-1][0]
-            self.handle.registerTimer((last + HOUR + 1) * 1000)
-        gate.forget(now)
+            if self.kind != "ends":
+                out += [(key[0], *r) for r in found]
+            elif any(r[-1] is not None for r in found):
+                told = False
+        if not told and gate.until <= now:
+            out.append((key[0], gate.until))
+            told = True
+        gate.forget(int(now))
         kept = gate.kept()
-        # a block that was told is over; without a block, counts and violations the key needs no state
-        until = 0 if self.kind == "ends" and not due and gate.until <= now else gate.until
-        if kept or gate.total or self._any():
-            self.gate.update(([s for s, _ in kept], [n for _, n in kept], gate.total, until, *limits))
+        end = 0 if self.kind == "ends" and told else gate.until
+        ahead = [(first // SLOT + 1) * SLOT] if first is not None else [end] if not told else [kept[-1][0] + HOUR] if kept else []
+        if ahead:
+            self.handle.registerTimer(ahead[0] * 1000)
+        if ahead or gate.total:
+            self.gate.update(([s for s, _ in kept], [n for _, n in kept], gate.total, end, *limits, ahead[0] if ahead else 0))
         else:
             self.gate.clear()
         yield pd.DataFrame(out, columns=self.columns()).astype(self.types()) if out else pd.DataFrame()
 
-    def _any(self) -> bool:
-        return next(iter(self.waiting.keys()), None) is not None
-
     def columns(self) -> list[str]:
         return [c.split()[0] for c in self.schema().split(", ")]
 
