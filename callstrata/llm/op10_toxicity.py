@@ -252,7 +252,7 @@ class Index:
         width = -(-max(1, self.n) // BLOCK) * BLOCK
         self.dense = np.zeros((len(often), width))
         self.dense[self.row[flat[heavy]], owner[heavy]] = weight[heavy]
-        self.bound = self.dense.reshape(len(often), -1, BLOCK).max(axis=2)
+        self.bound = self.dense.reshape(len(often), width // BLOCK, BLOCK).max(axis=2)
         rare = np.argsort(flat[~heavy], kind="stable")
         self.start = np.concatenate([[0], np.cumsum(np.bincount(flat[~heavy], minlength=len(idf)))])
         self.nos, self.weight, self.width = owner[~heavy][rare], weight[~heavy][rare], width
@@ -354,8 +354,9 @@ class Judge:
 
     def __init__(self, plain: dict):
         self.__dict__.update(plain)
-        cuts = np.cumsum(self.sizes)[:-1]
-        self.index = Index(np.split(self.terms, cuts), np.split(self.counts, cuts), self.idf, self.key)
+        ends = np.cumsum(self.sizes)
+        parts = [slice(b - n, b) for b, n in zip(ends, self.sizes, strict=True)]
+        self.index = Index([self.terms[p] for p in parts], [self.counts[p] for p in parts], self.idf, self.key)
         self.masks: dict[tuple[int, int], np.ndarray] = {}
 
     def lead(self, text: tuple) -> tuple[int, int]:
@@ -394,9 +395,10 @@ def chunks(texts: list[tuple], lead, size: int = CHUNK) -> Iterator[list[int]]:
 
 
 def fitted(rows: list[tuple[int, float, float, int]], amount: int) -> tuple[np.ndarray, np.ndarray]:
-    """Monotone fit over the judged examples (y, weight, feature, amount) with this amount of evidence, or over all of them where these are few or of one class."""
+    """Monotone fit over the judged examples (y, weight, feature, amount) with this amount of evidence, or over all of them where these are
+    few, or copies of one class."""
     own = [r for r in rows if r[3] == amount]
-    if len(own) < LEAST_ROWS or len({r[0] for r in own}) < 2:
+    if len(own) < LEAST_ROWS or amount == 3 and len({r[0] for r in own}) < 2:
         own = rows
     prior = sum(r[0] * r[1] for r in own) / sum(r[1] for r in own)
     return monotone([r[2] for r in own], [r[0] for r in own], [r[1] for r in own], prior)
