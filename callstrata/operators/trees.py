@@ -64,7 +64,12 @@ class Trees:
             mean = np.divide(s1, s0, out=np.zeros(count), where=s0 > 0)
             feature, cut = np.full(count, -1), np.zeros(count, np.int64)
             if level < depth:
-                feature, cut = self._best(bins, y, row, node, w, count, s0, s1, least, used, rng)
+                base = np.divide(s1 * s1, s0, out=np.zeros(count), where=s0 > 0)
+                # a node too small or without spread stays a leaf, and needs no histogram
+                able = (s0 >= 2 * least) & (np.bincount(node, w * y[row] ** 2, count) - base > 1e-9 * (1.0 + base))
+                new, own = np.cumsum(able) - 1, able[node]
+                if own.any():
+                    feature[able], cut[able] = self._best(bins, y, row[own], new[node[own]], w[own], int(able.sum()), s0[able], s1[able], least, used, rng)
             split = feature >= 0
             left = np.full(count, -1)
             left[split] = first + count + 2 * np.arange(split.sum())
