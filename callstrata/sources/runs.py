@@ -45,6 +45,8 @@ def _written(spark: SparkSession, root: str, run: str, attempt: str, name: str,
     # equal rows would cancel out in an exclusive or; a sum of half the bits has room for 2^31 rows
     files = back.groupBy("_f").agg(F.count(F.lit(1)).alias("filas"), F.sum(F.col("_h").bitwiseAND(0xFFFFFFFF)).alias("suma"))
     header = 1 if fmt == "csv" else 0
+    # a row of the table itself, so that an empty one is in the log too
+    files = files.unionByName(spark.range(1).select(F.lit(None).cast("string").alias("_f"), F.lit(header).cast("long").alias("filas"), F.lit(0).cast("long").alias("suma")))
     return files.select(F.lit(run).alias("corrida"), F.lit(attempt).alias("intento"), F.lit(name).alias("tabla"), F.lit(fmt).alias("formato"),
                         F.col("_f").alias("archivo"), (F.col("filas") - header).alias("filas"), "suma")
 
@@ -59,7 +61,7 @@ def committed(spark: SparkSession, root: str, run: str | None = None) -> DataFra
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """(corrida, tabla, archivos, filas) of the committed runs, from the log alone."""
-    return committed(spark, root).groupBy("corrida", "tabla").agg(F.count(F.lit(1)).alias("archivos"), F.sum("filas").alias("filas"))
+    return committed(spark, root).groupBy("corrida", "tabla").agg(F.count("archivo").alias("archivos"), F.sum("filas").alias("filas"))
 
 
 def read_run(spark: SparkSession, root: str, table: str, schema, run: str | None = None) -> DataFrame:
@@ -73,7 +75,7 @@ def read_run(spark: SparkSession, root: str, table: str, schema, run: str | None
 
 def damaged(spark: SparkSession, root: str, run: str) -> DataFrame:
     """Files of a committed run that are gone or no longer hold the lines that were committed (csv, json)."""
-    log = committed(spark, root, run).where(F.col("formato") != "parquet")
+    log = committed(spark, root, run).where((F.col("formato") != "parquet") & F.col("archivo").isNotNull())
     folders = [r[0] for r in log.select("intento").distinct().collect()]  # one attempt
     if not folders:
         return log.select("tabla", "archivo")

@@ -20,8 +20,9 @@ def rows(df):
 def test_a_killed_write_leaves_the_former_run_readable(spark, tmp_path, fmt, monkeypatch):
     root = str(tmp_path)
     first = table(spark, 20, "a")
-    log = runs.write_run(spark, root, "1", {"t": first, "u": table(spark, 5, "u")}, fmt)
-    assert {r["tabla"]: r["filas"] for r in runs.inventory(spark, root).collect()} == {"t": 20, "u": 5}
+    log = runs.write_run(spark, root, "1", {"t": first, "u": table(spark, 5, "u"), "none": first.where("k < 0")}, fmt)
+    assert {r["tabla"]: r["filas"] for r in runs.inventory(spark, root).collect()} == {"t": 20, "u": 5, "none": 0}
+    assert runs.read_run(spark, root, "none", SHAPE).count() == 0
     assert log.count() >= 2 and runs.damaged(spark, root, "1").count() == 0
 
     def killed(*_):
