@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callstrata.llm.text import staged
+from callstrata.llm.text import released, sliced, staged
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -80,10 +80,11 @@ SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64(
 SCANNED = "n_assign long, n_access long, n_hex long, base_sha256 string, cands array<struct<start:long,kind:int,end:long,value_hash:string,live:boolean,base:boolean>>"
 
 
+@released
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text in batch.column("text").to_pylist():
+        for text in (x for part in sliced(batch.column("text")) for x in part.to_pylist()):
             text = text or ""
             base = base_spans(text)
             n = Counter(s[1] for s in base)

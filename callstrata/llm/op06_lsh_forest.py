@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callstrata.llm.text import batches_of_bytes, byte_words, staged
+from callstrata.llm.text import batches_of_bytes, byte_words, released, sliced, staged
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -107,6 +107,7 @@ def signed(docs: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
     """doc_id, row_key, node (null without words), and per depth from ``depth`` down to ``least`` the labels of all trees."""
     a, b = permutations(trees, depth)
 
+    @released
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for batch in batches:
@@ -147,6 +148,7 @@ def members(nodes: DataFrame, prefix: str, kept: DataFrame, rows: int) -> DataFr
 
 def with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the wanted nodes, from the whole text of the row that stands for each."""
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for batch in batches:
@@ -228,6 +230,7 @@ LINKS = "node long, low long, links long"
 
 def verified(placed: DataFrame, threshold: float) -> DataFrame:
     """Compares the blocks. The rows of a pair of blocks lie next to each other in a partition and are read as a stream."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
 
@@ -238,7 +241,7 @@ def verified(placed: DataFrame, threshold: float) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[c] for r in found], pa.int64()) for c in range(3)], ["node", "low", "links"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             cols = [batch.column(c).to_pylist() for c in ("tree", "label", "lo", "hi", "node", "own", "copies", "shingles", "labs", "deep")]
             for t, lab, lo, hi, node, own, copies, sh, labs, deep in zip(*cols, strict=True):
                 if (t, lab, lo, hi) != key:

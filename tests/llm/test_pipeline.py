@@ -1,10 +1,19 @@
 """The pipeline, stage by stage, against plain Python and the operators' own tests."""
 
+import ctypes
+import gc
+import multiprocessing
 import random
+import re
+from pathlib import Path
 
 import brute
 import corpus_pipeline as pipe
+import pyarrow as pa
 from conftest import SF
+from pyspark.sql import types as T
+
+from callstrata.llm.op06_lsh_forest import signed
 
 LARGER = "/root/testdata/sf0.01"  # the smallest table with enough toxic labels to learn from
 
@@ -53,3 +62,46 @@ def test_empty_documents_pass_through(spark):
     docs = brute.documents(spark, [])
     for _, stage in pipe.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+class Kept:
+    """Stands for a table and keeps the Arrow task."""
+
+    schema = {"doc_id": T.StructField("doc_id", T.LongType())}
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, task, _):
+        self.task = task
+        return self
+
+
+def grown(task, batches, told):
+    mb = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+    for _ in batches():  # what the making of the rows takes is there before
+        pass
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+    before = mb()
+    for _ in task(batches()):
+        pass
+    told.put(mb() - before)
+
+
+def test_an_idle_worker_keeps_no_memory(spark):
+    def batches():
+        rng = random.Random(4)
+        for k in range(2):
+            texts = [" ".join(f"w{x}" for x in rng.choices(range(20_000), k=500)) for _ in range(6000)]
+            yield pa.RecordBatch.from_pydict({"doc_id": range(6000), "row_key": range(6000), "text": texts})
+
+    task = signed(Kept(), 20, 5, 4).task
+    own = multiprocessing.get_context("fork")
+    told = own.Queue()
+    child = own.Process(target=grown, args=(task, batches, told))
+    child.start()
+    mb = told.get(timeout=120)
+    child.join()
+    assert mb < 40, mb
