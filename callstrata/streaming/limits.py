@@ -2,7 +2,8 @@
 
 Requests wait per key and second until the watermark passes the end of their slot; then a timer reads all seconds that are due in
 order, so the result does not depend on the order of arrival. What a key keeps is its last hour of counts, the seconds
-that wait (a list per day), its violations and the end of its block. A key has one timer at a time: for its next slot, else for the
+that wait (lists per day, a new one whenever ``HELD`` seconds have been read), its violations and the end of its block. Python holds
+one day of a key and ``ROWS`` rows to return at a time, however many days and requests are due. A key has one timer at a time: for its next slot, else for the
 end of its block or of its last hour, after which a key without violations keeps nothing.
 """
 
@@ -24,6 +25,8 @@ from callstrata.streaming import jobs
 #: Seconds that are read together once the watermark has passed them.
 SLOT = 60
 HOUR, DAY = 3600, 86_400
+#: Different seconds that are gathered before they are written to the state, and rows that are returned together.
+HELD, ROWS = 50_000, 10_000
 COUNTS = "clave string, s bigint, n_1s bigint, n_10s bigint, n_60s bigint, n_3600s bigint, violacion string, exceso bigint, acumulado bigint, minutos_bloqueo int, hasta_s bigint"
 PASSES = "clave string, s bigint, violacion string, acumulado bigint, minutos_bloqueo int, hasta_s bigint"
 ENDS = "clave string, hasta_s bigint"
@@ -37,53 +40,66 @@ class Limits(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "day bigint", "s array<bigint>, n array<bigint>")
-        self.gate = handle.getValueState("gate", "s array<bigint>, n array<bigint>, total bigint, until bigint, burst bigint, minute bigint, hour bigint, timer bigint")
+        self.waiting = handle.getMapState("waiting", "day bigint, part bigint", "s array<bigint>, n array<bigint>")
+        self.gate = handle.getValueState("gate", "s array<bigint>, n array<bigint>, total bigint, until bigint, burst bigint, minute bigint, hour bigint, timer bigint, parts bigint")
 
     def _state(self) -> tuple:
-        return tuple(self.gate.get()) if self.gate.exists() else ([], [], 0, 0, None, None, None, 0)
+        return tuple(self.gate.get()) if self.gate.exists() else ([], [], 0, 0, None, None, None, 0, 0)
+
+    def _hold(self, new: Counter, part: int) -> None:
+        """Writes the seconds to the state, as a list for each day."""
+        for day, seconds in groupby(sorted(new), key=lambda s: s // DAY):
+            held = list(seconds)
+            self.waiting.updateValue((day, part), (held, [new[s] for s in held]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new, limits = Counter(), None
+        new, limits, first = Counter(), None, None
+        past, counts, total, until, _, _, _, timer, parts = self._state()
         for pdf in rows:
             limits = tuple(None if pd.isna(pdf[c].iloc[0]) else int(pdf[c].iloc[0]) for c in ("burst", "minute", "hour"))
             new.update({int(s): int(n) for s, n in pdf.groupby("s")["n"].sum().items()})
+            if len(new) >= HELD:
+                first = min(new) if first is None else min(first, min(new))
+                self._hold(new, parts)
+                new, parts = Counter(), parts + 1
         if new:
-            for day, seconds in groupby(sorted(new), key=lambda s: s // DAY):
-                at = (day,)
-                held = Counter(dict(zip(*self.waiting.getValue(at)))) if self.waiting.containsKey(at) else Counter()
-                held.update({s: new[s] for s in seconds})
-                self.waiting.updateValue(at, (list(held), list(held.values())))
-            past, counts, total, until, _, _, _, timer = self._state()
-            end = (min(new) // SLOT + 1) * SLOT
+            first = min(new) if first is None else min(first, min(new))
+            self._hold(new, parts)
+            parts += 1
+        if first is not None:
+            end = (first // SLOT + 1) * SLOT
             if not timer or end < timer:
                 self.handle.registerTimer(end * 1000)
                 timer = end
-            self.gate.update((past, counts, total, until, *limits, timer))
+            self.gate.update((past, counts, total, until, *limits, timer, parts))
         yield pd.DataFrame()
 
-    def _due(self, now: float) -> tuple[list[tuple[int, int]], int | None]:
-        """The waiting seconds whose slot has ended, in order, taken out of the state; and the first that waits on."""
-        due, first = [], None
-        for (day,), (seconds, counts) in list(self.waiting.iterator()):
-            ended = [(s // SLOT + 1) * SLOT <= now for s in seconds]
-            due += [(s, n) for s, n, e in zip(seconds, counts, ended) if e]
-            left = [(s, n) for s, n, e in zip(seconds, counts, ended) if not e]
+    def _due(self, now: float) -> Iterator[tuple[int, int]]:
+        """The waiting seconds whose slot has ended, in order, taken out of the state day by day; ``first`` is then the first that waits on."""
+        self.first = None
+        for day, keys in groupby(sorted(self.waiting.keys()), key=lambda k: k[0]):
+            keys, held = list(keys), Counter()
+            for at in keys:
+                for s, n in zip(*self.waiting.getValue(at)):
+                    held[s] += n
+            due = sorted(s for s in held if (s // SLOT + 1) * SLOT <= now)
+            yield from ((s, held[s]) for s in due)
+            left = sorted(held.keys() - set(due))
+            if due:
+                for at in keys[1:] if left else keys:
+                    self.waiting.removeKey(at)
+                if left:
+                    self.waiting.updateValue(keys[0], (left, [held[s] for s in left]))
             if left:
-                first = min(s for s, _ in left) if first is None else min(first, min(s for s, _ in left))
-            if not left:
-                self.waiting.removeKey((day,))
-            elif len(left) < len(seconds):
-                self.waiting.updateValue((day,), ([s for s, _ in left], [n for _, n in left]))
-        return sorted(due), first
+                self.first = left[0]
+                return
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() / 1000
-        past, counts, total, until, *limits, _ = self._state()
+        past, counts, total, until, *limits, _, parts = self._state()
         gate = Gate(*limits, past=zip(past, counts), total=total, until=until)
-        due, first = self._due(now)
         out, told = [], self.kind != "ends" or not until
-        for s, n in due:
+        for s, n in self._due(now):
             if not told and gate.until <= s:
                 out.append((key[0], gate.until))
                 told = True
@@ -92,26 +108,32 @@ class Limits(StatefulProcessor):
                 out += [(key[0], *r) for r in found]
             elif any(r[-1] is not None for r in found):
                 told = False
+            if len(out) >= ROWS:
+                yield self._table(out)
+                out = []
         if not told and gate.until <= now:
             out.append((key[0], gate.until))
             told = True
         gate.forget(int(now))
         kept = gate.kept()
         end = 0 if self.kind == "ends" and told else gate.until
-        ahead = [(first // SLOT + 1) * SLOT] if first is not None else [end] if not told else [kept[-1][0] + HOUR] if kept else []
+        ahead = [(self.first // SLOT + 1) * SLOT] if self.first is not None else [end] if not told else [kept[-1][0] + HOUR] if kept else []
         if ahead:
             self.handle.registerTimer(ahead[0] * 1000)
         if ahead or gate.total:
-            self.gate.update(([s for s, _ in kept], [n for _, n in kept], gate.total, end, *limits, ahead[0] if ahead else 0))
+            self.gate.update(([s for s, _ in kept], [n for _, n in kept], gate.total, end, *limits, ahead[0] if ahead else 0, parts))
         else:
             self.gate.clear()
-        yield pd.DataFrame(out, columns=self.columns()).astype(self.types()) if out else pd.DataFrame()
+        yield self._table(out) if out else pd.DataFrame()
+
+    def _table(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=self.columns()).astype(self.types())
 
     def columns(self) -> list[str]:
         return [c.split()[0] for c in self.schema().split(", ")]
 
     def types(self) -> dict[str, str]:
-        nullable = {"minutos_bloqueo": "Int32", "hasta_s": "Int64"}
+        nullable = {"acumulado": "Int64", "minutos_bloqueo": "Int32", "hasta_s": "Int64"}
         return {c: t for c, t in nullable.items() if c in self.columns()}
 
     def schema(self) -> str:

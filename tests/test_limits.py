@@ -2,7 +2,10 @@
 
 import datetime as dt
 import random
+from collections import Counter
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from callstrata.operators import governance
@@ -113,3 +116,57 @@ def test_running_sums_equal_plain_sums():
         assert again.sums == gate.sums
     gate.forget(s + 3600)
     assert gate.kept() == [] and gate.sums == [0, 0, 0]
+
+
+class Held:
+    """State in memory: a map or a single value."""
+
+    def __init__(self):
+        self.rows, self.largest = {}, 0
+
+    def updateValue(self, at, row):
+        self.rows[at], self.largest = row, max(self.largest, len(row[0]))
+
+    def update(self, row):
+        self.rows[None] = row
+
+    def getValue(self, at):
+        return self.rows[at]
+
+    def get(self):
+        return self.rows[None]
+
+    def exists(self):
+        return None in self.rows
+
+    def containsKey(self, at):
+        return at in self.rows
+
+    def removeKey(self, at):
+        del self.rows[at]
+
+    def keys(self):
+        return iter(list(self.rows))
+
+    def iterator(self):
+        return iter(list(self.rows.items()))
+
+    def clear(self):
+        self.rows.clear()
+
+
+def test_a_long_wait_is_read_and_returned_in_parts():
+    rng, kept, timers = random.Random(6), Held(), []
+    one = limits.Limits()
+    state = {"waiting": kept, "gate": Held()}
+    one.init(SimpleNamespace(getMapState=lambda name, *_: state[name], getValueState=lambda name, _: state[name], registerTimer=timers.append))
+    seconds = [rng.randrange(0, 4 * 86_400) for _ in range(300_000)]
+    frames = (pd.DataFrame({"s": seconds[k:k + 10_000], "n": 1, "burst": 3, "minute": 9, "hour": 300}) for k in range(0, len(seconds), 10_000))
+    list(one.handleInputRows(("k",), frames, None))
+    parts = [t for now in (199_980, 500_040) for t in one.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda now=now: now * 1000), None)]
+    assert max(len(t) for t in parts) <= 20_000 and kept.largest <= 90_000 and not kept.rows
+    gate = governance.Gate(3, 9, 300)
+    want = [gate.counted(s, n) for s, n in sorted(Counter(seconds).items())]
+    got = [tuple(None if pd.isna(x) else x for x in r[1:]) for t in parts for r in t.itertuples(index=False)]
+    assert got == want and any(r[8] for r in want)
+    assert timers[0] == (min(seconds) // 60 + 1) * 60_000
