@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callstrata.llm.text import released, sliced, staged
+from callstrata.llm.text import released, sliced, staged_by_few
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -122,7 +122,7 @@ def find_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", m
     Columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans (base spans, and further spans whose value is live),
     n_live, n_copied (spans by the corpus-wide verdict), max_owners and max_repos (most owners and repositories of one of its values), row_key (hash of id and text).
     """
-    scanned = staged(scan(docs, repo, owner))
+    scanned = staged_by_few(scan(docs, repo, owner))
     verdict = ownership(scanned)
     hits = scanned.filter(F.size("cands") > 0).select("doc_id", "row_key", F.explode("cands").alias("c")).select("doc_id", "row_key", "c.*").distinct()
     names = F.array(*map(F.lit, KINDS))

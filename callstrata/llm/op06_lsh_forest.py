@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callstrata.llm.text import batches_of_bytes, byte_words, released, sliced, staged
+from callstrata.llm.text import batches_of_bytes, byte_words, released, sliced, staged, staged_by_few
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -41,7 +41,7 @@ class WordHash(dict):
     """64-bit hashes of words, kept while they are few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return h
@@ -277,7 +277,7 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
     shingles), n_links (other documents of a similarity at or above the threshold), n_copies (of them with the same shingles), row_key (hash of id and text), keep_key (row key of
     the row that stands for the class, the one of the smallest id; null for a text without words)."""
     least = shallowest(trees, depth, threshold, recall)
-    sigs = staged(signed(docs, trees, depth, least))
+    sigs = staged_by_few(signed(docs, trees, depth, least))
     prefixes = [f"p{k}" for k in range(depth, least - 1, -1)]
     nodes = staged(sigs.filter("node IS NOT NULL").groupBy("node").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("row"), *[F.any_value(p).alias(p) for p in prefixes]))
@@ -291,7 +291,7 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
         sets = with_sets(docs, staged(wanted))
         deep = F.col(f"p{k + 1}") if k < depth else F.lit(None).cast("array<long>")
         content = sets.join(nodes.select("node", "copies", F.col(f"p{k}").alias("labs"), deep.alias("deep")), "node")
-        rounds.append(staged(verified(placed.join(content, "node"), threshold)))
+        rounds.append(staged_by_few(verified(placed.join(content, "node"), threshold)))
     told = rounds[0]
     for r in rounds[1:]:
         told = told.union(r)

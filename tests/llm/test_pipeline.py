@@ -9,11 +9,14 @@ from pathlib import Path
 
 import brute
 import corpus_pipeline as pipe
+import numpy as np
 import pyarrow as pa
 from conftest import SF
 from pyspark.sql import types as T
 
+from callstrata.llm import op10_toxicity as op10
 from callstrata.llm.op06_lsh_forest import signed
+from callstrata.llm.text import BATCH, staged_by_few
 
 LARGER = "/root/testdata/sf0.01"  # the smallest table with enough toxic labels to learn from
 
@@ -105,3 +108,57 @@ def test_an_idle_worker_keeps_no_memory(spark):
     mb = told.get(timeout=120)
     child.join()
     assert mb < 40, mb
+
+
+def judged(batches):
+    """Every batch is what a judge is made of; it searches some of its own examples."""
+    for plain in batches:
+        judge, ends = op10.Judge(plain), np.cumsum([0, *plain["sizes"]])
+        own = [(plain["terms"][a:b], plain["counts"][a:b], 1, k % 5) for k, (a, b) in enumerate(zip(ends[:256], ends[1:257]))]
+        for part in op10.chunks(own, judge.lead):
+            judge.facts([own[k] for k in part])
+        yield judge  # still there when the memory is measured
+
+
+def held(task, batches, told):
+    mb = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+    plain = list(batches())
+    before, kept = mb(), []
+    for x in task(plain):
+        kept.append(x)
+    told.put(mb() - before)
+
+
+def test_an_index_takes_little_memory():
+    """4400 examples of 300 terms; two workers of an executor hold an index each."""
+    def batches():
+        rng, n, size = np.random.default_rng(4), 4400, 200_000
+        share = 1 / np.arange(1, size + 1)
+        ends = np.cumsum(share / share.sum())
+        terms = [np.unique(np.searchsorted(ends, rng.random(600)).clip(max=size - 1)).astype(np.int32) for _ in range(n)]
+        flat = np.concatenate(terms)
+        assert len(flat) > 1_200_000
+        yield {"terms": flat, "counts": np.ones(len(flat), np.int32), "sizes": np.array([len(t) for t in terms]), "key": np.arange(n), "fold": np.arange(n) % 4, "y": np.arange(n) % 2, "n": np.ones(n, int),
+               "idf": np.ones(size), "k": 25, "marks": [(np.empty(0, int), np.empty(0))] * 5, "class_weight": [np.ones(2)] * 5}
+
+    own = multiprocessing.get_context("fork")
+    told = own.Queue()
+    child = own.Process(target=held, args=(judged, batches, told))
+    child.start()
+    mb = told.get(timeout=120)
+    child.join()
+    assert mb < 70, mb
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(batch)], pa.int64())})
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(0, 9000, 1, 1)
+    assert max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect()) > BATCH
+    found = [r["n"] for r in staged_by_few(rows.mapInArrow(sizes, "n long")).collect()]
+    assert sum(found) == 9000 and max(found) <= BATCH
+    assert spark.conf.get(name) == before
